@@ -7,6 +7,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import col, tokens
 from ..session import broadcast_if_small
@@ -135,7 +136,7 @@ def _bm25_where_read(chunks: DataFrame, queries: DataFrame, rows: pd.DataFrame,
         T.StructField("query_id", queries.schema["query_id"].dataType),
         T.StructField("chunk_id", T.StringType()), T.StructField("keyword_score", T.DoubleType())]
     schema = T.StructType(fields)
-    names = [f.name for f in fields]
+    arrow_types = [(f.name, to_arrow_type(f.dataType)) for f in fields]
 
     def score(batches):
         for batch in batches:
@@ -162,11 +163,13 @@ def _bm25_where_read(chunks: DataFrame, queries: DataFrame, rows: pd.DataFrame,
                     norm = BM25_K1 * (1 - BM25_B + BM25_B * length[start:stop] / avgdl)
                     scores = np.round((tf * (BM25_K1 + 1) / (tf + norm[:, None])) @ matrix, 6)
                     which, where = _best_rows(-scores.T, chunk[start:stop], k, scores.T > 0)
+                    if len(which) == 0:
+                        continue
                     out = {name: [value] * len(which) for name, value in zip(scope, key)}
-                    out["query_id"] = np.asarray(ids, dtype=object)[which]
+                    out["query_id"] = [ids[i] for i in which]
                     out["chunk_id"] = chunk[start:stop][where]
                     out["keyword_score"] = scores.T[which, where]
-                    yield pa.RecordBatch.from_pandas(pd.DataFrame(out)[names].infer_objects(), preserve_index=False)
+                    yield pa.RecordBatch.from_arrays([pa.array(out[n], type=t) for n, t in arrow_types], names=[n for n, _ in arrow_types])
 
     corpus = chunks.select(*scope, F.col("chunk_id").cast("string"), tokens("text").alias("_t"))
     return corpus.mapInArrow(score, schema)

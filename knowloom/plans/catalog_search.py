@@ -261,7 +261,7 @@ def map_threshold(spark, sf):
 
 
 @query("m4_outcomes", SQL_MAP + """, n AS (SELECT organization_id, repository_id, query_id, count(*) AS c, count(*) FILTER (rerank_score >= 8) AS k FROM scored GROUP BY ALL)
-SELECT r.organization_id, r.repository_id, r.query_id, coalesce(c, 0) AS stage1_candidates, coalesce(k, 0) AS stage2_survivors, coalesce(least(k, 5), 0) AS stage3_confirmed,
+SELECT r.organization_id, r.repository_id, r.query_id, coalesce(c, 0) AS stage1_candidates, coalesce(k, 0) AS stage2_survivors, least(coalesce(k, 0), 5) AS stage3_confirmed,
   CASE WHEN coalesce(c, 0) = 0 THEN 'none' WHEN k = 0 THEN 'below' ELSE 'mapped' END AS outcome FROM req r LEFT JOIN n USING (organization_id, repository_id, query_id)""")
 def map_outcomes(spark, sf):
     found = mp.rerank_candidates(mapped(spark, sf))

@@ -115,3 +115,61 @@ def linked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("module_name", F.lit("/"), F.lower("c_name"), F.lit("/"), filename).alias("relative_path"),
         (F.col("c_nationkey") % 3 + 1).cast("int").alias("version"),
     )
+
+
+def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One function per (file, name), with both naming styles the operators use."""
+    from ..operators.health import first_symbols
+
+    f = first_symbols(functions(spark, sf_dir))
+    return f.withColumns({"symbol_id": F.col("function_id"), "symbol_name": F.col("function_name")})
+
+
+def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    occ = functions(spark, sf_dir).where(F.col("parent_class") != "")
+    keys = ["organization_id", "repository_id", "module_id", "module_name", "file_id", "path"]
+    c = occ.groupBy(*keys, F.col("parent_class").alias("symbol_name")).agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"))
+    return c.withColumn("symbol_id", F.concat("file_id", F.lit("::"), "symbol_name"))
+
+
+def ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.health import ownership as owns
+
+    return owns(commits(spark, sf_dir))
+
+
+def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir).select("organization_id", "repository_id", "module_id", "module_name").distinct().withColumn(
+        "module_path", F.col("module_name"))
+
+
+def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fn_n_s calls fn_{n+1}_s of the same file."""
+    s = symbols(spark, sf_dir).select("organization_id", "repository_id", "file_id", "path", "function_name", "function_id")
+    n = F.split("function_name", "_")
+    nxt = F.concat(F.lit("fn_"), (n[1].cast("int") + 1).cast("string"), F.lit("_"), n[2])
+    callee = s.select(F.col("function_id").alias("target"), F.col("function_name").alias("callee"))
+    return s.withColumn("target", F.concat("file_id", F.lit("::"), nxt)).join(callee, "target").select(
+        "organization_id", "repository_id", "file_id", "path", F.col("function_name").alias("caller"), "callee",
+        F.col("function_id").alias("source"), "target", F.lit("CALLS").alias("type"))
+
+
+def import_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file imports the file with the next key when that is in the same tenant."""
+    f = files(spark, sf_dir).select("organization_id", "p_partkey", "file_id")
+    t = f.select("organization_id", (F.col("p_partkey") - 1).alias("p_partkey"), F.col("file_id").alias("target"))
+    return f.join(t, ["organization_id", "p_partkey"]).select("organization_id", F.col("file_id").alias("source"), "target", F.lit("IMPORTS").alias("type"))
+
+
+def trade_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier nation -> customer nation per order line: repeated links with self links, per region of the supplier."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    rows = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"]).join(s, li["l_suppkey"] == s["s_suppkey"]).join(
+        n, s["s_nationkey"] == n["n_nationkey"])
+    # combine equal links before they move
+    return rows.groupBy(F.concat(F.lit("org"), "n_regionkey").alias("organization_id"), F.col("s_nationkey").cast("string").alias("source"),
+                        F.col("c_nationkey").cast("string").alias("target")).agg(F.count(F.lit(1)).alias("evidence_count")).withColumn("type", F.lit("SHIPS"))
