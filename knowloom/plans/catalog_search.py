@@ -193,17 +193,17 @@ def literal(spark, sf):
 
 
 @query("r20_module_snippets", SQL_CHUNKS + """, vec AS (SELECT c.organization_id, c.repository_id, c.chunk_id, e.embedding AS v FROM chunk_text c JOIN embeddings e ON e.vec_id = c.doc_id),
-dim AS (SELECT i, avg(x::DOUBLE) AS m FROM (SELECT unnest(embedding) AS x, unnest(range(0, 64)) AS i FROM embeddings) GROUP BY i),
-q AS (SELECT list(m ORDER BY i) AS q FROM dim),
-d AS (SELECT organization_id, repository_id, chunk_id, round(list_sum(list_transform(list_zip(q, v), lambda p: (p[1] - p[2]::DOUBLE) * (p[1] - p[2]::DOUBLE))), 6) AS distance FROM vec, q)
+dim AS (SELECT organization_id, repository_id, i, avg(x::DOUBLE) AS m FROM (SELECT organization_id, repository_id, unnest(v) AS x, unnest(range(0, 64)) AS i FROM vec) GROUP BY ALL),
+q AS (SELECT organization_id, repository_id, list(m ORDER BY i) AS q FROM dim GROUP BY ALL),
+d AS (SELECT organization_id, repository_id, chunk_id, round(list_sum(list_transform(list_zip(q, v), lambda p: (p[1] - p[2]::DOUBLE) * (p[1] - p[2]::DOUBLE))), 6) AS distance
+  FROM vec JOIN q USING (organization_id, repository_id))
 SELECT *, row_number() OVER (PARTITION BY organization_id, repository_id ORDER BY distance, chunk_id)::INT AS vector_rank FROM d QUALIFY vector_rank <= 5""")
 def snippets(spark, sf):
+    scope = ["organization_id", "repository_id"]
     e = wh.embedded_chunks(spark, sf)
-    mean = wh.table(spark, sf, "embeddings").select(F.posexplode("embedding")).groupBy("pos").agg(F.avg(F.col("col").cast("double")).alias("m"))
-    vec = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("embedding"))
-    scopes = wh.corpus_documents(spark, sf).select("organization_id", "repository_id").distinct()
-    q = scopes.join(F.broadcast(vec)).withColumn("query_id", F.lit(0))  # one fixed query, one row
-    return rt.knn(e, q, ["organization_id", "repository_id"], 5).drop("query_id")
+    mean = e.select(*scope, F.posexplode("embedding")).groupBy(*scope, "pos").agg(F.avg(F.col("col").cast("double")).alias("m"))
+    q = mean.groupBy(*scope).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("embedding"))
+    return rt.knn(e, q.withColumn("query_id", F.lit(0)), scope, 5).drop("query_id")
 
 
 @query("c17_hash_embedding", """
