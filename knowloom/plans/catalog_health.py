@@ -69,8 +69,8 @@ def authors(spark, sf):
 
 
 @query("s6_newest_commits", SQL_GRAPH + """
-, heads AS (SELECT organization_id, repository_id, sha, max(committed_at) AS at FROM commits GROUP BY ALL),
-kept AS (SELECT *, row_number() OVER (PARTITION BY organization_id, repository_id ORDER BY at DESC, sha DESC) AS r FROM heads QUALIFY r <= 100)
+, heads AS (SELECT organization_id, repository_id, sha, max(committed_at) AS newest FROM commits GROUP BY ALL),
+kept AS (SELECT *, row_number() OVER (PARTITION BY organization_id, repository_id ORDER BY newest DESC, sha DESC) AS r FROM heads QUALIFY r <= 100)
 SELECT c.organization_id, c.repository_id, count(*) AS touches, count(DISTINCT c.sha) AS commits, min(committed_at) AS oldest FROM commits c JOIN kept USING (organization_id, repository_id, sha) GROUP BY ALL""")
 def newest(spark, sf):
     c = h.newest_commits(wh.commits(spark, sf), 100)

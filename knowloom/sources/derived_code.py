@@ -84,3 +84,38 @@ def turn_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("conv:"), (F.col("conv_id") % 4).cast("string")).alias("organization_id"),
         F.format_string("doc:%d/%d", "conv_id", "turn").alias("doc_id"), F.format_string("turn_%d_%d.md", "conv_id", "turn").alias("filename"),
         text.alias("text"), "conv_id", "turn", F.col("text").alias("turn_text"), "role")
+
+
+def customer_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer -> one Java entity with a web mapping each."""
+    c = spread(table(spark, sf_dir, "customer"))
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    text = _lines(
+        ("package com.acme.n%d;", n), "", "import java.util.List;", "", "@Entity", ('@RequestMapping("/n%d")', n),
+        ("public class Customer%d extends Base%d {", k, k % 5), "    private String name;", "    private long balance = 0;", "",
+        '    @GetMapping("/{id}")', "    public String find(long id) {", '        return "${customer.region}";', "    }", "",
+        "    public static void main(String[] args) { }", "}", "")
+    return c.select(
+        F.concat(F.lit("org"), (k % 3).cast("string")).alias("organization_id"), F.lit("repo:customers").alias("repository_id"),
+        F.format_string("src/main/java/com/acme/n%d/Customer%d.java", n, k).alias("path"), text.alias("text"), "c_custkey", "c_nationkey")
+
+
+def build_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """supplier -> build and deployment files: pyproject, pom, gradle, package.json, Dockerfile, compose, Procfile by key."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    forms = [
+        ("pyproject.toml", F.format_string('[project]\nname = "x"\ndependencies = ["dep-%d>=2.%d"]\n', k % 11, k % 4)),
+        ("pom.xml", F.format_string("<project><dependencies><dependency><groupId>g%d</groupId><artifactId>a%d</artifactId><version>1.%d</version></dependency></dependencies></project>", k % 5, k % 7, k % 3)),
+        ("build.gradle", F.format_string("dependencies {\n    implementation('org.x:y%d:1')\n}\n", k % 9)),
+        ("package.json", F.format_string('{"peerDependencies": {"peer-%d": "1"}, "scripts": {"start": "node s%d.js", "lint": "x"}}', k % 6, k)),
+        ("Dockerfile", F.format_string("FROM x\nENTRYPOINT [\"run\", \"%d\"]\ncmd serve\n", k)),
+        ("docker-compose.yml", F.format_string("services:\n  a:\n    command: start %d\n", k)),
+        ("Procfile", F.format_string("web: gunicorn app%d\n", k)),
+    ]
+    name, text = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (n, t) in enumerate(forms):
+        name, text = F.when(k % 7 == i, n).otherwise(name), F.when(k % 7 == i, t).otherwise(text)
+    return s.select(
+        F.concat(F.lit("org"), (k % 3).cast("string")).alias("organization_id"), F.lit("repo:builds").alias("repository_id"),
+        F.concat_ws("/", F.format_string("b%d", k), name).alias("path"), text.alias("text"), k.alias("s_suppkey"))
