@@ -17,6 +17,13 @@ UPLOAD_SUFFIXES = (".md", ".txt", ".rst", ".pdf", ".docx")
 UPLOAD_BYTES, UPLOAD_FILES = 10 * 1024 * 1024, 50
 
 
+def tenant(df: DataFrame, organization_id: str) -> DataFrame:
+    """The rows of one tenant; there is no way to ask for all of them."""
+    if not (organization_id or "").strip():
+        raise ValueError("organization_id is required")
+    return df.where(F.col(ORG) == organization_id.strip())
+
+
 def append_new(current: DataFrame, added: DataFrame, key: list[str]) -> DataFrame:
     """Collection add: rows whose id exists already are not overwritten; within the batch the first wins."""
     return current.unionByName(added.dropDuplicates(key).join(current.select(*key), key, "left_anti"))

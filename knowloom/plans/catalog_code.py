@@ -104,7 +104,7 @@ def module_packages(spark, sf):
 
 
 @query("e13_co_located_docs", """
-SELECT s_suppkey, 'notes/s_' || s_suppkey || '.md' AS doc_path, l_linenumber AS fn, 0.8 AS confidence FROM supplier JOIN (SELECT DISTINCT l_suppkey, l_linenumber FROM lineitem) ON l_suppkey = s_suppkey""")
+SELECT s_suppkey, 'notes/s_' || s_suppkey || '.md' AS doc_path, l_linenumber AS fn, 0.8::DOUBLE AS confidence FROM supplier JOIN (SELECT DISTINCT l_suppkey, l_linenumber FROM lineitem) ON l_suppkey = s_suppkey""")
 def co_located(spark, sf):
     one = [F.lit("o").alias(ORG), F.lit("r").alias("repository_id")]
     d = wh.table(spark, sf, "supplier").select(*one, F.format_string("notes/s_%d.md", "s_suppkey").alias("path"))
@@ -254,7 +254,6 @@ def script_facts(spark, sf):
 WITH c AS (SELECT 'org' || (c_custkey % 3) AS organization_id, 'com.acme.n' || c_nationkey || '.Customer' || c_custkey AS q, 'Customer' || c_custkey AS t, c_nationkey AS n FROM customer)
 SELECT organization_id, 'symbol' AS kind, q AS owner, t AS name, 7 AS line FROM c UNION ALL SELECT organization_id, 'model', q, t, 7 FROM c
 UNION ALL SELECT organization_id, 'field', q, 'name', 7 FROM c UNION ALL SELECT organization_id, 'field', q, 'balance', 7 FROM c
-UNION ALL SELECT organization_id, 'symbol', q || '.find(long id)', 'find', 11 FROM c WHERE false
 UNION ALL SELECT organization_id, 'symbol', q || '.find(long id)', 'find', 12 FROM c UNION ALL SELECT organization_id, 'symbol', q || '.main(String[] args)', 'main', 15 FROM c
 UNION ALL SELECT organization_id, 'route', t || '.find', 'GET /n' || n || '/{id}', 11 FROM c
 UNION ALL SELECT organization_id, 'config', 'Spring value', 'customer.region', 13 FROM c UNION ALL SELECT organization_id, 'entry_point', 'executable', t || '.main', 16 FROM c""")
@@ -345,6 +344,7 @@ def symbol_lookup(spark, sf):
 WITH s AS (SELECT s_suppkey AS k, 'b' || s_suppkey || '/' AS d FROM supplier)
 SELECT d || 'pyproject.toml' AS path, 'runtime' AS scope, 'dep-' || (k % 11) AS name, '>=2.' || (k % 4) AS version FROM s WHERE k % 7 = 0
 UNION ALL SELECT d || 'pom.xml', 'runtime', 'g' || (k % 5) || ':a' || (k % 7), '1.' || (k % 3) FROM s WHERE k % 7 = 1
+UNION ALL SELECT d || 'build.gradle', 'implementation', 'org.x:y' || (k % 9) || ':1', '' FROM s WHERE k % 7 = 2
 UNION ALL SELECT d || 'package.json', 'peerDependencies', 'peer-' || (k % 6), '1' FROM s WHERE k % 7 = 3""")
 def manifests(spark, sf):
     m = sfx.manifest_dependencies(dc.build_files(spark, sf))
