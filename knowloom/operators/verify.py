@@ -57,26 +57,29 @@ def contract_examples(expected: DataFrame, actual: DataFrame, keys: list[str], r
 # ------------------------------------------------------------------ Markdown texts
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def section_of(markdown, heading, stop_level: int = 2) -> Column:
     """Body of an exact heading line up to the next heading of the same or a higher level; empty when absent."""
-    all_lines = lines_of(markdown)
-    at = F.array_position(all_lines, col(heading))
-    tail = F.slice(all_lines, F.greatest(at, F.lit(1)) + 1, F.size(all_lines))
-    stop = F.array_position(F.transform(tail, lambda l: l.rlike(rf"^#{{1,{stop_level}}}\s")), F.lit(True))
-    body = F.when(stop > 0, F.slice(tail, 1, stop - 1)).otherwise(tail)
-    return F.when(at > 0, F.array_join(body, "\n")).otherwise("")
+    stop = rf"^#{{1,{stop_level}}}\s"
+    at = lambda ls: F.array_position(ls, col(heading))
+    tail = bind(lines_of(markdown), lambda ls: F.when(at(ls) > 0, F.slice(ls, (at(ls) + 1).cast("int"), F.size(ls))))
+    body = bind(tail, lambda t: bind(F.array_position(F.transform(t, lambda l: l.rlike(stop)), F.lit(True)), lambda end: F.when(
+        end > 0, F.slice(t, F.lit(1), (end - 1).cast("int"))).otherwise(t)))
+    return F.coalesce(F.array_join(body, "\n"), F.lit(""))
 
 
 def table_rows_of(section, head) -> Column:
     """Data rows of the table with this exact head: the run of ``|`` lines after its rule line."""
-    all_lines = lines_of(section)
-    at = F.array_position(all_lines, col(head))
-    tail = F.slice(all_lines, F.greatest(at, F.lit(1)) + 2, F.size(all_lines))
-    first = F.array_position(F.transform(tail, lambda l: strip(l) != ""), F.lit(True))
-    run = F.slice(tail, F.greatest(first, F.lit(1)), F.size(tail))
-    stop = F.array_position(F.transform(run, lambda l: ~l.startswith("|")), F.lit(True))
-    rows = F.when(stop > 0, F.slice(run, 1, stop - 1)).otherwise(run)
-    return F.when((at > 0) & (first > 0), rows).otherwise(F.array().cast("array<string>"))
+    first = lambda ls, test: F.array_position(F.transform(ls, test), F.lit(True))
+    at = lambda ls: F.array_position(ls, col(head))
+    tail = bind(lines_of(section), lambda ls: F.when(at(ls) > 0, F.slice(ls, (at(ls) + 2).cast("int"), F.size(ls))))
+    run = bind(tail, lambda t: bind(first(t, lambda l: strip(l) != ""), lambda n: F.when(n > 0, F.slice(t, n.cast("int"), F.size(t)))))
+    rows = bind(run, lambda r: bind(first(r, lambda l: ~l.startswith("|")), lambda n: F.when(n > 0, F.slice(r, F.lit(1), (n - 1).cast("int"))).otherwise(r)))
+    return F.coalesce(rows, F.array().cast("array<string>"))
 
 
 def documents_as_text(document_lines: DataFrame) -> DataFrame:
@@ -142,7 +145,7 @@ def invalid_citations(document_lines: DataFrame, files: DataFrame) -> DataFrame:
     """Citations whose file is unknown or whose range is not inside it, with how often each occurs."""
     zipped = F.arrays_zip(*[F.regexp_extract_all("line", F.lit(CITATION), g).alias(f"g{g}") for g in (1, 2, 3)])
     c = document_lines.where(F.col("line").contains(":L")).select(*REPO, "document_id", F.explode(zipped).alias("_c")).select(
-        *REPO, "document_id", F.col("_c.0").alias("path"), F.col("_c.1").cast("int").alias("start_line"), F.coalesce(F.nullif("_c.2", F.lit("")), F.col("_c.1")).cast("int").alias("end_line"))
+        *REPO, "document_id", F.col("_c.g1").alias("path"), F.col("_c.g2").cast("int").alias("start_line"), F.coalesce(F.nullif("_c.g3", F.lit("")), F.col("_c.g2")).cast("int").alias("end_line"))
     c = c.groupBy(*REPO, "document_id", "path", "start_line", "end_line").agg(F.count(F.lit(1)).alias("occurrences"))
     bad = F.col("line_count").isNull() | (F.col("start_line") < 1) | (F.col("end_line") < F.col("start_line")) | (F.col("end_line") > F.col("line_count"))
     return c.join(line_counts(files), [*REPO, "path"], "left").where(bad).drop("line_count")
@@ -169,12 +172,12 @@ def findings(document_lines: DataFrame, expected_lines: DataFrame, runs: DataFra
 def correct_documents(document_lines: DataFrame, expected_lines: DataFrame, runs: DataFrame, files: DataFrame, rounds: int = CORRECTION_ROUNDS, save=None):
     """Replace documents with fixable findings by fresh ones, at most ``rounds`` times.
 
-    Returns (lines, versions, findings).  ``save`` cuts the growing plan between rounds (a reliable
-    checkpoint by default); the loop itself sees only whether any finding is left.
+    Returns (lines, versions, findings).  ``save`` cuts the growing plan between rounds (a written
+    table by default); the loop itself sees only whether any finding is left.
     """
-    from ..session import cut_lineage
+    from ..session import staged
 
-    save = save or cut_lineage
+    save = save or staged
     keys = [*REPO, "document_id"]
     versions = runs.select(*REPO, F.explode(F.array(*map(F.lit, render.DOCUMENTS))).alias("document_id"), F.lit(1).alias("version"))
     current, open_ = document_lines, findings(document_lines, expected_lines, runs, files)

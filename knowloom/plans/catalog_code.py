@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import code_chunks, graph as g, headings, relations as rl, retrieval as rt, source_facts as sfx
+from ..session import staged
 from ..sources import derived_code as dc, warehouse as wh
 from .catalog_graph import SQL_GRAPH
 from .registry import query
@@ -238,7 +239,7 @@ def routes_config(spark, sf):
 @query("e25_behaviours", SQL_SVC + """
 SELECT organization_id, module || '.Order' || k || '.save' AS qualified_name, 13 AS start_line, 17 AS end_line, 1 AS conditions, 1 AS exceptions, 1 AS state_changes, 1 AS side_effects FROM svc""")
 def behaviours(spark, sf):
-    return sfx.behaviours(service_facts(spark, sf)).drop("repository_id", "path")
+    return sfx.behaviours(staged(service_facts(spark, sf))).drop("repository_id", "path")
 
 
 @query("e26_script_facts", """
@@ -297,7 +298,7 @@ SELECT organization_id, module || '.Order' || k || '.load' AS caller, 'fetch_' |
 UNION ALL SELECT organization_id, module || '.Order' || k || '.save', 'ValueError', '' FROM svc UNION ALL SELECT organization_id, module || '.Order' || k || '.save', 'session.commit', '' FROM svc
 UNION ALL SELECT organization_id, module || '.fetch_' || k, 'os.getenv', '' FROM svc UNION ALL SELECT organization_id, module || '.fetch_' || k, 'helper', '' FROM svc""")
 def call_targets(spark, sf):
-    return sfx.resolve_calls(service_facts(spark, sf)).select(ORG, "caller", "target", F.coalesce("resolved_symbol", F.lit("")).alias("resolved_symbol"))
+    return sfx.resolve_calls(staged(service_facts(spark, sf))).select(ORG, "caller", "target", F.coalesce("resolved_symbol", F.lit("")).alias("resolved_symbol"))
 
 
 @query("e33_component_rollup", SQL_SVC + """
@@ -322,18 +323,18 @@ def structural_coverage(spark, sf):
 @query("g26_workflows", SQL_SVC + """
 SELECT organization_id, 'GET' AS method, '/api' || (c % 10) || '/items' || (k % 100) || '/{key}' AS route_path, module || '.fetch_' || k AS qualified_name, 0 AS conditions FROM svc""")
 def workflows(spark, sf):
-    return sfx.workflows(service_facts(spark, sf)).select(ORG, "method", "route_path", "qualified_name", "conditions")
+    return sfx.workflows(staged(service_facts(spark, sf))).select(ORG, "method", "route_path", "qualified_name", "conditions")
 
 
 @query("g27_other_behaviours", SQL_SVC + "SELECT organization_id, module || '.Order' || k || '.save' AS qualified_name, 1 AS exceptions FROM svc")
 def other_behaviours(spark, sf):
-    return sfx.other_behaviours(service_facts(spark, sf)).select(ORG, "qualified_name", "exceptions")
+    return sfx.other_behaviours(staged(service_facts(spark, sf))).select(ORG, "qualified_name", "exceptions")
 
 
 @query("g28_symbol_lookup", SQL_SVC + """
 SELECT 'FETCH_' || k AS symbol_name, module || '.fetch_' || k AS qualified_name FROM svc UNION ALL SELECT module || '.Order' || k, module || '.Order' || k FROM svc""")
 def symbol_lookup(spark, sf):
-    s = service_facts(spark, sf).where(F.col("kind") == "symbol").select(F.col("owner").alias("qualified_name"), "name", F.col("path").alias("file"), F.col("line").alias("start_line"))
+    s = staged(service_facts(spark, sf)).where(F.col("kind") == "symbol").select(F.col("owner").alias("qualified_name"), "name", F.col("path").alias("file"), F.col("line").alias("start_line"))
     o = wh.table(spark, sf, "orders")
     module = F.format_string("svc%d.mod_%d.Order%d", F.col("o_custkey") % 20, "o_orderkey", "o_orderkey")
     asked = o.select(F.explode(F.array(F.format_string("FETCH_%d", "o_orderkey"), module)).alias("symbol_name"))
