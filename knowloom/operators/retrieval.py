@@ -256,9 +256,9 @@ def _knn_grid(corpus: DataFrame, asked: DataFrame, scope: list[str], k: int, sch
     chunk_blocks = max(1, -(-corpus.count() // GRID_BLOCK_ROWS))
     query_blocks = max(1, -(-asked.count() // QUERY_VECTORS_MAX))
     left = corpus.withColumn("_cb", F.pmod(F.xxhash64("chunk_id"), F.lit(chunk_blocks))).withColumn(
-        "_qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).cast("long"))
+        "_qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
     right = asked.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks))).withColumn(
-        "_cb", F.explode(F.sequence(F.lit(0), F.lit(chunk_blocks - 1))).cast("long"))
+        "_cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunk_blocks - 1).cast("long"))))
     names = [f.name for f in schema.fields]
 
     def match(rows: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as g, health as h, retrieval as rt
 from ..sources import warehouse as wh
+from .catalog_text import SQL_CHUNKS
 from .registry import query
 
 ORG = "organization_id"
@@ -315,9 +316,9 @@ def callers(spark, sf):
     return g.callers(c, c)
 
 
-@query("g25_business_chunk_resolve", """
-SELECT doc_id || '' AS doc_id, CASE doc_id % 3 WHEN 0 THEN doc_id || ':chunk:0' WHEN 1 THEN doc_id || ':chunk:9999' ELSE doc_id || '' END AS asked_id, doc_id || ':chunk:0' AS chunk_id
-FROM documents WHERE regexp_matches(text, '[^\\s]')""")
+@query("g25_business_chunk_resolve", SQL_CHUNKS + """, a AS (SELECT lang, doc_id, CASE doc_id % 3 WHEN 0 THEN doc_id || ':chunk:0' WHEN 1 THEN doc_id || ':chunk:9999' ELSE doc_id || '' END AS asked_id FROM documents)
+SELECT doc_id || '' AS doc_id, asked_id, chunk_id FROM (SELECT c.doc_id, asked_id, chunk_id, row_number() OVER (PARTITION BY c.doc_id
+  ORDER BY CASE WHEN chunk_id = asked_id THEN 0 WHEN suffix(chunk_id, asked_id) THEN 1 ELSE 2 END, chunk_index) AS r FROM a JOIN chunk_text c USING (doc_id)) WHERE r = 1""")
 def business_chunk(spark, sf):
     d = wh.corpus_documents(spark, sf)
     k = F.col("source_id") % 3

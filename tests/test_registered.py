@@ -8,7 +8,7 @@ import check
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 # empty at the smallest scale only because nothing in it qualifies
-MAY_BE_EMPTY = {"g11_import_subgraph", "o3_set_difference", "r3_similarity", "s14_collection_delete", "s19_uniqueness", "e8_script_imports"}
+MAY_BE_EMPTY = {"g11_import_subgraph", "o3_set_difference", "s17_detach_delete", "r3_similarity", "s14_collection_delete", "s19_uniqueness", "e8_script_imports"}
 
 
 @pytest.fixture(scope="module")
