@@ -25,7 +25,10 @@ MANIFEST_DOC_NAMES = ("requirements.txt", "package.json", "pyproject.toml", "pip
 
 
 def owners_by_file(owns: DataFrame) -> DataFrame:
-    """(org, file_id, owners): sorted (email, name, commit_count) structs."""
+    """(org, file_id, owners): sorted (email, name, commit_count) structs.
+
+    The list is bounded: ownership is read from the newest 500 commits of a repository.
+    """
     return owns.groupBy(ORG, "file_id").agg(F.array_sort(F.collect_set(F.struct("author_email", "author_name", "commit_count"))).alias("owners"))
 
 
@@ -75,7 +78,10 @@ def files_by_path(questions: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def file_symbols(questions: DataFrame, files: DataFrame, functions: DataFrame, classes: DataFrame, owns: DataFrame) -> DataFrame:
-    """Per asked file: its functions, classes and owners, each list aggregated before the joins."""
+    """Per asked file: its functions, classes and owners, each list aggregated before the joins.
+
+    A list never outgrows one source file, and files above 1 MB are not ingested.
+    """
     f = files_by_path(questions, files)
     pick = lambda df, name: df.join(f.select(ORG, "file_id").distinct(), [ORG, "file_id"], "left_semi").groupBy(ORG, "file_id").agg(
         F.array_sort(F.collect_set(F.struct("symbol_name", "start_line", "end_line"))).alias(name))
@@ -117,27 +123,47 @@ def structural_answers(questions: DataFrame, files: DataFrame, functions: DataFr
     )
 
 
+def module_documents(files: DataFrame, documents: DataFrame) -> DataFrame:
+    """(org, module_id, id, path): linked documents and document-like files of every module, each once."""
+    linked = documents.select(ORG, "module_id", F.col("doc_id").alias("id"), F.col("relative_path").alias("path"))
+    alike = files.where(F.lower("path").rlike(r"\.(md|rst|txt)$") | F.col("path").contains("README")).select(
+        ORG, "module_id", F.col("file_id").alias("id"), "path")
+    return linked.unionByName(alike).dropDuplicates([ORG, "module_id", "id"])
+
+
+def related_documents(keys: DataFrame, files: DataFrame, documents: DataFrame) -> DataFrame:
+    """(org, file_id, id, path) rows for the files of a result page: documents of the module or of the root module.
+
+    The either/or on the module is one equality after each file names both modules.
+    """
+    f = files.join(keys.select(ORG, "file_id").distinct(), [ORG, "file_id"], "left_semi")
+    both = F.array_distinct(F.array("module_id", F.concat("repository_id", F.lit(":module:_root"))))
+    rows = f.select(ORG, "file_id", F.explode(both).alias("module_id")).join(module_documents(files, documents), [ORG, "module_id"])
+    return rows.where(F.col("id") != F.col("file_id")).select(ORG, "file_id", "id", "path")
+
+
 def expand_code(keys: DataFrame, files: DataFrame, owns: DataFrame, documents: DataFrame) -> DataFrame:
-    """Context of files: module, repository, owners, documents of the module or of the root module.
+    """Context of any number of files: module, repository, owners, how many documents relate and the first of them.
 
-    The either/or on the module becomes a union of two equalities; documents are collected per module
-    once and only then met with the files.
+    Counts and the two smallest ids are made per module before the join, so wide modules do not fan
+    out; ``related_documents`` lists the rows themselves for a page.
     """
     f = files.join(keys.select(ORG, "file_id").distinct(), [ORG, "file_id"], "left_semi")
-    doc = F.struct(F.col("doc_id").alias("id"), F.col("relative_path").alias("path"))
-    docs = documents.select(ORG, "module_id", doc.alias("_d"), F.lit(None).cast("string").alias("_self"))
-    doc_like = files.where(F.lower("path").rlike(r"\.(md|rst|txt)$") | F.col("path").contains("README")).select(
-        ORG, "module_id", F.struct(F.col("file_id").alias("id"), F.col("path").alias("path")).alias("_d"), F.col("file_id").alias("_self"))
-    per_module = docs.unionByName(doc_like).groupBy(ORG, "module_id").agg(F.collect_set("_d").alias("_docs"))
-    root = F.concat("repository_id", F.lit(":module:_root"))
-    f = f.withColumn("_root", root)
-    own = per_module.withColumnRenamed("_docs", "_own")
-    top = per_module.select(ORG, F.col("module_id").alias("_root"), F.col("_docs").alias("_top"))
-    empty = F.array().cast("array<struct<id:string,path:string>>")
-    related = F.array_sort(F.filter(F.array_union(F.coalesce("_own", empty), F.coalesce("_top", empty)), lambda d: d["id"] != F.col("file_id")))
-    return f.join(own, [ORG, "module_id"], "left").join(top, [ORG, "_root"], "left").join(
-        owners_by_file(owns), [ORG, "file_id"], "left").select(
-        ORG, "file_id", "repository_id", "module_id", "owners", related.alias("related_documents"))
+    docs = module_documents(files, documents)
+    size = docs.groupBy(ORG, "module_id").agg(F.count(F.lit(1)).alias("_n"))
+    two = top_k(docs.select(ORG, "module_id", "id"), [ORG, "module_id"], [F.asc("id")], 2, "_r").groupBy(ORG, "module_id").agg(
+        F.collect_list("id").alias("_ids"))
+    per_module = size.join(two, [ORG, "module_id"])
+    own = per_module.select(ORG, "module_id", F.col("_n").alias("_n0"), F.col("_ids").alias("_i0"))
+    top = per_module.select(ORG, F.col("module_id").alias("_root"), F.col("_n").alias("_n1"), F.col("_ids").alias("_i1"))
+    itself = docs.select(ORG, "module_id", F.col("id").alias("file_id"), F.lit(1).alias("_self"))
+    f = f.withColumn("_root", F.concat("repository_id", F.lit(":module:_root")))
+    f = f.join(own, [ORG, "module_id"], "left").join(top, [ORG, "_root"], "left").join(itself, [ORG, "module_id", "file_id"], "left").join(
+        owners_by_file(owns), [ORG, "file_id"], "left")
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<string>")
+    count = F.coalesce("_n0", zero) + F.when(F.col("module_id") == F.col("_root"), zero).otherwise(F.coalesce("_n1", zero)) - F.coalesce("_self", F.lit(0))
+    seen = F.filter(F.concat(F.coalesce("_i0", none), F.coalesce("_i1", none)), lambda i: i != F.col("file_id"))
+    return f.select(ORG, "file_id", "repository_id", "module_id", "owners", count.alias("related_count"), F.array_min(seen).alias("first_related"))
 
 
 def expand_documents(keys: DataFrame, documents: DataFrame, files: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Edges read from source text: imports, calls, inheritance, tests, packages, module links.
 
 Files come as (organization_id, repository_id, path, text).  Everything that can be settled inside one
-file is done in its row with array expressions; joins only look up other files, and the looked-up side
+file is done in its row with array expressions (exploded as outer rows, since the inner form evaluates
+its array once more to filter); joins only look up other files, and the looked-up side
 is always reduced to one row per key first, so popular names cannot multiply pairs.
 """
 
@@ -136,7 +137,8 @@ def calls(files: DataFrame) -> DataFrame:
     pairs = F.transform(inside, lambda c: F.struct(
         F.element_at(F.filter("_d", lambda d: d["at"] <= c["at"]), -1)["name"].alias("caller"), c["callee"].alias("callee")))
     kept = F.array_distinct(F.filter(pairs, lambda p: p["caller"].isNotNull() & (p["caller"] != p["callee"])))
-    return rows.where(F.size("_known") > 1).select(*REPO, "path", F.explode(kept).alias("_e")).select(
+    found = rows.where(F.size("_known") > 1).select(*REPO, "path", F.explode_outer(kept).alias("_e"))
+    return found.where(F.col("_e").isNotNull()).select(
         *REPO, "path", "_e.caller", "_e.callee")
 
 
@@ -148,7 +150,8 @@ def extends(files: DataFrame) -> DataFrame:
             lambda c, p: F.struct(c.alias("child"), F.substring_index(p, ".", -1).alias("parent")))
     found = F.when(F.col("path").endswith(".py"), pairs(PY_CLASS)).when(
         paths.suffix("path").isin(*SCRIPT_SUFFIXES), pairs(JS_CLASS))
-    return files.select(*REPO, "path", F.explode(F.array_distinct(found)).alias("_e")).select(
+    rows = files.select(*REPO, "path", F.explode_outer(F.array_distinct(found)).alias("_e"))
+    return rows.where(F.col("_e").isNotNull()).select(
         *REPO, "path", "_e.child", "_e.parent")
 
 
@@ -219,6 +222,6 @@ def link_documents_to_modules(documents: DataFrame, modules: DataFrame) -> DataF
     by_word = modules.select("organization_id", "module_id", "module_name", "module_path", F.explode(words).alias("_w"))
     by_word = by_word.groupBy("organization_id", "_w").agg(
         F.min(F.struct((-F.length("module_path")).alias("l"), F.col("module_name").alias("n"), F.col("module_id").alias("id"))).alias("_best"))
-    tokens_ = documents.select("organization_id", "doc_id", F.explode(link_tokens("relative_path")).alias("_w"))
+    tokens_ = documents.select("organization_id", "doc_id", F.explode_outer(link_tokens("relative_path")).alias("_w"))
     return tokens_.join(by_word, ["organization_id", "_w"]).groupBy("organization_id", "doc_id").agg(
         F.min("_best").alias("_b")).select("organization_id", "doc_id", F.col("_b.id").alias("module_id"))

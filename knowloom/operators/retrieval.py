@@ -389,16 +389,33 @@ def shown_metadata(chunks: DataFrame, allowed: dict, keep: list[str]) -> DataFra
     return chunks.select(*keep, *cols)
 
 
-def literal_search(files: DataFrame, needles: DataFrame, max_results: int = 50) -> DataFrame:
+def literal_search(files: DataFrame, needles: DataFrame, max_results: int = 50, block: int = 500) -> DataFrame:
     """Case-insensitive literal line search: (query_id, path, line, text) for the first hits in path order.
 
-    ``needles`` (query_id, needle) is a checked small side and is looked for line by line, so each
-    file is split once and only hits move.
+    The needles (query_id, needle) become a constant of the scan, ``block`` at a time, so each line is
+    looked at where it is read and only hits move; the cut per query runs in the task first.
     """
-    lower = needles.select("query_id", F.lower(F.trim("needle")).alias("_needle")).where(F.col("_needle") != "")
+    asked = needles.select("query_id", F.lower(F.trim("needle")).alias("n")).where(F.col("n") != "").distinct()
     rows = files.select("path", F.posexplode(F.split("text", "\n")).alias("_n", "_line"))
-    hits = rows.join(broadcast_if_small(lower), F.lower("_line").contains(F.col("_needle")))
-    hits = hits.select("query_id", "path", (F.col("_n") + 1).alias("line"), F.left("_line", F.lit(500)).alias("text"))
+    kind = needles.schema["query_id"].dataType
+    found, held = [], []
+
+    def scan(some: list) -> DataFrame:
+        consts = F.array(*[F.struct(F.lit(r["query_id"]).cast(kind).alias("q"), F.lit(r["n"]).alias("n")) for r in some])
+        low = F.lower("_line")
+        hits = rows.select("path", "_n", "_line", F.explode_outer(F.filter(consts, lambda c: low.contains(c["n"]))).alias("_c")).where(F.col("_c").isNotNull())
+        return hits.select(F.col("_c.q").alias("query_id"), "path", (F.col("_n") + 1).alias("line"), F.left("_line", F.lit(500)).alias("text"))
+
+    for r in asked.toLocalIterator():
+        held.append(r)
+        if len(held) == block:
+            found.append(scan(held))
+            held = []
+    if held or not found:
+        found.append(scan(held) if held else rows.limit(0).select(F.lit(None).cast(kind).alias("query_id"), "path", F.col("_n").alias("line"), F.col("_line").alias("text")))
+    hits = found[0]
+    for more in found[1:]:
+        hits = hits.unionByName(more)
     return top_k(hits, ["query_id"], [F.asc("path"), F.asc("line")], max_results, "hit").drop("hit")
 
 

@@ -144,7 +144,7 @@ def line_counts(files: DataFrame) -> DataFrame:
 def invalid_citations(document_lines: DataFrame, files: DataFrame) -> DataFrame:
     """Citations whose file is unknown or whose range is not inside it, with how often each occurs."""
     zipped = F.arrays_zip(*[F.regexp_extract_all("line", F.lit(CITATION), g).alias(f"g{g}") for g in (1, 2, 3)])
-    c = document_lines.where(F.col("line").contains(":L")).select(*REPO, "document_id", F.explode(zipped).alias("_c")).select(
+    c = document_lines.where(F.col("line").contains(":L")).select(*REPO, "document_id", F.explode_outer(zipped).alias("_c")).where(F.col("_c").isNotNull()).select(
         *REPO, "document_id", F.col("_c.g1").alias("path"), F.col("_c.g2").cast("int").alias("start_line"), F.coalesce(F.nullif("_c.g3", F.lit("")), F.col("_c.g2")).cast("int").alias("end_line"))
     c = c.groupBy(*REPO, "document_id", "path", "start_line", "end_line").agg(F.count(F.lit(1)).alias("occurrences"))
     bad = F.col("line_count").isNull() | (F.col("start_line") < 1) | (F.col("end_line") < F.col("start_line")) | (F.col("end_line") > F.col("line_count"))

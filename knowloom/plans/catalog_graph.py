@@ -125,11 +125,20 @@ FROM files f LEFT JOIN n ON n.organization_id = f.organization_id AND n.file_id
 def code_expansion(spark, sf):
     f = wh.files(spark, sf)
     out = g.expand_code(f, f, wh.ownership(spark, sf), wh.linked_documents(spark, sf))
-    return out.select(ORG, "file_id", "module_id", F.size("related_documents").alias("related"),
-                      F.coalesce(F.array_min(F.transform("related_documents", lambda d: d["id"])), F.lit("")).alias("first_related"),
+    return out.select(ORG, "file_id", "module_id", F.col("related_count").cast("int").alias("related"), F.coalesce("first_related", F.lit("")).alias("first_related"),
                       F.coalesce(owner_mails(), F.lit("")).alias("owners"))
 
 
+@query("r10_page_expansion", SQL_GRAPH + """
+, page AS (SELECT organization_id, min(file_id) AS file_id FROM files GROUP BY ALL), f AS (SELECT files.* FROM files JOIN page USING (organization_id, file_id)),
+rel AS (SELECT organization_id, module_id, doc_id AS id FROM docs UNION SELECT organization_id, module_id, file_id FROM files WHERE path LIKE '%.md' OR path LIKE '%.txt')
+SELECT DISTINCT f.organization_id, f.file_id, r.id FROM f JOIN rel r ON r.organization_id = f.organization_id AND (r.module_id = f.module_id OR r.module_id = f.repository_id || ':module:_root') WHERE r.id <> f.file_id""")
+def page_expansion(spark, sf):
+    """The first file of every tenant stands for a result page."""
+    f = wh.files(spark, sf)
+    return g.related_documents(f.groupBy(ORG).agg(F.min("file_id").alias("file_id")), f, wh.linked_documents(spark, sf)).select(ORG, "file_id", "id")
+
+
 @query("g8_doc_expansion", SQL_GRAPH + """
 SELECT d.organization_id, d.doc_id, d.module_id, count(f.file_id) AS related_code_files, min(f.path) AS first_code_file
 FROM docs d LEFT JOIN files f ON f.organization_id = d.organization_id AND f.repository_id = d.repository_id GROUP BY ALL""")
