@@ -251,6 +251,15 @@ def knn(chunks: DataFrame, queries: DataFrame, scope: list[str] = ["organization
     return top_k(partial, [*scope, "query_id"], [F.asc("distance"), F.asc("chunk_id")], k, "vector_rank")
 
 
+def merge_collections(code: DataFrame, docs: DataFrame, keys: list[str], k: int | None = None) -> DataFrame:
+    """Rank the hits of both collections together by score; of an id found in both, the code hit stays."""
+    both = code.withColumn("collection", F.lit(0)).unionByName(docs.withColumn("collection", F.lit(1)))
+    best = both.groupBy(*keys, "chunk_id").agg(F.min(F.struct("collection", "distance")).alias("_h")).select(
+        *keys, "chunk_id", "_h.*").withColumn("similarity_score", similarity("distance"))
+    order = [F.desc("similarity_score"), F.asc("collection"), F.asc("distance"), F.asc("chunk_id")]
+    return top_k(best, keys, order, k, "vector_rank").withColumn("result_type", F.when(F.col("collection") == 0, "code").otherwise("doc")).drop("collection")
+
+
 def _knn_grid(corpus: DataFrame, asked: DataFrame, scope: list[str], k: int, schema: T.StructType) -> DataFrame:
     """Block by block matching; block counts follow the measured sizes, so no block grows with the data."""
     chunk_blocks = max(1, -(-corpus.count() // GRID_BLOCK_ROWS))

@@ -365,3 +365,21 @@ UNION ALL SELECT d || 'docker-compose.yml', 'compose_command', 'compose_command'
 UNION ALL SELECT d || 'Procfile', 'process_command', 'web', 'gunicorn app' || k, 1 FROM s WHERE k % 7 = 6""")
 def deployment(spark, sf):
     return sfx.deployment_entry_points(dc.build_files(spark, sf)).select("path", "kind", "target", "command", "line")
+
+
+@query("repository_ingestion", SQL_SVC + """
+, n AS (SELECT organization_id, count(*) AS n, count(DISTINCT c % 20) AS mods FROM svc GROUP BY ALL), u AS (SELECT organization_id, count(*) AS u FROM util GROUP BY ALL),
+i AS (SELECT svc.organization_id, count(*) AS i FROM svc JOIN util ON util.organization_id = svc.organization_id AND u = c % 50 GROUP BY ALL)
+SELECT organization_id, 'PART_OF' AS type, n * 5 + mods + u * 2 + 1 AS edges FROM n JOIN u USING (organization_id) UNION ALL SELECT organization_id, 'METHOD_OF', n * 2 FROM n
+UNION ALL SELECT organization_id, 'OWNS', n FROM n UNION ALL SELECT organization_id, 'AUTHORED', n * 4 + u FROM n JOIN u USING (organization_id)
+UNION ALL SELECT organization_id, 'IMPORTS', i FROM i UNION ALL SELECT organization_id, 'CALLS', n FROM n""")
+def repository_ingestion(spark, sf):
+    from .repository import build_tables
+
+    tree = dc.service_tree(spark, sf)
+    o = dc.order_services(spark, sf)
+    # one commit by one author touches every service file of a tenant
+    touches = o.select(ORG, "repository_id", F.lit("c1").alias("sha"), F.lit("Ann").alias("author_name"), F.lit("Ann@x.org").alias("author_email"),
+                       F.lit("2024-01-01 00:00:00").cast("timestamp").alias("committed_at"), "path")
+    edges = build_tables(tree, touches)["edges"]
+    return edges.groupBy(ORG, "type").agg(F.count(F.lit(1)).alias("edges"))

@@ -70,6 +70,16 @@ def similar(spark, sf):
         F.col("similarity_score") >= 0.02)
 
 
+@query("r4_merged_ranks", SQL_KNN + """, c AS (SELECT organization_id, query_id, chunk_id, distance, row_number() OVER (PARTITION BY organization_id, query_id, split_part(chunk_id, ':', 1)::INT % 2 ORDER BY distance, chunk_id) AS r FROM dist),
+m AS (SELECT *, split_part(chunk_id, ':', 1)::INT % 2 AS kind, round(greatest(0, 1 - distance), 4) AS score FROM c WHERE r <= 50)
+SELECT organization_id, query_id, chunk_id, score AS similarity_score, CASE WHEN kind = 0 THEN 'code' ELSE 'doc' END AS result_type,
+  row_number() OVER (PARTITION BY organization_id, query_id ORDER BY score DESC, kind, distance, chunk_id)::INT AS vector_rank FROM m""")
+def merged(spark, sf):
+    e, q = wh.embedded_chunks(spark, sf), wh.tenant_queries(spark, sf, True)
+    near = lambda odd: rt.knn(e.where(F.col("source_id") % 2 == odd), q).drop("vector_rank")
+    return rt.merge_collections(near(0), near(1), ["organization_id", "query_id"]).drop("distance")
+
+
 @query("r2_label_centroids", """
 WITH d AS (SELECT label, i, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, unnest(range(0, 64)) AS i FROM embeddings) GROUP BY ALL),
 c AS (SELECT label, list(m ORDER BY i) AS q FROM d GROUP BY label),

@@ -162,6 +162,18 @@ def summary(spark, sf):
     return up.ingestion_summary(up.assign_versions(d, prior, ["doc_id"]).withColumn("failed", F.length("text") < 50), [ORG])
 
 
+@query("s11_business_documents", """
+SELECT 'org' || (c_custkey % 3) AS organization_id, 'bdoc:shop/' || c_name AS source, 'repo:shop' AS target FROM customer
+UNION ALL SELECT 'org' || (c_custkey % 3), 'bdoc:shop/' || c_name, 'repo:shop:module:m' || c_nationkey FROM customer WHERE c_custkey % 2 = 0""")
+def business_documents(spark, sf):
+    from .repository import business_document_edges
+
+    c = wh.table(spark, sf, "customer")
+    d = c.select(F.concat(F.lit("org"), F.col("c_custkey") % 3).alias(ORG), F.lit("repo:shop").alias("repository_id"), F.concat(F.lit("bdoc:shop/"), "c_name").alias("doc_id"),
+                 F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("repo:shop:module:m"), "c_nationkey")).otherwise("").alias("module_id"))
+    return business_document_edges(d).select(ORG, "source", "target")
+
+
 def task_events(spark, sf):
     e = wh.table(spark, sf, "events")
     return e.select(F.col("user_id").alias("task_id"), F.col("ts").alias("updated_at"), "event_id", F.col("event_type").alias("status"),
