@@ -18,7 +18,7 @@ RRF_K = 60
 VECTOR_TOP, KEYWORD_TOP, RERANK_POOL = 50, 100, 30
 QUERY_VECTORS_MAX = 4096  # query vectors shipped to every task: at most 4096 x dimensions x 8 bytes
 GRID_BLOCK_ROWS = 50_000
-KEYWORD_CELLS = 16_000_000  # query terms x queries of one tenant held by a scoring task
+KEYWORD_CELLS = 16_000_000  # query terms x queries, summed over tenants, held by a scoring task
 BLOCK_CELLS = 4_000_000
 
 
@@ -95,7 +95,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, scope: list[str] = ["organizatio
     if fits and k is not None:
         rows = weighted.toPandas()  # at most one row per checked query term
         sizes = rows.groupby(scope)[["term", "query_id"]].nunique().prod(axis=1)
-        if len(rows) == 0 or sizes.max() <= KEYWORD_CELLS:
+        if len(rows) == 0 or sizes.sum() <= KEYWORD_CELLS:
             scores = _bm25_where_read(chunks, queries, rows, scope, k)
     if scores is None:
         scores = _bm25_joined(chunks, terms, weighted, scope, fits)

@@ -90,7 +90,48 @@ def read_documents(files: DataFrame) -> DataFrame:
     return plain.unionByName(word)
 
 
-# ------------------------------------------------------------------ commit history
+def read_pages(files: DataFrame) -> DataFrame:
+    """(tenant, repository, path, page_no, text) of page-wise files, for ``headings.page_headings``.
+
+    Needs the optional pypdf; without it, or for a file it cannot read, the raw text is one page.
+    """
+    keys = [*REPO, "path"]
+
+    def pages(data: bytes) -> list[str]:
+        try:
+            import pypdf
+
+            texts = [page.extract_text() for page in pypdf.PdfReader(io.BytesIO(data)).pages]
+            return [t for t in texts if t]
+        except Exception:  # no reader, or damaged input
+            return [data.decode("utf-8", "ignore")]
+
+    def read(batches):
+        for batch in batches:
+            rows = [(o, r, p, i, t) for o, r, p, data in batch.itertuples(index=False) for i, t in enumerate(pages(bytes(data)))]
+            if rows:
+                yield pd.DataFrame(rows, columns=[*keys, "page_no", "text"])
+
+    src = files.where(F.lower(paths.suffix("path")) == ".pdf").select(*keys, "content")
+    return src.mapInPandas(read, "organization_id string, repository_id string, path string, page_no int, text string")
+
+
+# ------------------------------------------------------------------ checkouts and commit history
+
+
+def checkout(address: str, target: str, ref: str | None = None, depth: int = 500) -> str:
+    """Clone an already validated address (``paths.repository_url_problem``, ``paths.git_ref_ok``) and return its commit.
+
+    With a ref only that commit is fetched.  Nothing of the repository is run.
+    """
+    git = lambda *args: subprocess.run(["git", *args], check=True, capture_output=True, text=True).stdout.strip()
+    if ref:
+        git("init", "-q", target)
+        git("-C", target, "fetch", "-q", "--depth=1", "--no-tags", "--", address, ref)
+        git("-C", target, "checkout", "-q", "--detach", "FETCH_HEAD")
+    else:
+        git("clone", "-q", f"--depth={int(depth)}", "--no-tags", "--", address, target)
+    return git("-C", target, "rev-parse", "HEAD")
 
 
 def write_git_log(checkout: str, target: str, max_commits: int = 500) -> None:

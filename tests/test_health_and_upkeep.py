@@ -153,3 +153,45 @@ def test_file_drop_versions(spark, tmp_path):
     assert got == {"doc:a.md": 2, "doc:c.txt": 1}
     texts = [r["text"] for r in ingest.current_chunks(spark, tables).where("doc_id = 'doc:a.md'").collect()]
     assert len(texts) == 1 and "two" in texts[0]
+
+
+def git(*args):
+    import subprocess
+
+    return subprocess.run(["git", "-c", "user.name=Ann", "-c", "user.email=ann@x", *args], check=True, capture_output=True, text=True).stdout.strip()
+
+
+def test_checkout_log_and_reingest(spark, tmp_path):
+    from knowloom.plans import repository
+
+    origin = tmp_path / "origin"
+    (origin / "pkg").mkdir(parents=True)
+    git("init", "-q", str(origin))
+    (origin / "pkg" / "a.py").write_text("from pkg.b import g\n\nclass A(B):\n    def f(self):\n        return g()\n\ndef h():\n    return f()\n")
+    (origin / "pkg" / "b.py").write_text("class B:\n    pass\n\ndef g():\n    return 1\n")
+    (origin / "test_a.py").write_text("import pkg\n")
+    (origin / "requirements.txt").write_text("httpx>=1\n")
+    (origin / "README.md").write_text("# Read\n" + "words " * 30)
+    git("-C", str(origin), "add", "-A")
+    git("-C", str(origin), "commit", "-qm", "one")
+    sha = fs.checkout(str(origin), str(tmp_path / "copy"))
+    assert sha == git("-C", str(origin), "rev-parse", "HEAD")
+    fs.write_git_log(str(tmp_path / "copy"), str(tmp_path / "log"))
+    commits = fs.read_commits(spark, str(tmp_path / "log"), "o", "repo:x")
+    tree = up.ingestion_walk(fs.read_tree(spark, str(tmp_path / "copy"), "o", "repo:x"))
+    files = fs.with_text(tree).select("organization_id", "repository_id", "path", "text")
+    for _ in range(2):  # a second run replaces the partitions of the first
+        repository.write_tables(repository.build_tables(files, commits), str(tmp_path / "out"))
+    edges = spark.read.parquet(str(tmp_path / "out" / "edges"))
+    short = lambda v: v.split(":")[-1]
+    got = {(r["type"], short(r["source"]), short(r["target"])) for r in edges.collect()}
+    assert edges.count() == edges.distinct().count()
+    for want in [("IMPORTS", "pkg/a.py", "pkg/b.py"), ("METHOD_OF", "f", "A"), ("EXTENDS", "A", "B"), ("CALLS", "h", "f"), ("TESTS", "test_a.py", "pkg/a.py"),
+                 ("USED_BY", "httpx", "_root"), ("OWNS", "ann@x", "pkg/a.py"), ("AUTHORED", "ann@x", "g"), ("DOCUMENTS", "x/README.md", "_root")]:
+        assert want in got, (want, sorted(got))
+
+
+def test_pages_without_a_reader(spark, tmp_path):
+    (tmp_path / "a.pdf").write_text("no real pages")
+    r = fs.read_pages(fs.read_tree(spark, str(tmp_path), "o", "r")).collect()
+    assert [(x["path"], x["page_no"], x["text"]) for x in r] == [("a.pdf", 0, "no real pages")]
