@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph as g, health as h
+from ..operators import health as h
 from ..sources import warehouse as wh
 from .catalog_graph import ORG, SQL_GRAPH
 from .registry import query

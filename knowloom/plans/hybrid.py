@@ -42,3 +42,15 @@ def prompts(page: DataFrame, chunks: DataFrame, queries: DataFrame, top_k: int =
         *KEYS, F.concat(F.lit("Question: "), "query_text", F.lit("\n\n"), body).alias("prompt"),
         stub_answer("query_text", F.size("_x")).alias("answer"),
         F.transform("_x", lambda x: F.struct(x["filename"].alias("filename"), x["snippet"].alias("snippet"))).alias("sources"))
+
+
+def with_context(page: DataFrame, chunks: DataFrame, files: DataFrame, owns: DataFrame, documents: DataFrame) -> DataFrame:
+    """Result rows with the graph context of their file; only files on the page are expanded.
+
+    ``chunks`` brings file_id, or what it derives from (module_id and file_path), per chunk_id.
+    """
+    given = F.col("file_id") if "file_id" in chunks.columns else None
+    named = chunks.select(ORG, "chunk_id", rt.file_id_of("module_id", "file_path", given).alias("file_id"))
+    rows = page.join(named, [ORG, "chunk_id"], "left")
+    context = graph.expand_code(rows.where(F.col("file_id").isNotNull()), files, owns, documents)
+    return rows.join(context, [ORG, "file_id"], "left")

@@ -2,7 +2,6 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from knowloom.operators import mapping as mp, retrieval as rt
 from knowloom.plans import hybrid
@@ -112,3 +111,32 @@ def test_no_pair_joins_in_the_search_plan(spark, sf_dir):
     for name in ("hybrid_search", "r5_bm25", "g1_siblings_in_module", "g7_code_expansion", "e7_imports", "e17_path_token_match", "a11_signals"):
         plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_filters_and_columns_reach_the_scan(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["s12_collection_get"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(lang,de)" in plan and "ReadSchema: struct<doc_id:bigint,lang:string,source:string>" in plan
+    plan = entry.queries()["e3_ownership"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "l_extendedprice" not in plan and "p_retailprice" not in plan
+
+
+def test_only_the_best_rows_move(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["r5_bm25"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.index("Partial") > plan.index("Final")
+
+
+def test_results_carry_their_context(spark):
+    page = spark.createDataFrame([("o", 1, "c1", 1), ("o", 1, "c2", 2)], f"{ORG} string, query_id int, chunk_id string, final_rank int")
+    chunks = spark.createDataFrame([("o", "c1", "repo:x:module:app", "app/v.py"), ("o", "c2", "", "lost.py")], f"{ORG} string, chunk_id string, module_id string, file_path string")
+    files = spark.createDataFrame([("o", "repo:x", "repo:x:module:app", "repo:x:file:app/v.py", "app/v.py"), ("o", "repo:x", "repo:x:module:_root", "repo:x:file:README.md", "README.md")],
+                                  f"{ORG} string, repository_id string, module_id string, file_id string, path string")
+    owns = spark.createDataFrame([("o", "repo:x:file:app/v.py", "ann@x", "Ann", 5)], f"{ORG} string, file_id string, author_email string, author_name string, commit_count long")
+    docs = spark.createDataFrame([("o", "repo:x:module:app", "doc:1", "d/1.md")], f"{ORG} string, module_id string, doc_id string, relative_path string")
+    got = {r["chunk_id"]: r for r in hybrid.with_context(page, chunks, files, owns, docs).collect()}
+    one = got["c1"]
+    assert (one["repository_id"], one["owners"][0]["commit_count"], one["related_count"], one["first_related"]) == ("repo:x", 5, 2, "doc:1")
+    assert got["c2"]["file_id"] == "file:lost.py" and got["c2"]["repository_id"] is None
