@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from knowloom.llm import byte_bpe, simhash_ball
+from knowloom.llm import byte_bpe, decontaminate, quality_cnn, simhash_ball, unit_dedup
 from knowloom.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,23 @@ def op6_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and its group of near-duplicates."""
     groups = simhash_ball.near_duplicates(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score; learned from labels that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality_cnn.score(docs.select("doc_id", "text"), quality_cnn.fit(docs, labels))
+    return scored.select("doc_id", quality_cnn.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality_cnn.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that it leaks, with the alignment score."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the text that is left and the original offsets of what was removed."""
+    return unit_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars", "removed")
