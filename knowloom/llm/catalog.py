@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from knowloom.llm import byte_bpe, decontaminate, quality_cnn, simhash_ball, unit_dedup
-from knowloom.llm.shared import table
+from knowloom.llm import byte_bpe, decontaminate, host_reputation, quality_cnn, simhash_ball, unit_dedup, wavelet_shards
+from knowloom.llm.shared import shared_folder, staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +19,49 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return run
 
 
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+@query
+def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict, by the longest rule that fits or else by its host's reputation."""
+    return host_reputation.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+_FITS = "(host = '{0}' OR host LIKE '%.{0}') AND starts_with(path, '{1}') THEN '{2}'"
+_BY_LENGTH = [(r.partition("/")[0], "/" + r.partition("/")[2], r, v) for r, v in sorted(URL_RULES, key=lambda r: -len(r[0]))]
+_SHRINK = "(1 - r) / r AS s FROM (SELECT greatest(0.001, least(0.999, coalesce((sum((k - n * m) ** 2) - sum(n * m * (1 - m))) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0.5))) AS r"
+
+_POSTERIOR = "(k + s * m) / (n + s) AS m, ((k + s * m) / (n + s)) * (1 - (k + s * m) / (n + s)) / (n + s + 1) + (s / (n + s)) ** 2 * v AS v"
+
+ORACLES["op2_host_reputation"] = f"""
+WITH cut AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
+ruled AS (
+  SELECT *, CASE {" ".join("WHEN " + _FITS.format(h, p, r) for h, p, r, _ in _BY_LENGTH)} END AS rule,
+         CASE {" ".join("WHEN " + _FITS.format(h, p, v) for h, p, _, v in _BY_LENGTH)} END AS fixed FROM cut),
+named AS (
+  SELECT host, count(fixed)::DOUBLE AS n, count(*) FILTER (WHERE fixed = 'block')::DOUBLE AS k, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM ruled GROUP BY host),
+hosts AS (
+  SELECT host, n, k, CASE WHEN regexp_matches(name, '^[0-9.]+$|^\\[') THEN name ELSE array_to_string(list_slice(string_split(name, '.'), -2, -1), '.') END AS domain,
+         CASE WHEN regexp_matches(name, '^[0-9.]+$|^\\[') THEN name ELSE string_split(name, '.')[-1] END AS suffix FROM named),
+domains AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
+whole AS (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m, coalesce(sum(n), 0) + 2 AS w FROM hosts),
+suffixes AS (SELECT suffix, sum(domains.n) AS n, sum(k) AS k, any_value(m) AS m, any_value(m * (1 - m) / (w + 1)) AS v FROM domains, whole GROUP BY suffix),
+s1 AS (SELECT {_SHRINK} FROM suffixes)),
+by_suffix AS (SELECT suffix, {_POSTERIOR} FROM suffixes, s1),
+d AS (SELECT suffix, domain, n, k, m, v FROM domains JOIN by_suffix USING (suffix)),
+s2 AS (SELECT {_SHRINK} FROM d)),
+by_domain AS (SELECT suffix, domain, {_POSTERIOR} FROM d, s2),
+h AS (SELECT host, n, k, m, v FROM hosts JOIN by_domain USING (suffix, domain)),
+s3 AS (SELECT {_SHRINK} FROM h)),
+post AS (SELECT host, {_POSTERIOR} FROM h, s3)
+SELECT page_id, host, path, rule, coalesce(fixed, CASE WHEN m - {host_reputation.BOUND} * sqrt(v) > {host_reputation.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled JOIN post USING (host)
+"""
+
+
 @query
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the byte-level ranks and decoded again, as digests."""
@@ -35,6 +79,17 @@ def op6_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op7_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum, read back from the wavelet files of all token ids."""
+    import public_tokenizers
+
+    tokens = staged(wavelet_shards.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1), "tokens")
+    folder = f"{shared_folder(spark)}/llm-shards-{uuid.uuid4().hex}"
+    wavelet_shards.write(tokens, folder, vocabulary=49_408)
+    return wavelet_shards.documents(wavelet_shards.shards(spark, folder))
+
+
 @query
 def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score; learned from labels that are not held out."""
