@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from knowloom.llm import byte_bpe, decontaminate, host_reputation, quality_cnn, simhash_ball, unit_dedup, wavelet_shards
+from knowloom.llm import byte_bpe, decontaminate, host_reputation, html_blocks, quality_cnn, simhash_ball, unit_dedup, wavelet_shards
 from knowloom.llm.shared import shared_folder, staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,13 @@ FROM ruled JOIN post USING (host)
 """
 
 
+@query
+def op3_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    tree = html_blocks.train(html_blocks.labelled(spark))
+    return html_blocks.extract(table(spark, sf_dir, "pages"), tree).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the byte-level ranks and decoded again, as digests."""
