@@ -4,15 +4,16 @@ Two fingerprints that differ in at most four bits share a variant that is at mos
 So every distinct fingerprint has its 2,081 variants within two flips, equal variants meet, and all
 fingerprints that meet are within four bits of each other.
 
-The variants are dealt into buckets by a linear hash of their bits. Because the hash is linear, the
-flips that bring a fingerprint into a bucket follow from its own hash, so a fingerprint travels once
-to a bucket however many of its variants belong there, and the variants are unfolded where they meet.
+Variants are dealt into buckets by their lowest bits. Two flips change at most two of these, so a fingerprint
+travels once to each bucket around its own, however many of its variants belong there, and the variants are
+unfolded where they meet.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -68,40 +69,41 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
 
 class Ball:
-    """The flips within half the radius and a linear hash of ``bits`` bits that deals variants into ``2 ** bits`` buckets."""
+    """The flips within half the radius, parted by the ``bits`` lowest bits, which name a variant's bucket."""
 
     def __init__(self, bits: int, half: int):
-        self.buckets = 1 << bits
-        self.columns = np.random.default_rng(7).integers(1, 1 << bits, 64)
-        self.columns[:bits] = 1 << np.arange(bits)  # so that the hash reaches every bucket
-        flips = [sum(1 << k for k in picked) for n in range(half + 1) for picked in combinations(range(64), n)]
-        flips = np.array(flips, np.uint64)
-        marks = self.hash(flips)
-        order = np.argsort(marks, kind="stable")
-        self.flips, self.starts = flips[order], np.searchsorted(marks[order], np.arange(self.buckets + 1))
+        self.bits, self.half, self.buckets = bits, half, 1 << bits
+        flips = np.array([sum(1 << k for k in picked) for n in range(half + 1) for picked in combinations(range(64), n)], np.uint64)
+        low = self.hash(flips)
+        order = np.argsort(low, kind="stable")
+        #: What the flips change of a bucket's name, and the flips of each such change.
+        self.changes, starts = np.unique(low[order], return_index=True)
+        self.flips = np.split(flips[order], starts[1:])
 
     def hash(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(x), np.int64)
-        for k in range(64):
-            out ^= ((x >> np.uint64(k)) & np.uint64(1)).astype(np.int64) * self.columns[k]
-        return out
-
-    def filled(self) -> np.ndarray:
-        """The differences of hashes that have any flip."""
-        return np.flatnonzero(np.diff(self.starts))
+        return (x & np.uint64(self.buckets - 1)).astype(np.int64)
 
     def variants(self, x: np.ndarray, bucket: int) -> tuple[np.ndarray, np.ndarray]:
         """All variants of the fingerprints ``x`` that belong to ``bucket``, and the position in ``x`` of each one's owner."""
-        marks = self.hash(x) ^ bucket
-        order = np.argsort(marks, kind="stable")
-        ends = np.searchsorted(marks[order], np.arange(self.buckets + 1))
+        low = self.hash(x)
+        order = np.argsort(low, kind="stable")
+        own = low[order]
         made, owner = [], []
-        for mark in np.unique(marks):
-            own = order[ends[mark] : ends[mark + 1]]
-            flips = self.flips[self.starts[mark] : self.starts[mark + 1]]
-            made.append((x[own][:, None] ^ flips[None, :]).ravel())
-            owner.append(np.repeat(own.astype(np.int32), len(flips)))
-        return np.concatenate(made or [np.empty(0, np.uint64)]), np.concatenate(owner or [np.empty(0, np.int32)])
+        for change, flips in zip(self.changes, self.flips):
+            at = order[np.searchsorted(own, bucket ^ change) : np.searchsorted(own, bucket ^ change, side="right")]
+            made.append((x[at][:, None] ^ flips[None, :]).ravel())
+            owner.append(np.repeat(at.astype(np.int32), len(flips)))
+        return np.concatenate(made), np.concatenate(owner)
+
+    def finer(self, x: np.ndarray, bucket: int) -> list[tuple[Ball, int]]:
+        """``bucket``, or, where its variants are too many to unfold at once, the buckets by more bits that make it up."""
+        low = self.hash(x)
+        many = sum(int((low == bucket ^ int(change)).sum()) * len(flips) for change, flips in zip(self.changes, self.flips))
+        if many <= 2 * BUCKET_VARIANTS or self.bits >= 40:
+            return [(self, bucket)]
+        more = min(40 - self.bits, int(np.ceil(np.log2(many / BUCKET_VARIANTS))))
+        ball = Ball(self.bits + more, self.half)
+        return [(ball, bucket | k << self.bits) for k in range(1 << more)]
 
 
 def meet(ball: Ball, x: np.ndarray, bucket: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,36 +137,28 @@ def linked(prints: DataFrame, radius: int = 4) -> DataFrame:
     distinct = prints.select("fp").distinct()
     many = distinct.count()
     half = radius // 2
-    size = sum(len(list(combinations(range(64), n))) for n in range(half + 1))
+    size = sum(comb(64, n) for n in range(half + 1))
     bits = int(np.ceil(np.log2(max(LEAST_BUCKETS, many * size / BUCKET_VARIANTS))))
     ball = Ball(bits, half)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled = ball.filled()
         for batch in batches:
-            x = np.sort(batch.column(0).to_numpy().view(np.uint64))
-            if not len(x):
-                continue
-            marks = ball.hash(x)
-            if len(filled) == ball.buckets:  # every bucket gets a variant of every fingerprint
-                packed = x.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(ball.buckets, dtype=np.int32)), pa.array([packed] * ball.buckets, pa.binary())], names=["bucket", "prints"])
-                continue
-            for part in np.array_split(np.arange(len(x)), max(1, len(x) // 1000)):
-                to = (marks[part][:, None] ^ filled[None, :]).ravel()
-                own = np.repeat(x[part], len(filled))
+            x = batch.column(0).to_numpy().view(np.uint64)
+            for part in np.array_split(x, max(1, len(x) // 2000)):
+                to = (ball.hash(part)[:, None] ^ ball.changes[None, :]).ravel()
                 order = np.argsort(to, kind="stable")
-                to, own = to[order], own[order]
-                cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-                packed = [p.tobytes() for p in np.split(own, cut[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(to[cut].astype(np.int32)), pa.array(packed, pa.binary())], names=["bucket", "prints"])
+                to, own = to[order], np.repeat(part, len(ball.changes))[order]
+                cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]][: len(to)])
+                packed = [p.tobytes() for p in np.split(own, cut[1:])] if len(to) else []
+                yield pa.RecordBatch.from_arrays([pa.array(to[cut].astype(np.int64)), pa.array(packed, pa.binary())], names=["bucket", "prints"])
 
     def gather(key: tuple, rows: pa.Table) -> pa.Table:
         x = np.unique(np.frombuffer(b"".join(rows.column("prints").to_pylist()), np.uint64))
-        a, b = meet(ball, x, key[0].as_py(), radius)
+        found = [meet(part, x, name, radius) for part, name in ball.finer(x, key[0].as_py())]
+        a, b = forest(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
         return pa.table({"a": a, "b": b})
 
-    sent = distinct.mapInArrow(send, "bucket int, prints binary")
+    sent = distinct.mapInArrow(send, "bucket long, prints binary")
     return sent.groupBy("bucket").applyInArrow(gather, "a long, b long")
 
 
@@ -172,10 +166,10 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
     """``doc_id``, ``fp`` (long) and ``component_id`` of every row of ``docs`` (``doc_id``, ``text``).
 
     Rows link when their fingerprints differ in at most ``radius`` bits, an even number; ``component_id`` is the smallest
-    ``doc_id`` reachable by links.
-    Equal fingerprints are one node, so copies cost one row each and no pairs. Null texts count as empty, empty texts
-    have fingerprint zero and link like any other, repeated rows each get their row, rows without a ``doc_id`` stay
-    and take part, a component of only such rows has a null id. Extra columns are ignored; an empty table gives no rows.
+    ``doc_id`` reachable by links. Equal fingerprints are one node, so copies cost one row each and no pairs. Null texts
+    count as empty, empty texts have fingerprint zero and link like any other, repeated rows each get their row, rows
+    without a ``doc_id`` stay and take part, a component of only such rows has a null id. Extra columns are ignored; an
+    empty table gives no rows.
     """
     prints = staged(fingerprints(docs, shingle), "prints")
     return _grouped(prints, radius)
