@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from knowloom.llm import byte_bpe, decontaminate, host_reputation, html_blocks, pivot_join, quality_cnn, simhash_ball, unit_dedup, wavelet_shards
+from knowloom.llm import byte_bpe, decontaminate, host_reputation, html_blocks, license_scan, pivot_join, quality_cnn, simhash_ball, unit_dedup, wavelet_shards
 from knowloom.llm.shared import shared_folder, staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,12 @@ def op3_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(table(spark, sf_dir, "pages"), tree).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a license template that it holds."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the byte-level ranks and decoded again, as digests."""
