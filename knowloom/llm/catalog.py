@@ -96,6 +96,22 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+ORACLES["op4_license_scan"] = f"""
+WITH t AS (SELECT unnest({sorted(license_scan.TEMPLATES)!r}) AS template, unnest([{", ".join("'" + license_scan.TEMPLATES[n].replace("'", "''") + "'" for n in sorted(license_scan.TEMPLATES))}]) AS text),
+tw AS (SELECT template, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM t),
+tk AS (SELECT template, w, CASE WHEN len(w) >= 5 THEN 5 ELSE 3 END AS k FROM tw),
+ts AS (SELECT DISTINCT template, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM tk)),
+tn AS (SELECT template, count(*) AS n FROM ts GROUP BY template),
+dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+ds AS (SELECT doc_id, k, i - 1 AS pos, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, (VALUES (3), (5)) AS kinds(k))),
+hits AS (SELECT doc_id, template, n, pos, ds.s FROM ds JOIN ts ON ds.k = ts.k AND ds.s = ts.s JOIN tn USING (template)),
+w AS (SELECT doc_id, template, n, s, pos // n * n AS begin FROM hits UNION SELECT doc_id, template, n, s, greatest(pos // n - 1, 0) * n AS begin FROM hits),
+shares AS (SELECT doc_id, template, begin, count(DISTINCT s) / any_value(n) AS share FROM w GROUP BY doc_id, template, begin)
+SELECT doc_id, template, max(share) AS containment, min(begin) FILTER (WHERE share = best)::INT AS first_word
+FROM (SELECT *, max(share) OVER (PARTITION BY doc_id, template) AS best FROM shares WHERE share >= 0.8) GROUP BY doc_id, template
+"""
+
+
 @query
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the byte-level ranks and decoded again, as digests."""
@@ -140,5 +156,22 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the text that is left and the original offsets of what was removed."""
-    return unit_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars", "removed")
+    """Every document with the text that is left and the original offsets of what was removed, as ``start-end`` pairs."""
+    found = unit_dedup.dedup(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"], x["end"])), " ")
+    return found.select("doc_id", "text", F.col("n_chars").cast("long").alias("n_chars"), F.size("removed").cast("long").alias("n_removed"), spans.alias("removed_spans"))
+
+
+ORACLES["op10_unit_dedup"] = r"""
+WITH cut AS (
+  SELECT doc_id, unnest(string_split(regexp_replace(text, '(\n\s*|[.!?]+\s+)', '\1' || chr(31), 'g'), chr(31))) AS unit,
+         generate_subscripts(string_split(regexp_replace(text, '(\n\s*|[.!?]+\s+)', '\1' || chr(31), 'g'), chr(31)), 1) AS k FROM documents),
+placed AS (
+  SELECT *, coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+         regexp_extract_all(lower(unit), '\S+') AS words FROM cut),
+ranked AS (
+  SELECT *, len(words) >= 5 AND row_number() OVER (PARTITION BY len(words) >= 5, array_to_string(words, ' ') ORDER BY doc_id, k) > 1 AS gone FROM placed)
+SELECT doc_id, coalesce(string_agg(unit, '' ORDER BY k) FILTER (WHERE NOT gone), '') AS text, coalesce(sum(length(unit)) FILTER (WHERE NOT gone), 0)::BIGINT AS n_chars,
+       count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(start || '-' || (start + length(unit)), ' ' ORDER BY k) FILTER (WHERE gone), '') AS removed_spans
+FROM ranked GROUP BY doc_id
+"""
