@@ -2,17 +2,7 @@ import numpy as np
 import pytest
 
 from knowloom.llm import decontaminate as dc
-
-
-def brute_score(item, text):
-    a, b = dc.words(item), dc.words(text)
-    row, best = [0] * (len(b) + 1), 0
-    for x in a:
-        new = [0]
-        for j, y in enumerate(b):
-            new.append(max(0, row[j] + (1 if x == y else -1), row[j + 1] - 1, new[-1] - 1))
-        row, best = new, max(best, *new)
-    return best / len(a)
+from llm_brute import brute_score
 
 
 @pytest.fixture(scope="module")

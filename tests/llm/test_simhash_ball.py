@@ -1,31 +1,10 @@
 import random
-import re
 
 import numpy as np
 import pytest
-import xxhash
 
 from knowloom.llm import simhash_ball as sb
-
-
-def brute_print(text):
-    text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
-    words = re.findall(r"[^\x20\x09-\x0D]+", text)
-    if not words:
-        return 0
-    shingles = [" ".join(words[k : k + 4]) for k in range(len(words) - 3)] or [" ".join(words)]
-    hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
-def brute_components(prints, ids, radius=4):
-    x, low = np.array(prints, np.uint64), np.array(ids)
-    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= radius
-    while True:
-        new = np.where(near, low[None, :], 1 << 60).min(axis=1)
-        if (new == low).all():
-            return low.tolist()
-        low = new
+from llm_brute import brute_components, brute_print
 
 
 def variants(text, words, rng, n):

@@ -1,4 +1,5 @@
 from knowloom.llm import unit_dedup as ud
+from llm_brute import brute_units
 
 BOILER = "This line is shared by many documents here.\n"
 PASSAGE = "Rivers carry the snow down to the sea. Farmers wait for the warm wind to come! Then the fields are ploughed and sown again. "
@@ -8,30 +9,10 @@ def rows_of(df):
     return {r.doc_id: r for r in df.collect()}
 
 
-def brute(rows, least=ud.LEAST_WORDS):
-    """Earliest occurrence of each unit by (doc_id, place), with plain loops."""
-    seen, out = set(), {}
-    for doc, text in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
-        kept, spans, at = [], [], 0
-        cuts = [m.end() for m in ud.BREAK.finditer(text or "")] + [len(text or "")]
-        for end in cuts:
-            unit = (text or "")[at:end]
-            norm = " ".join(unit.lower().split())
-            if len(norm.split()) >= least and norm in seen:
-                spans.append((at, end))
-            else:
-                kept.append(unit)
-                if len(norm.split()) >= least:
-                    seen.add(norm)
-            at = end
-        out[doc] = ("".join(kept), spans)
-    return out
-
-
 def test_earliest_stays_and_offsets_are_kept(docs_of, words):
     rows = [(3, "Head three is not the same. " + PASSAGE + "Tail three differs from all."), (1, "First words of one are its own. " + PASSAGE), (2, BOILER + PASSAGE.upper() + BOILER)]
     rows += [(k, BOILER + words(30) + ".\n" + ("" if k % 3 else PASSAGE) + words(12)) for k in range(10, 40)] + [(50, words(20_000) + ". " + PASSAGE)]
-    got, want = rows_of(ud.dedup(docs_of(rows))), brute(rows)
+    got, want = rows_of(ud.dedup(docs_of(rows))), brute_units(rows, ud)
     for doc, text in rows:
         assert got[doc].text == want[doc][0]
         assert [(s.start, s.end) for s in got[doc].removed] == want[doc][1]
