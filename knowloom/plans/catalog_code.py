@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import code_chunks, graph as g, headings, relations as rl, retrieval as rt, source_facts as sfx
+from ..operators.declared_facts import declared_facts
 from ..session import staged
 from ..sources import derived_code as dc, warehouse as wh
 from .catalog_graph import SQL_GRAPH
@@ -248,18 +249,18 @@ SELECT organization_id, 'symbol' AS kind, m || '.Props' || k AS owner, 4 AS line
 UNION ALL SELECT organization_id, 'model', m || '.Props' || k, 4 FROM p UNION ALL SELECT organization_id, 'field', m || '.Props' || k, 4 FROM p UNION ALL SELECT organization_id, 'field', m || '.Props' || k, 4 FROM p
 UNION ALL SELECT organization_id, 'config', 'process.env', 14 FROM p""")
 def script_facts(spark, sf):
-    return sfx.extract_facts(dc.part_screens(spark, sf)).where(F.col("kind") != "import").select(ORG, "kind", "owner", "line")
+    return declared_facts(dc.part_screens(spark, sf), sfx.REPO + ["path"]).where(F.col("kind") != "import").select(ORG, "kind", "owner", "line")
 
 
 @query("e27_java_facts", """
 WITH c AS (SELECT 'org' || (c_custkey % 3) AS organization_id, 'com.acme.n' || c_nationkey || '.Customer' || c_custkey AS q, 'Customer' || c_custkey AS t, c_nationkey AS n FROM customer)
 SELECT organization_id, 'symbol' AS kind, q AS owner, t AS name, 7 AS line FROM c UNION ALL SELECT organization_id, 'model', q, t, 7 FROM c
 UNION ALL SELECT organization_id, 'field', q, 'name', 7 FROM c UNION ALL SELECT organization_id, 'field', q, 'balance', 7 FROM c
-UNION ALL SELECT organization_id, 'symbol', q || '.find(long id)', 'find', 12 FROM c UNION ALL SELECT organization_id, 'symbol', q || '.main(String[] args)', 'main', 15 FROM c
+UNION ALL SELECT organization_id, 'symbol', q || '.find(long id)', 'find', 12 FROM c UNION ALL SELECT organization_id, 'symbol', q || '.main(String[] args)', 'main', 16 FROM c
 UNION ALL SELECT organization_id, 'route', t || '.find', 'GET /n' || n || '/{id}', 11 FROM c
 UNION ALL SELECT organization_id, 'config', 'Spring value', 'customer.region', 13 FROM c UNION ALL SELECT organization_id, 'entry_point', 'executable', t || '.main', 16 FROM c""")
 def java_facts(spark, sf):
-    f = sfx.extract_facts(dc.customer_entities(spark, sf)).where(F.col("kind") != "import")
+    f = declared_facts(dc.customer_entities(spark, sf), sfx.REPO + ["path"]).where(F.col("kind") != "import")
     return f.select(ORG, "kind", "owner", F.when(F.col("kind") == "route", F.concat_ws(" ", "name", "value")).otherwise(F.col("name")).alias("name"), "line")
 
 
