@@ -12,13 +12,13 @@ CODE_WINDOW, CODE_OVERLAP = 800, 100
 CODE_CHUNK_MAX = 3000
 
 
-def fixed_window_slices(text: Column, window: int = DOC_WINDOW, overlap: int = DOC_OVERLAP, gapless: bool = False) -> Column:
+def fixed_window_slices(text: Column, window: int = DOC_WINDOW, overlap: int = DOC_OVERLAP, gapless: bool = True) -> Column:
     """Array of (start_char, end_char, body) windows of one text; blank windows left out.
 
     A window that does not reach the end of the text is pulled back to the last paragraph break, else
-    the last line break, in its second half.  Starts advance by a constant step, so when an end is
-    pulled back far, the characters up to the next start are in no window; ``gapless`` keeps the hard
-    end instead.  Each step is its own transform, so nothing is computed twice inside a lambda.
+    the last line break, in its second half, but not before the next start, so that every character
+    is in some window.  Without ``gapless`` it is pulled back all the way, and characters up to the
+    next start may be lost.  Each step is its own transform, so nothing is computed twice in a lambda.
     """
     text = col(text)
     step = window - overlap if window > overlap else window
@@ -28,17 +28,16 @@ def fixed_window_slices(text: Column, window: int = DOC_WINDOW, overlap: int = D
         F.sequence(F.lit(0), F.greatest(total - 1, F.lit(0)), F.lit(step)),
         lambda s: (s == 0) | (s + (window - step) < total),
     )
-    if gapless:
-        ends = F.transform(starts, lambda s: F.struct(s.alias("s"), F.least(s + window, total).alias("e")))
-    else:
-        zones = F.transform(starts, lambda s: F.struct(
-            s.alias("s"),
-            F.when(s + window < total, F.reverse(F.substr(text, s + offset + 1, F.lit(window - offset)))).alias("back")))
-        seams = F.transform(zones, lambda z: F.struct(
-            z["s"].alias("s"),
-            F.coalesce(F.nullif(F.instr(z["back"], "\n\n"), F.lit(0)), F.nullif(F.instr(z["back"], "\n"), F.lit(0))).alias("seam")))
-        ends = F.transform(seams, lambda z: F.struct(
-            z["s"].alias("s"), F.coalesce(z["s"] + window + 1 - z["seam"], F.least(z["s"] + window, total)).alias("e")))
+    zones = F.transform(starts, lambda s: F.struct(
+        s.alias("s"),
+        F.when(s + window < total, F.reverse(F.substr(text, s + offset + 1, F.lit(window - offset)))).alias("back")))
+    seams = F.transform(zones, lambda z: F.struct(
+        z["s"].alias("s"),
+        F.coalesce(F.nullif(F.instr(z["back"], "\n\n"), F.lit(0)), F.nullif(F.instr(z["back"], "\n"), F.lit(0))).alias("seam")))
+    pulled = lambda z: z["s"] + window + 1 - z["seam"]
+    ends = F.transform(seams, lambda z: F.struct(
+        z["s"].alias("s"),
+        F.coalesce(F.when(z["seam"].isNotNull(), F.greatest(pulled(z), z["s"] + step)) if gapless else pulled(z), F.least(z["s"] + window, total)).alias("e")))
     cut = F.transform(ends, lambda w: F.struct(
         w["s"].alias("start_char"), w["e"].alias("end_char"), F.substr(text, w["s"] + 1, w["e"] - w["s"]).alias("body")))
     return F.filter(cut, lambda w: ~is_blank(w["body"]))
@@ -48,7 +47,7 @@ def document_header(filename, section, index, total) -> Column:
     return F.format_string("# Document: %s\n# Section: %s\n# Chunk: %d/%d\n", col(filename), col(section), col(index) + 1, col(total))
 
 
-def fixed_window_chunks(docs: DataFrame, window: int = DOC_WINDOW, overlap: int = DOC_OVERLAP, gapless: bool = False) -> DataFrame:
+def fixed_window_chunks(docs: DataFrame, window: int = DOC_WINDOW, overlap: int = DOC_OVERLAP, gapless: bool = True) -> DataFrame:
     """Rows (doc_id, filename, text, …) to one row per window, without a shuffle.
 
     Windows are built, numbered and counted inside the row, so a document never leaves its task.

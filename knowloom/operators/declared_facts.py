@@ -44,7 +44,7 @@ JAVA_HEAD = rf"^(\d+)\t[ \t]*({JAVA_MODIFIERS}(class|interface|record|enum)\s+([
 JAVA_TYPE = "(?m)" + ABOVE + JAVA_HEAD + r"((?s:.*?))(?=" + ABOVE.replace("((?:", "(?:(?:", 1) + r"^\d+\t[ \t]*" + JAVA_MODIFIERS + r"(?:class|interface|record|enum)\s+\w|\z)"
 JAVA_FIELD = r"(?m)^\d+\t[ \t]*(?:private|protected|public)\s+(?:(?:final|static|transient|volatile)\s+)*([\w<>?,.\[\]]+)\s+([A-Za-z0-9_]+)\s*(?:=[^\n]*)?;"
 JAVA_METHOD = "(?m)" + ABOVE + r"^(\d+)\t[ \t]*(?:public|protected|private)\s+(?:(?:static|final|abstract|synchronized)\s+)*([\w<>?,.\[\]]+)\s+([A-Za-z0-9_]+)\s*\(([^)]*)\)"
-JAVA_MAPPING = r"@(Get|Post|Put|Patch|Delete|Request)Mapping\b\s*(?:\(\s*(?:(?:value|path)\s*=\s*)?[\"']([^\"']*)[\"'])?"
+JAVA_MAPPING = r"@(Get|Post|Put|Patch|Delete|Request)Mapping\b\s*(?:\(\s*(?:\d+\t\s*)?(?:(?:value|path)\s*=\s*)?[\"']([^\"']*)[\"'])?"
 JAVA_IMPORT = AT + r"import\s+(?:static\s+)?([\w.*]+)\s*;"
 JAVA_SETTING = r"\$\{([A-Za-z0-9_.-]+)(?::[^}]*)?\}"
 
@@ -121,7 +121,7 @@ def java_facts(text: Column, path: Column) -> Column:
     stem = F.regexp_replace(F.regexp_replace(path, r"^.*/", ""), r"\.[^.]*$", "")
     owner = F.coalesce(_or_null(F.regexp_extract(text, "(?m)" + JAVA_HEAD, 4)), stem)
     within = lambda *names: F.concat_ws(".", _or_null(package), *names)
-    prefix = F.regexp_extract(F.regexp_extract(text, "(?m)" + ABOVE + JAVA_HEAD, 1), r"@RequestMapping\s*\(\s*(?:(?:value|path)\s*=\s*)?[\"']([^\"']*)[\"']", 1)
+    prefix = F.regexp_extract(F.regexp_extract(text, "(?m)" + ABOVE + JAVA_HEAD, 1), r"@RequestMapping\s*\(\s*(?:\d+\t\s*)?(?:(?:value|path)\s*=\s*)?[\"']([^\"']*)[\"']", 1)
     is_model = lambda g: (g(4) == "record") | g(1).rlike(ENTITY_MARKS)
     none = F.array().cast(f"array<{FACT}>")
 

@@ -181,16 +181,17 @@ def expand_documents(keys: DataFrame, documents: DataFrame, files: DataFrame) ->
 # ------------------------------------------------------------------ topology and display
 
 
-def topology_modules(repositories: DataFrame, modules: DataFrame, limit: int) -> DataFrame:
+def topology_modules(repositories: DataFrame, modules: DataFrame, limit: int | None = None) -> DataFrame:
+    """Repositories with their modules, at most ``limit`` rows for each tenant."""
     rows = repositories.join(modules, [ORG, "repository_id"], "left")
-    return rows.orderBy(ORG, "repository_id", F.col("module_id").asc_nulls_last()).limit(limit)
+    return top_k(rows, [ORG], [F.asc("repository_id"), F.col("module_id").asc_nulls_last()], limit, "_n").drop("_n")
 
 
-def topology_files(files: DataFrame, owns: DataFrame, documents: DataFrame, limit: int) -> DataFrame:
-    """Files with owner and document counts; the limit applies to files, in a fixed order."""
+def topology_files(files: DataFrame, owns: DataFrame, documents: DataFrame, limit: int | None = None) -> DataFrame:
+    """Files with owner and document counts; the limit applies to the files of each tenant, in a fixed order."""
     o = owns.groupBy(ORG, "file_id").agg(F.countDistinct("author_email").alias("owner_count"))
     d = documents.groupBy(ORG, "module_id").agg(F.countDistinct("doc_id").alias("document_count"))
-    page = files.orderBy(ORG, "file_id").limit(limit)
+    page = top_k(files, [ORG], [F.asc("file_id")], limit, "_n").drop("_n")
     return page.join(o, [ORG, "file_id"], "left").join(d, [ORG, "module_id"], "left").fillna(0, ["owner_count", "document_count"])
 
 
@@ -229,12 +230,15 @@ def neighbours(centres: DataFrame, links: DataFrame) -> DataFrame:
     return out.unionByName(back).join(c, [ORG, "centre"], "left_semi")
 
 
-def search_nodes(nodes: DataFrame, text: str, org: str | None = None, limit: int = 50) -> DataFrame:
-    """Case-insensitive substring search on name and path, in a fixed order."""
-    needle = F.lower(F.lit(text.strip()))
+def search_nodes(nodes: DataFrame, asked: DataFrame, limit: int | None = 50) -> DataFrame:
+    """Case-insensitive substring search on name and path: the first ``limit`` nodes of each question, in a fixed order.
+
+    ``asked``: tenant and query_text. A question only ever meets nodes of its own tenant.
+    """
+    needle = F.lower(F.trim("query_text"))
     hit = F.lower(F.coalesce("name", F.lit(""))).contains(needle) | F.lower(F.coalesce("path", F.lit(""))).contains(needle)
-    found = nodes.where(hit if org is None else hit & (F.col(ORG) == org))
-    return found.orderBy("name", "id").limit(limit)
+    found = nodes.join(asked.select(ORG, "query_text").distinct(), ORG).where(hit)
+    return top_k(found, [ORG, "query_text"], [F.asc("name"), F.asc("id")], limit, "position")
 
 
 def repository_listing(repositories: DataFrame, modules: DataFrame, files: DataFrame, documents: DataFrame) -> DataFrame:

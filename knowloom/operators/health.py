@@ -31,8 +31,10 @@ def people(commits: DataFrame) -> DataFrame:
     ).withColumn("person_id", F.concat(F.lit("person:"), "author_email"))
 
 
-def newest_commits(commits: DataFrame, per_repository: int = 500) -> DataFrame:
-    """Rows of the newest commits of every repository; commits are ranked once each, not per touched path."""
+def newest_commits(commits: DataFrame, per_repository: int | None = None) -> DataFrame:
+    """Rows of the newest commits of every repository, of all without a number; commits are ranked once each, not per touched path."""
+    if per_repository is None:
+        return commits
     keys = [ORG, "repository_id"]
     heads = commits.groupBy(*keys, "sha").agg(F.max("committed_at").alias("_at"))
     kept = top_k(heads, keys, [F.desc("_at"), F.desc("sha")], per_repository, "_r").select(*keys, "sha")

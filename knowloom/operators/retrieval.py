@@ -2,24 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import col, tokens
-from ..session import broadcast_if_small
 
 # Okapi constants, fusion constant, stage cut-offs.
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 VECTOR_TOP, KEYWORD_TOP, RERANK_POOL = 50, 100, 30
-QUERY_VECTORS_MAX = 4096  # query vectors shipped to every task: at most 4096 x dimensions x 8 bytes
-GRID_BLOCK_ROWS = 50_000
-KEYWORD_CELLS = 16_000_000  # query terms x queries, summed over tenants, held by a scoring task
-BLOCK_CELLS = 4_000_000
+QUERY_VECTORS = 4096  # query vectors that travel to every task at a time: at most 4096 x dimensions x 8 bytes
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int | None, rank: str) -> DataFrame:
@@ -77,102 +72,30 @@ def bm25(chunks: DataFrame, queries: DataFrame, scope: list[str] = ["organizatio
     """(scope, query_id, chunk_id, keyword_score, keyword_rank) for the positive Okapi scores.
 
     ``chunks``: scope columns, chunk_id, text.  ``queries``: scope columns, query_id, query_text.
-    Corpus statistics follow whatever filters were applied to ``chunks``.  While the query side fits
-    KEYWORD_CELLS, chunks are scored where they are read and only the best rows per task move;
-    otherwise postings are joined with the query terms.
+    Corpus statistics follow whatever filters were applied to ``chunks``.  One way for every size:
+    postings are cut down to query terms before they move, move once (hashed by chunk), and are then
+    counted, scored, summed and cut to the best of each task without another exchange.  Nothing runs
+    while the plan is built; what is broadcast is left to measured sizes.
     """
     wanted = query_terms(queries, scope)
     by_term, by_scope = corpus_statistics(chunks, scope)
-    small = broadcast_if_small(wanted)
-    fits = small is not wanted
     terms = wanted.select(*scope, "term").distinct()
-    weighted = (
-        inverse_document_frequency(by_term, by_scope, scope)
-        .join(F.broadcast(terms) if fits else terms, [*scope, "term"], "left_semi")
-        .join(small, [*scope, "term"])
-    )
-    scores = None
-    if fits and k is not None:
-        rows = weighted.toPandas()  # at most one row per checked query term
-        sizes = rows.groupby(scope)[["term", "query_id"]].nunique().prod(axis=1)
-        if len(rows) == 0 or sizes.sum() <= KEYWORD_CELLS:
-            scores = _bm25_where_read(chunks, queries, rows, scope, k)
-    if scores is None:
-        scores = _bm25_joined(chunks, terms, weighted, scope, fits)
-    return top_k(scores, [*scope, "query_id"], [F.desc("keyword_score"), F.asc("chunk_id")], k, "keyword_rank")
-
-
-def _bm25_joined(chunks: DataFrame, terms: DataFrame, weighted: DataFrame, scope: list[str], fits: bool) -> DataFrame:
-    """Postings are cut down to query terms before they move, move once (hashed by chunk), and are
-    then counted, scored and summed without another exchange."""
-    hint = F.broadcast if fits else (lambda df: df)
+    weighted = inverse_document_frequency(by_term, by_scope, scope).join(wanted, [*scope, "term"])
     postings = (
         chunks.select(*scope, F.col("chunk_id").cast("string"), tokens("text").alias("_t"))
         .select(*scope, "chunk_id", F.size("_t").alias("_len"), F.explode_outer("_t").alias("term"))
-        .join(hint(terms), [*scope, "term"], "left_semi")
-        .repartition("chunk_id")
+        .join(terms, [*scope, "term"], "left_semi")
         .groupBy(*scope, "chunk_id", "_len", "term").agg(F.count(F.lit(1)).alias("_tf"))
     )
     tf = F.col("_tf")
     part = F.col("weight") * F.col("idf") * tf * (BM25_K1 + 1) / (
         tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("_len") / F.col("avgdl")))
-    return (
-        postings.join(hint(weighted), [*scope, "term"])
+    scores = (
+        postings.join(weighted, [*scope, "term"])
         .groupBy(*scope, "chunk_id", "query_id").agg(F.round(F.sum(part), 6).alias("keyword_score"))
         .where(F.col("keyword_score") > 0).select(*scope, "query_id", "chunk_id", "keyword_score")
     )
-
-
-def _bm25_where_read(chunks: DataFrame, queries: DataFrame, rows: pd.DataFrame, scope: list[str], k: int) -> DataFrame:
-    """Score Arrow batches as (chunks x terms) times (terms x queries) and keep each task's best rows."""
-    plans = {}
-    for key, part in rows.groupby(scope, sort=False):
-        term_code, term_names = pd.factorize(part["term"])
-        query_code, query_ids = pd.factorize(part["query_id"])
-        matrix = np.zeros((len(term_names), len(query_ids)))
-        matrix[term_code, query_code] = (part["weight"] * part["idf"]).to_numpy()
-        plans[key] = (list(term_names), list(query_ids), matrix, float(part["avgdl"].iloc[0]))
-    fields = [T.StructField(c, chunks.schema[c].dataType) for c in scope] + [
-        T.StructField("query_id", queries.schema["query_id"].dataType),
-        T.StructField("chunk_id", T.StringType()), T.StructField("keyword_score", T.DoubleType())]
-    schema = T.StructType(fields)
-    arrow_types = [(f.name, to_arrow_type(f.dataType)) for f in fields]
-
-    def score(batches):
-        for batch in batches:
-            keys = batch.select(scope).to_pandas()
-            for key, picked in keys.groupby(scope, sort=False).indices.items():
-                key = key if isinstance(key, tuple) else (key,)
-                if key not in plans:
-                    continue
-                vocabulary, ids, matrix, avgdl = plans[key]
-                part = batch.take(pa.array(picked))
-                lists = part.column("_t")
-                length = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-                code = pc.index_in(lists.flatten(), value_set=pa.array(vocabulary)).fill_null(-1).to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(len(length)), length)
-                row, code = row[code >= 0], code[code >= 0]
-                chunk = part.column("chunk_id").to_numpy(zero_copy_only=False)
-                width = len(vocabulary)
-                block = max(16, BLOCK_CELLS // max(1, max(width, len(ids))))
-                for start in range(0, len(length), block):
-                    stop = min(start + block, len(length))
-                    lo, hi = np.searchsorted(row, [start, stop])
-                    tf = np.bincount((row[lo:hi] - start) * width + code[lo:hi], minlength=(stop - start) * width)
-                    tf = tf.reshape(stop - start, width).astype(np.float64)
-                    norm = BM25_K1 * (1 - BM25_B + BM25_B * length[start:stop] / avgdl)
-                    scores = np.round((tf * (BM25_K1 + 1) / (tf + norm[:, None])) @ matrix, 6)
-                    which, where = _best_rows(-scores.T, chunk[start:stop], k, scores.T > 0)
-                    if len(which) == 0:
-                        continue
-                    out = {name: [value] * len(which) for name, value in zip(scope, key)}
-                    out["query_id"] = [ids[i] for i in which]
-                    out["chunk_id"] = chunk[start:stop][where]
-                    out["keyword_score"] = scores.T[which, where]
-                    yield pa.RecordBatch.from_arrays([pa.array(out[n], type=t) for n, t in arrow_types], names=[n for n, _ in arrow_types])
-
-    corpus = chunks.select(*scope, F.col("chunk_id").cast("string"), tokens("text").alias("_t"))
-    return corpus.mapInArrow(score, schema)
+    return top_k(scores, [*scope, "query_id"], [F.desc("keyword_score"), F.asc("chunk_id")], k, "keyword_rank")
 
 
 def _best_rows(cost: np.ndarray, chunk: np.ndarray, k: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -193,33 +116,27 @@ def _best_rows(cost: np.ndarray, chunk: np.ndarray, k: int, allowed: np.ndarray
 # ---------------------------------------------------------------- vector search
 
 
-def squared_distance(a, b) -> Column:
-    """Squared Euclidean distance of two float arrays, in double."""
-    diff = F.zip_with(col(a), col(b), lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.aggregate(diff, F.lit(0.0), lambda s, x: s + x)
-
-
 def similarity(distance) -> Column:
     """Score of a distance: one minus it, never below zero, four places."""
     return F.round(F.greatest(F.lit(0.0), 1 - col(distance)), 4)
 
 
-def _nearest(rows: pd.DataFrame, matrix: np.ndarray, ids: list, k: int) -> pd.DataFrame:
-    """The k nearest rows per query vector by (rounded distance, chunk_id)."""
+def _nearest(rows: pd.DataFrame, matrix: np.ndarray, k: int) -> tuple:
+    """The k nearest rows per query vector by (rounded distance, chunk_id): query position, chunk id, distance."""
     data = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
     dist = (data * data).sum(1)[None, :] + (matrix * matrix).sum(1)[:, None] - 2.0 * matrix @ data.T
     dist = np.round(np.maximum(dist, 0.0), 6)
-    chunk = rows["chunk_id"].to_numpy()
+    chunk = rows["chunk_id"].to_numpy().astype(str)
     which, where = _best_rows(dist, chunk, k)
-    return pd.DataFrame({"query_id": np.asarray(ids)[which], "chunk_id": chunk[where], "distance": dist[which, where]})
+    return which, chunk[where], dist[which, where]
 
 
 def knn(chunks: DataFrame, queries: DataFrame, scope: list[str] = ["organization_id"], k: int = VECTOR_TOP) -> DataFrame:
     """Exact k nearest chunks per query: (scope, query_id, chunk_id, distance, vector_rank).
 
-    Every Arrow batch is scored as one matrix product and gives up only its own k best per query, so
-    pairs never leave a task.  Up to QUERY_VECTORS_MAX query vectors travel to the chunks; more are
-    matched on a grid of bounded blocks that Spark shuffles.
+    The query vectors are a stated set: they travel to the chunks QUERY_VECTORS at a time, one pass over
+    the chunks for each such block.  A task scores its batches as matrix products and keeps the k best of
+    each query until its end, so pairs never leave it and it gives up k rows a query however much it read.
     """
     corpus = chunks.where(F.col("embedding").isNotNull()).select(*scope, F.col("chunk_id").cast("string"), "embedding")
     asked = queries.where(F.col("embedding").isNotNull()).select(*scope, "query_id", "embedding")
@@ -227,30 +144,56 @@ def knn(chunks: DataFrame, queries: DataFrame, scope: list[str] = ["organization
         T.StructField("query_id", asked.schema["query_id"].dataType),
         T.StructField("chunk_id", T.StringType()), T.StructField("distance", T.DoubleType())]
     schema = T.StructType(fields)
-    sample = asked.limit(QUERY_VECTORS_MAX + 1).toPandas()
-    if len(sample) <= QUERY_VECTORS_MAX:
-        by_scope = {
-            key if isinstance(key, tuple) else (key,): (list(g["query_id"]), np.stack(g["embedding"].to_numpy()).astype(np.float64))
-            for key, g in sample.groupby(list(scope), sort=False)
-        } if len(sample) else {}
+    names = [f.name for f in fields]
+
+    def nearest_to(block: list) -> DataFrame:
+        by_scope: dict = {}
+        for row in block:
+            ids, vectors = by_scope.setdefault(tuple(row[c] for c in scope), ([], []))
+            ids.append(row["query_id"])
+            vectors.append(row["embedding"])
+        by_scope = {key: (ids, np.array(vectors, np.float64)) for key, (ids, vectors) in by_scope.items()}
 
         def score(batches):
+            best: dict = {}
             for batch in batches:
-                for key, rows in batch.groupby(list(scope), sort=False):
+                for key, rows in batch.groupby(list(scope), sort=False, dropna=False):
                     key = key if isinstance(key, tuple) else (key,)
                     if key in by_scope:
                         ids, matrix = by_scope[key]
-                        near = _nearest(rows, matrix, ids, k)
-                        for name, value in zip(scope, key):
-                            near[name] = value
-                        yield near[[f.name for f in fields]]
-
-        partial = corpus.mapInPandas(score, schema)
-    else:
-        partial = _knn_grid(corpus, asked, scope, k, schema)
+                        best[key] = _merge(best.get(key), _nearest(rows, matrix, k), k)
+            for key, near in best.items():
+                out = pd.DataFrame({"query_id": np.asarray(by_scope[key][0])[near[0]], "chunk_id": near[1], "distance": near[2]})
+                for name, value in zip(scope, key):
+                    out[name] = value
+                yield out[names]
+
+        return corpus.mapInPandas(score, schema)
+
+    blocks, held = [], []
+    for row in asked.toLocalIterator():
+        held.append(row)
+        if len(held) == QUERY_VECTORS:
+            blocks.append(nearest_to(held))
+            held = []
+    if held or not blocks:
+        blocks.append(nearest_to(held))
+    partial = reduce(DataFrame.unionByName, blocks)
     return top_k(partial, [*scope, "query_id"], [F.asc("distance"), F.asc("chunk_id")], k, "vector_rank")
 
 
+def _merge(old: tuple | None, new: tuple, k: int) -> tuple:
+    """The k best of two sets of hits (query position, chunk id, distance), per query by (distance, chunk id)."""
+    if old is None:
+        return new
+    query, chunk, dist = (np.concatenate([a, b]) for a, b in zip(old, new))
+    order = np.lexsort((chunk, dist, query))
+    query, chunk, dist = query[order], chunk[order], dist[order]
+    first = np.searchsorted(query, query)
+    kept = np.arange(len(query)) - first < k
+    return query[kept], chunk[kept], dist[kept]
+
+
 def merge_collections(code: DataFrame, docs: DataFrame, keys: list[str], k: int | None = None) -> DataFrame:
     """Rank the hits of both collections together by score; of an id found in both, the code hit stays."""
     both = code.withColumn("collection", F.lit(0)).unionByName(docs.withColumn("collection", F.lit(1)))
@@ -260,28 +203,6 @@ def merge_collections(code: DataFrame, docs: DataFrame, keys: list[str], k: int
     return top_k(best, keys, order, k, "vector_rank").withColumn("result_type", F.when(F.col("collection") == 0, "code").otherwise("doc")).drop("collection")
 
 
-def _knn_grid(corpus: DataFrame, asked: DataFrame, scope: list[str], k: int, schema: T.StructType) -> DataFrame:
-    """Block by block matching; block counts follow the measured sizes, so no block grows with the data."""
-    chunk_blocks = max(1, -(-corpus.count() // GRID_BLOCK_ROWS))
-    query_blocks = max(1, -(-asked.count() // QUERY_VECTORS_MAX))
-    left = corpus.withColumn("_cb", F.pmod(F.xxhash64("chunk_id"), F.lit(chunk_blocks))).withColumn(
-        "_qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
-    right = asked.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks))).withColumn(
-        "_cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunk_blocks - 1).cast("long"))))
-    names = [f.name for f in schema.fields]
-
-    def match(rows: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or vectors.empty:
-            return pd.DataFrame({n: [] for n in names})
-        near = _nearest(rows, np.stack(vectors["embedding"].to_numpy()).astype(np.float64), list(vectors["query_id"]), k)
-        for name in scope:
-            near[name] = rows[name].iloc[0]
-        return near[names]
-
-    keys = [*scope, "_qb", "_cb"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(match, schema)
-
-
 # ---------------------------------------------------------------- fusion, pools, pages
 
 
@@ -398,37 +319,36 @@ def shown_metadata(chunks: DataFrame, allowed: dict, keep: list[str]) -> DataFra
     return chunks.select(*keep, *cols)
 
 
-def literal_search(files: DataFrame, needles: DataFrame, max_results: int = 50, block: int = 500) -> DataFrame:
+def literal_search(files: DataFrame, needles: DataFrame, max_results: int | None = 50, max_chars: int | None = None, block: int = 500) -> DataFrame:
     """Case-insensitive literal line search: (query_id, path, line, text) for the first hits in path order.
 
-    The needles (query_id, needle) become a constant of the scan, ``block`` at a time, so each line is
-    looked at where it is read and only hits move; the cut per query runs in the task first.
+    The needles (query_id, needle) are a stated set: ``block`` of them at a time become a constant of one scan, so each
+    line is looked at where it is read and only hits move; the cut per query runs in the task first. ``max_results`` and
+    ``max_chars`` (of a shown line) are choices of the caller; None shows all.
     """
     asked = needles.select("query_id", F.lower(F.trim("needle")).alias("n")).where(F.col("n") != "").distinct()
     rows = files.select("path", F.posexplode(F.split("text", "\n")).alias("_n", "_line"))
     kind = needles.schema["query_id"].dataType
-    found, held = [], []
+    shown = F.col("_line") if max_chars is None else F.left("_line", F.lit(max_chars))
 
     def scan(some: list) -> DataFrame:
-        consts = F.array(*[F.struct(F.lit(r["query_id"]).cast(kind).alias("q"), F.lit(r["n"]).alias("n")) for r in some])
+        consts = F.array(*[F.struct(F.lit(r["query_id"]).cast(kind).alias("q"), F.lit(r["n"]).alias("n")) for r in some]) if some else F.array().cast(T.ArrayType(T.StructType([T.StructField("q", kind), T.StructField("n", T.StringType())])))
         low = F.lower("_line")
-        hits = rows.select("path", "_n", "_line", F.explode_outer(F.filter(consts, lambda c: low.contains(c["n"]))).alias("_c")).where(F.col("_c").isNotNull())
-        return hits.select(F.col("_c.q").alias("query_id"), "path", (F.col("_n") + 1).alias("line"), F.left("_line", F.lit(500)).alias("text"))
+        hits = rows.select("path", "_n", "_line", F.explode(F.filter(consts, lambda c: low.contains(c["n"]))).alias("_c"))
+        return hits.select(F.col("_c.q").alias("query_id"), "path", (F.col("_n") + 1).alias("line"), shown.alias("text"))
 
-    for r in asked.toLocalIterator():
-        held.append(r)
+    found, held = [], []
+    for row in asked.toLocalIterator():
+        held.append(row)
         if len(held) == block:
             found.append(scan(held))
             held = []
     if held or not found:
-        found.append(scan(held) if held else rows.limit(0).select(F.lit(None).cast(kind).alias("query_id"), "path", F.col("_n").alias("line"), F.col("_line").alias("text")))
-    hits = found[0]
-    for more in found[1:]:
-        hits = hits.unionByName(more)
-    return top_k(hits, ["query_id"], [F.asc("path"), F.asc("line")], max_results, "hit").drop("hit")
+        found.append(scan(held))
+    return top_k(reduce(DataFrame.unionByName, found), ["query_id"], [F.asc("path"), F.asc("line")], max_results, "hit").drop("hit")
 
 
-def lookup_symbols(symbols: DataFrame, names: DataFrame, max_results: int = 25) -> DataFrame:
+def lookup_symbols(symbols: DataFrame, names: DataFrame, max_results: int | None = 25) -> DataFrame:
     """Symbols by exact qualified name, else by name whatever its case."""
     exact = symbols.join(names, symbols["qualified_name"] == names["symbol_name"]).withColumn("_p", F.lit(0))
     loose = symbols.join(names, F.lower(symbols["name"]) == F.lower(names["symbol_name"])).withColumn("_p", F.lit(1))

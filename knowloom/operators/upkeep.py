@@ -11,8 +11,6 @@ from .retrieval import top_k
 ORG = "organization_id"
 
 # Ceilings of the file walk and of the source inventory.
-WALK_FILES, WALK_BYTES = 10_000, 1_048_576
-INVENTORY_FILES, INVENTORY_FILE_BYTES, INVENTORY_BYTES = 20_000, 2 * 1024 * 1024, 50 * 1024 * 1024
 UPLOAD_SUFFIXES = (".md", ".txt", ".rst", ".pdf", ".docx")
 UPLOAD_BYTES, UPLOAD_FILES = 10 * 1024 * 1024, 50
 
@@ -123,8 +121,8 @@ def status_ladder(total_failed, embedded_failed) -> Column:
 # ------------------------------------------------------------------ walks
 
 
-def walk_problem(path, size) -> Column:
-    """Why the ingestion walk leaves a file out; null for a kept one."""
+def walk_problem(path, size, max_bytes: int | None = None) -> Column:
+    """Why the ingestion walk leaves a file out; null for a kept one. Files are too large only beyond a given ``max_bytes``."""
     p = paths.parts(F.col(path))
     folders = F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0)))
     ext = F.lower(paths.suffix(F.col(path)))
@@ -132,18 +130,22 @@ def walk_problem(path, size) -> Column:
         F.when(F.exists(folders, lambda d: d.isin(*paths.WALK_SKIP_FOLDERS) | d.startswith(".")), "skipped_folder")
         .when(ext.isin(*paths.WALK_SKIP_SUFFIXES), "skipped_suffix")
         .when(~ext.isin(*paths.CODE_SUFFIXES, *paths.DOC_SUFFIXES), "unsupported")
-        .when(F.col(size) > WALK_BYTES, "too_large")
+        .when(_above(size, max_bytes), "too_large")
     )
 
 
-def ingestion_walk(files: DataFrame, max_files: int = WALK_FILES) -> DataFrame:
-    """Kept files of every repository, the first ``max_files`` in path order, marked as document or code."""
-    kept = files.where(walk_problem("path", "size_bytes").isNull())
+def _above(size, ceiling: int | None) -> Column:
+    return F.lit(False) if ceiling is None else F.col(size) > ceiling
+
+
+def ingestion_walk(files: DataFrame, max_files: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Kept files of every repository in path order, marked as document or code; all of them unless ceilings are given."""
+    kept = files.where(walk_problem("path", "size_bytes", max_bytes).isNull())
     ranked = top_k(kept, [ORG, "repository_id"], [F.asc("path")], max_files, "position")
     return ranked.withColumns({"is_document": paths.is_document("path"), "module_name": paths.module_of("path")})
 
 
-def inventory_reason(path, size, sample_has_nul) -> Column:
+def inventory_reason(path, size, sample_has_nul, max_file_bytes: int | None = None) -> Column:
     """Exclusion reason of the source inventory before the size budget; null for a candidate."""
     p = paths.parts(F.col(path))
     folders = F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0)))
@@ -151,27 +153,31 @@ def inventory_reason(path, size, sample_has_nul) -> Column:
         F.when(F.exists(folders, lambda d: F.lower(d).isin(*paths.INVENTORY_SKIP_FOLDERS)), "generated_or_vendor_directory")
         .when(paths.is_sensitive(F.col(path)), "sensitive_file")
         .when(~paths.is_recognized_text(F.col(path)), "binary_or_unsupported")
-        .when(F.col(size) > INVENTORY_FILE_BYTES, "file_size_limit")
+        .when(_above(size, max_file_bytes), "file_size_limit")
         .when(F.col(sample_has_nul), "binary_or_unsupported")
     )
 
 
-def source_inventory(files: DataFrame, max_bytes: int = INVENTORY_BYTES, max_files: int = INVENTORY_FILES) -> DataFrame:
+def source_inventory(files: DataFrame, max_bytes: int | None = None, max_files: int | None = None, max_file_bytes: int | None = None) -> DataFrame:
     """Every file with its category, language and exclusion reason.
 
-    The file cap is a rank cut.  The byte budget is greedy in walk order (a file that does not fit is
-    passed over, later smaller ones may fit); that needs the order, so the at most ``max_files``
-    candidates of one repository, path and size only, are walked in a task of their own.
+    Nothing is cut unless a ceiling is given.  The file cap is a rank cut.  The byte budget is greedy in
+    walk order (a file that does not fit is passed over, later smaller ones may fit); that needs the
+    order, so the candidates of one repository, path and size only, are walked in a task of their own.
     """
     keys = [ORG, "repository_id"]
     marked = files.withColumns({
-        "reason": inventory_reason("path", "size_bytes", "has_nul"), "category": paths.category("path"), "language": paths.language("path")})
+        "reason": inventory_reason("path", "size_bytes", "has_nul", max_file_bytes), "category": paths.category("path"), "language": paths.language("path")})
+    if max_bytes is None and max_files is None:
+        return marked
     ranked = marked.withColumn("_walk", walk_order("path"))
     pool = top_k(ranked.where(F.coalesce(F.col("reason") != "generated_or_vendor_directory", F.lit(True))), keys, [F.asc("_walk")], max_files, "_n")
     pool = pool.select(*keys, "path", F.lit(True).alias("_in"))
     marked = ranked.join(pool, [*keys, "path"], "left").withColumn(
         "reason", F.coalesce(F.when(F.col("_in").isNull() & (F.coalesce(F.col("reason"), F.lit("")) != "generated_or_vendor_directory"),
                                     F.lit("repository_file_limit")), F.col("reason")))
+    if max_bytes is None:
+        return marked.drop("_in", "_walk")
     candidates = marked.where(F.col("reason").isNull())
     # repositories that fit as a whole need no walk at all
     totals = candidates.groupBy(*keys).agg(F.sum("size_bytes").alias("_sum")).where(F.col("_sum") > max_bytes).select(*keys)

@@ -149,7 +149,7 @@ def doc_expansion(spark, sf):
 
 @query("g9_topology_modules", SQL_GRAPH + """
 SELECT organization_id, repository_id, module_id FROM (SELECT DISTINCT organization_id, repository_id FROM files) r JOIN mods USING (organization_id, repository_id)
-ORDER BY organization_id, repository_id, module_id LIMIT 250""")
+QUALIFY row_number() OVER (PARTITION BY organization_id ORDER BY repository_id, module_id) <= 250""")
 def topology_modules(spark, sf):
     m = wh.modules(spark, sf)
     return g.topology_modules(m.select(ORG, "repository_id").distinct(), m, 250).select(ORG, "repository_id", "module_id")
@@ -158,7 +158,7 @@ def topology_modules(spark, sf):
 @query("g10_topology_files", SQL_GRAPH + """
 SELECT f.organization_id, f.file_id, (SELECT count(DISTINCT author_email) FROM owns o WHERE o.organization_id = f.organization_id AND o.file_id = f.file_id) AS owner_count,
   (SELECT count(DISTINCT doc_id) FROM docs d WHERE d.organization_id = f.organization_id AND d.module_id = f.module_id) AS document_count
-FROM (SELECT * FROM files ORDER BY organization_id, file_id LIMIT 250) f""")
+FROM (SELECT * FROM files QUALIFY row_number() OVER (PARTITION BY organization_id ORDER BY file_id) <= 250) f""")
 def topology_files(spark, sf):
     return g.topology_files(wh.files(spark, sf), wh.ownership(spark, sf), wh.linked_documents(spark, sf), 250).select(ORG, "file_id", "owner_count", "document_count")
 
@@ -185,13 +185,13 @@ def callees(spark, sf):
 SQL_TRADE = """
 WITH trade AS (SELECT 'org' || n_regionkey AS organization_id, s_nationkey::VARCHAR AS source, c_nationkey::VARCHAR AS target, count(*) AS evidence_count
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL),
-nodes AS (SELECT DISTINCT 'org' || b.n_regionkey AS organization_id, a.n_nationkey::VARCHAR AS id, 'N' || a.n_regionkey AS label FROM nation a, nation b WHERE a.n_nationkey % 5 <> 4)
+nodes AS (SELECT DISTINCT 'org' || b.n_regionkey AS organization_id, a.n_nationkey::VARCHAR AS id, 'N' || a.n_regionkey AS label FROM nation a, nation b)
 """
 
 
 def nation_nodes(spark, sf):
     """Every nation as a node of each of the five regions' tenants."""
-    n = wh.table(spark, sf, "nation").where(F.col("n_nationkey") % 5 != 4)
+    n = wh.table(spark, sf, "nation")
     return n.select(F.col("n_nationkey").cast("string").alias("id"), F.concat(F.lit("N"), "n_regionkey").alias("label"),
                     F.explode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda r: F.concat(F.lit("org"), r.cast("string")))).alias(ORG))
 
@@ -259,11 +259,12 @@ def neighbours(spark, sf):
 
 
 @query("g16_node_search", SQL_GRAPH + """
-SELECT id, name FROM (SELECT module_id AS id, module_name AS name, module_name AS path FROM mods UNION ALL SELECT file_id, path, path FROM files UNION ALL SELECT function_id, function_name, NULL FROM syms
-  UNION ALL SELECT file_id || '::' || symbol_name, symbol_name, NULL FROM cls UNION ALL SELECT doc_id, filename, relative_path FROM docs)
-WHERE contains(lower(name), 'widget') OR contains(lower(coalesce(path, '')), 'widget') ORDER BY name, id LIMIT 50""")
+SELECT organization_id, id, name FROM (SELECT organization_id, module_id AS id, module_name AS name, module_name AS path FROM mods UNION ALL SELECT organization_id, file_id, path, path FROM files
+  UNION ALL SELECT organization_id, function_id, function_name, NULL FROM syms UNION ALL SELECT organization_id, file_id || '::' || symbol_name, symbol_name, NULL FROM cls UNION ALL SELECT organization_id, doc_id, filename, relative_path FROM docs)
+WHERE contains(lower(name), 'widget') OR contains(lower(coalesce(path, '')), 'widget') QUALIFY row_number() OVER (PARTITION BY organization_id ORDER BY name, id) <= 50""")
 def node_search(spark, sf):
-    return g.search_nodes(all_nodes(spark, sf), " Widget ").select("id", "name")
+    asked = wh.files(spark, sf).select(ORG).distinct().withColumn("query_text", F.lit(" Widget "))
+    return g.search_nodes(all_nodes(spark, sf), asked).select(ORG, "id", "name")
 
 
 @query("g17_repo_listing", SQL_GRAPH + """

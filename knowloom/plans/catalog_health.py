@@ -15,32 +15,32 @@ def wide_context(spark, sf):
 
 
 def thin_context(spark, sf):
-    """Modules per (brand, size) with only late commits, so that few or no owners occur."""
-    p = wh.table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias(ORG), F.concat(F.lit("m"), F.col("p_size").cast("string")).alias("module_id"))
+    """Modules per (brand, size); whose commits a module's size makes unsigned or the work of one to four people."""
+    p = wh.table(spark, sf, "part").select("p_partkey", "p_size", F.col("p_brand").alias(ORG), F.concat(F.lit("m"), F.col("p_size").cast("string")).alias("module_id"))
     mods = p.select(ORG, "module_id").distinct().withColumns({"module_name": F.col("module_id"), "repository_id": F.col(ORG)})
     li = wh.table(spark, sf, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
-    late = li.where(F.col("l_shipdate") >= F.lit("2001-09-15").cast("timestamp"))
-    owns = late.groupBy(ORG, "module_id", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("author_email")).agg(F.count(F.lit(1)).alias("commit_count"))
+    author = F.when(F.col("p_size") % 7 != 0, F.concat(F.lit("s"), (F.col("l_suppkey") % (1 + F.col("p_size") % 4)).cast("string")))
+    owns = li.withColumn("author_email", author).where("author_email is not null").groupBy(ORG, "module_id", "author_email").agg(F.count(F.lit(1)).alias("commit_count"))
     owns = owns.withColumn("author_name", F.col("author_email"))
-    fns = late.select(ORG, "module_id", F.concat(F.lit("f"), "l_orderkey", F.lit("_"), "l_linenumber").alias("function_name"),
+    fns = li.select(ORG, "module_id", F.concat(F.lit("f"), "l_orderkey", F.lit("_"), "l_linenumber").alias("function_name"),
                       F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_suppkey").cast("string")).alias("function_id"),
                       F.when(F.col("l_linestatus") == "O", "C").otherwise("").alias("parent_class"), F.concat(F.lit("p"), "l_partkey").alias("path"),
                       (F.col("l_quantity") * 8).cast("int").alias("token_count"), (F.col("l_returnflag") != "N").alias("is_documented"))
-    c = wh.table(spark, sf, "customer").join(p, F.col("c_custkey") == F.col("p_partkey")).where(F.col("c_acctbal") < 1500)
+    c = wh.table(spark, sf, "customer").join(p, F.col("c_custkey") == F.col("p_partkey"))
     docs = c.select(ORG, "module_id", F.col("c_name").alias("doc_id"), F.when(F.col("c_nationkey") % 3 == 0, "README.md").otherwise("guide.md").alias("filename"))
     return h.module_context(mods, fns, docs, owns), fns
 
 
 SQL_THIN = """
-WITH p AS (SELECT p_partkey, p_brand AS organization_id, 'm' || p_size AS module_id FROM part),
+WITH p AS (SELECT p_partkey, p_size, p_brand AS organization_id, 'm' || p_size AS module_id FROM part),
 mods AS (SELECT DISTINCT organization_id, module_id, module_id AS module_name FROM p),
-late AS (SELECT l.*, organization_id, module_id FROM lineitem l JOIN p ON l_partkey = p_partkey WHERE l_shipdate >= TIMESTAMP '2001-09-15'),
-o AS (SELECT organization_id, module_id, count(DISTINCT l_suppkey) AS bus_factor, min('s' || l_suppkey) AS sole_owner FROM late GROUP BY ALL),
+work AS (SELECT l.*, organization_id, module_id, CASE WHEN p_size % 7 <> 0 THEN 's' || (l_suppkey % (1 + p_size % 4)) END AS author FROM lineitem l JOIN p ON l_partkey = p_partkey),
+o AS (SELECT organization_id, module_id, count(DISTINCT author) AS bus_factor, min(author) AS sole_owner FROM work GROUP BY ALL),
 fns AS (SELECT organization_id, module_id, 'f' || l_orderkey || '_' || l_linenumber AS function_name,
   l_partkey || '-' || l_orderkey || '-' || l_linenumber || '-' || l_suppkey AS function_id, CASE WHEN l_linestatus = 'O' THEN 'C' ELSE '' END AS parent_class,
-  'p' || l_partkey AS path, (l_quantity * 8)::INT AS token_count, l_returnflag <> 'N' AS is_documented FROM late),
+  'p' || l_partkey AS path, (l_quantity * 8)::INT AS token_count, l_returnflag <> 'N' AS is_documented FROM work),
 fc AS (SELECT organization_id, module_id, count(*) AS total, count(*) FILTER (is_documented) AS documented, count(*) FILTER (parent_class = '') AS entries FROM fns GROUP BY ALL),
-d AS (SELECT organization_id, module_id, count(*) AS linked_docs, bool_or(c_nationkey % 3 = 0) AS has_readme FROM customer JOIN p ON c_custkey = p_partkey WHERE c_acctbal < 1500 GROUP BY ALL),
+d AS (SELECT organization_id, module_id, count(*) AS linked_docs, bool_or(c_nationkey % 3 = 0) AS has_readme FROM customer JOIN p ON c_custkey = p_partkey GROUP BY ALL),
 ctx AS (SELECT m.*, coalesce(total, 0) AS total, coalesce(total - documented, 0) AS undocumented, coalesce(entries, 0) AS entries,
    CASE WHEN coalesce(total, 0) = 0 THEN 100.0 ELSE round(documented / total * 100, 1) END AS coverage_pct,
    coalesce(linked_docs, 0) AS linked_docs, coalesce(has_readme, false) AS has_readme, coalesce(bus_factor, 0) AS bus_factor, sole_owner
@@ -79,10 +79,12 @@ def newest(spark, sf):
 
 @query("e14_authored", SQL_GRAPH + """
 , t AS (SELECT organization_id, repository_id, file_id, arg_max(author_email, row(committed_at, sha, author_email)) AS m, count(*) AS n FROM commits GROUP BY ALL)
-SELECT s.organization_id, s.file_id || '::' || symbol_name AS symbol_id, t.m AS author_email, n AS commit_count FROM cls s JOIN t USING (organization_id, repository_id, file_id)""")
+SELECT s.organization_id, s.symbol_id, t.m AS author_email, n AS commit_count
+FROM (SELECT organization_id, repository_id, file_id, file_id || '::' || symbol_name AS symbol_id FROM cls UNION ALL SELECT organization_id, repository_id, file_id, function_id FROM syms) s JOIN t USING (organization_id, repository_id, file_id)""")
 def authored(spark, sf):
     c = wh.commits(spark, sf)
-    return h.authored(wh.classes(spark, sf), h.last_touch(c), c).select(ORG, "symbol_id", "author_email", "commit_count")
+    own = [ORG, "repository_id", "file_id", "symbol_id"]
+    return h.authored(wh.classes(spark, sf).select(own).unionByName(wh.symbols(spark, sf).select(own)), h.last_touch(c), c).select(ORG, "symbol_id", "author_email", "commit_count")
 
 
 @query("e15_first_per_key", SQL_GRAPH + "SELECT organization_id, function_id, start_line, end_line, parent_class, token_count, is_documented FROM syms")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import mapping as mp, providers, retrieval as rt
@@ -13,7 +14,7 @@ from .registry import query
 
 # Independent statement of both rankings; every benchmark text is asked in every tenant.
 SQL_KNN = SQL_CHUNKS + """, asked AS (
-  SELECT l.lang AS organization_id, b.item_id AS query_id, b.text AS query_text FROM benchmark b, (SELECT unnest(['de','en','es','fr']) AS lang) l),
+  SELECT l.lang AS organization_id, b.item_id AS query_id, b.text AS query_text FROM benchmark b, (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) l),
 qvec AS (SELECT a.organization_id, a.query_id, e.embedding AS q FROM asked a JOIN embeddings e ON e.vec_id = a.query_id),
 cvec AS (SELECT c.organization_id, c.chunk_id, e.embedding AS v FROM chunk_text c JOIN embeddings e ON e.vec_id = c.doc_id),
 dist AS (SELECT organization_id, query_id, chunk_id,
@@ -125,6 +126,28 @@ def hybrid_search(spark, sf):
     return page.select("organization_id", "query_id", "chunk_id", "final_rank", "rerank_score", "rrf_score", "total_results")
 
 
+@query("hybrid_min_score", SQL_BOTH.replace("FROM knn k FULL OUTER JOIN", "FROM (SELECT * FROM knn WHERE round(greatest(0, 1 - distance), 4) >= 0.02) k FULL OUTER JOIN") + """
+SELECT organization_id, query_id, chunk_id, rrf_rank::INT AS final_rank, rrf_score, least(n, 30) AS total_results
+FROM (SELECT *, count(*) OVER (PARTITION BY organization_id, query_id) AS n FROM ranked) WHERE rrf_rank <= 10""")
+def hybrid_min_score(spark, sf):
+    page = hybrid.search(wh.document_chunks(spark, sf), wh.tenant_queries(spark, sf, True), wh.embedded_chunks(spark, sf), min_score=0.02)
+    return page.select("organization_id", "query_id", "chunk_id", "final_rank", "rrf_score", "total_results")
+
+
+def mixed_lengths(query: pd.Series, text: pd.Series) -> pd.Series:
+    """A made-up reranking model: none for one text in seven, else the texts' lengths mixed."""
+    n = text.str.len()
+    return ((n * 31 + query.str.len() * 17) % 101).astype("float64").where(n % 7 != 0)
+
+
+@query("hybrid_reranked", SQL_BOTH + """, pool AS (SELECT r.*, length(query_text) AS q, CASE WHEN length(c.text) <= 400 THEN length(c.text) ELSE 405 END AS n FROM ranked r JOIN asked a USING (organization_id, query_id) JOIN chunk_text c USING (organization_id, chunk_id) WHERE rrf_rank <= 30),
+scored AS (SELECT *, CASE WHEN n % 7 <> 0 THEN ((n * 31 + q * 17) % 101)::DOUBLE END AS rerank_score FROM pool)
+SELECT organization_id, query_id, chunk_id, rerank_score, row_number() OVER (PARTITION BY organization_id, query_id ORDER BY rerank_score DESC NULLS LAST, rrf_rank)::INT AS final_rank FROM scored QUALIFY final_rank <= 10""")
+def hybrid_reranked(spark, sf):
+    page = hybrid.search(wh.document_chunks(spark, sf), wh.tenant_queries(spark, sf, True), wh.embedded_chunks(spark, sf), score_udf=F.pandas_udf(mixed_lengths, "double"))
+    return page.select("organization_id", "query_id", "chunk_id", "rerank_score", "final_rank")
+
+
 @query("r13_page", SQL_BOTH + """
 SELECT organization_id, query_id, chunk_id, rrf_rank::INT AS final_rank, least(n, 35) AS total_results
 FROM (SELECT *, count(*) OVER (PARTITION BY organization_id, query_id) AS n FROM ranked) WHERE rrf_rank BETWEEN 26 AND 35""")
@@ -194,7 +217,7 @@ def derived_ids(spark, sf):
 @query("r19_literal_search", """
 WITH needle AS (SELECT item_id AS query_id, lower(trim(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2))) AS n FROM benchmark),
 l AS (SELECT source || '/' || doc_id AS path, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS no FROM documents)
-SELECT query_id, path, no::INT AS line, left(line, 500) AS text FROM (
+SELECT query_id, path, no::INT AS line, line AS text FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY path, no) AS r FROM needle JOIN l ON contains(lower(line), n)) WHERE r <= 50""")
 def literal(spark, sf):
     b = wh.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("needle"))

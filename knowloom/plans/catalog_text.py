@@ -24,8 +24,8 @@ zoned AS (
 ended AS (
   SELECT doc_id, lang, source, text, s AS start_char,
     CASE WHEN NOT inner_window THEN len
-         WHEN contains(zone, chr(10) || chr(10)) THEN s + 850 + length(regexp_extract(zone, '(?s)^.*\\n\\n'))
-         WHEN contains(zone, chr(10)) THEN s + 850 + length(regexp_extract(zone, '(?s)^.*\\n'))
+         WHEN contains(zone, chr(10) || chr(10)) THEN greatest(s + 1700, s + 850 + length(regexp_extract(zone, '(?s)^.*\\n\\n')))
+         WHEN contains(zone, chr(10)) THEN greatest(s + 1700, s + 850 + length(regexp_extract(zone, '(?s)^.*\\n')))
          ELSE s + 2000 END AS end_char FROM zoned),
 bodies AS (
   SELECT doc_id, lang, source, start_char, end_char,

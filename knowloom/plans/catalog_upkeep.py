@@ -29,30 +29,23 @@ sized AS (SELECT p_type AS organization_id, 'repo:' || p_brand AS repository_id,
 
 
 @query("s3_ingestion_walk", SQL_SIZED + """
-, k AS (SELECT * FROM sized WHERE p_partkey % 13 <> 0 AND size_bytes <= 1048576 AND regexp_matches(path, '\\.(py|yaml|json|md|tsx)$') AND path NOT LIKE '%/.env')
+, k AS (SELECT * FROM sized WHERE p_partkey % 13 <> 0 AND regexp_matches(path, '\\.(py|yaml|json|md|tsx)$') AND path NOT LIKE '%/.env')
 SELECT organization_id, repository_id, path, row_number() OVER (PARTITION BY organization_id, repository_id ORDER BY path)::INT AS position,
-  path LIKE 'README%' OR path LIKE 'docs/%' AS is_document FROM k QUALIFY position <= 5""")
+  path LIKE 'README%' OR path LIKE 'docs/%' AS is_document FROM k""")
 def ingestion_walk(spark, sf):
-    return up.ingestion_walk(sized_tree(spark, sf), 5).select(ORG, "repository_id", "path", "position", "is_document")
+    return up.ingestion_walk(sized_tree(spark, sf)).select(ORG, "repository_id", "path", "position", "is_document")
 
 
 @query("s4_source_inventory", SQL_SIZED + """
-, r AS (SELECT *, CASE WHEN p_partkey % 13 = 0 THEN 'generated_or_vendor_directory' WHEN path LIKE '%/.env' THEN 'sensitive_file' WHEN size_bytes > 2097152 THEN 'file_size_limit'
-   WHEN has_nul THEN 'binary_or_unsupported' END AS reason,
-   list_aggregate(list_transform(string_split(path, '/'), lambda s, i: (CASE WHEN i = len(string_split(path, '/')) THEN 'A' ELSE 'B' END) || s), 'string_agg', chr(1)) AS walk FROM sized),
-c AS (SELECT *, row_number() OVER (PARTITION BY organization_id, repository_id ORDER BY walk) AS n FROM r WHERE reason IS NULL),
-g(organization_id, repository_id, n, used, fits) AS (
-  SELECT organization_id, repository_id, 0::BIGINT, 0::BIGINT, true FROM (SELECT DISTINCT organization_id, repository_id FROM c)
-  UNION ALL SELECT c.organization_id, c.repository_id, c.n, CASE WHEN g.used + size_bytes <= 3000000 THEN g.used + size_bytes ELSE g.used END, g.used + size_bytes <= 3000000
-    FROM g JOIN c ON c.organization_id = g.organization_id AND c.repository_id = g.repository_id AND c.n = g.n + 1)
-SELECT r.organization_id, r.repository_id, r.path, coalesce(r.reason, CASE WHEN NOT g.fits THEN 'repository_size_limit' END, '') AS reason
-FROM r LEFT JOIN c ON c.p_partkey = r.p_partkey LEFT JOIN g ON g.organization_id = c.organization_id AND g.repository_id = c.repository_id AND g.n = c.n""")
+, r AS (SELECT *, CASE WHEN p_partkey % 13 = 0 THEN 'generated_or_vendor_directory' WHEN path LIKE '%/.env' THEN 'sensitive_file'
+   WHEN has_nul THEN 'binary_or_unsupported' END AS reason FROM sized)
+SELECT organization_id, repository_id, path, coalesce(reason, '') AS reason FROM r""")
 def inventory(spark, sf):
-    return up.source_inventory(sized_tree(spark, sf), max_bytes=3_000_000).select(ORG, "repository_id", "path", F.coalesce("reason", F.lit("")).alias("reason"))
+    return up.source_inventory(sized_tree(spark, sf)).select(ORG, "repository_id", "path", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
 @query("e35_histograms", SQL_SIZED + """
-, k AS (SELECT * FROM sized WHERE p_partkey % 13 <> 0 AND path NOT LIKE '%/.env' AND size_bytes <= 2097152 AND NOT has_nul),
+, k AS (SELECT * FROM sized WHERE p_partkey % 13 <> 0 AND path NOT LIKE '%/.env' AND NOT has_nul),
 l AS (SELECT organization_id, CASE WHEN path LIKE '%.py' THEN 'Python' WHEN path LIKE '%.sql' THEN 'SQL' WHEN path LIKE '%.tsx' THEN 'TypeScript' END AS label FROM k)
 SELECT organization_id, label, count(*) AS files FROM l WHERE label IS NOT NULL GROUP BY ALL""")
 def histograms(spark, sf):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.text import head_tail
 from ..operators import graph, retrieval as rt
 from ..operators.providers import stub_answer
 
@@ -11,23 +12,32 @@ ORG = "organization_id"
 KEYS = [ORG, "query_id"]
 
 
-def fuse(chunks: DataFrame, queries: DataFrame, embedded: DataFrame, limit: int = 10, offset: int = 0) -> DataFrame:
-    """Fused ranking of every query; the cut-offs grow with the asked page."""
+def fuse(chunks: DataFrame, queries: DataFrame, embedded: DataFrame, limit: int = 10, offset: int = 0, min_score: float = 0.0) -> DataFrame:
+    """Fused ranking of every query; the cut-offs grow with the asked page.
+
+    ``min_score`` drops vector hits before they take part in the fusion; keyword hits are left alone.
+    """
     n = max(limit + offset, rt.VECTOR_TOP)
     near = rt.knn(embedded, queries, [ORG], n)
     near = near.select(*KEYS, "chunk_id", rt.similarity("distance").alias("similarity_score"), "vector_rank")
+    if min_score > 0:
+        near = near.where(F.col("similarity_score") >= min_score)  # distances are ranked, so the ranks that stay are dense
     words = rt.bm25(chunks, queries.select(ORG, "query_id", "query_text"), [ORG], max(n, rt.KEYWORD_TOP))
     return rt.reciprocal_rank_fusion(near, words, KEYS)
 
 
 def search(chunks: DataFrame, queries: DataFrame, embedded: DataFrame, limit: int = 10, offset: int = 0, provider: str = "stub",
-           min_score: float = 0.0) -> DataFrame:
-    """One page per query: (org, query_id, final_rank, chunk_id, scores, ranks, total_results)."""
-    fused = fuse(chunks, queries, embedded, limit, offset)
-    if min_score > 0:
-        fused = fused.where(F.coalesce("similarity_score", F.lit(0.0)) >= min_score)
-    pool = rt.rerank_pool(fused, limit, offset)
-    return rt.page(rt.rerank(pool, KEYS, provider), KEYS, limit, offset)
+           min_score: float = 0.0, score_udf=None) -> DataFrame:
+    """One page per query: (org, query_id, final_rank, chunk_id, scores, ranks, total_results).
+
+    With a ``score_udf(query_text, text)`` the pool is reranked by that model on head and tail of the chunk.
+    """
+    pool = rt.rerank_pool(fuse(chunks, queries, embedded, limit, offset, min_score), limit, offset)
+    if score_udf is not None:
+        provider = "model"
+        pool = pool.join(queries.select(*KEYS, "query_text"), KEYS).join(
+            chunks.select(ORG, F.col("chunk_id").cast("string").alias("chunk_id"), head_tail("text").alias("text")), [ORG, "chunk_id"])
+    return rt.page(rt.rerank(pool, KEYS, provider, score_udf), KEYS, limit, offset)
 
 
 def prompts(page: DataFrame, chunks: DataFrame, queries: DataFrame, top_k: int = 5, excerpt: int = 300) -> DataFrame:

@@ -1,14 +1,12 @@
-"""Session settings and the size-checked helpers every plan shares."""
+"""Session settings and the helpers every plan shares."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-# Rows a query-side table (ids, terms, weights: tens of bytes each) may have and still be broadcast.
-BROADCAST_ROWS = 200_000
+from pyspark.sql import DataFrame, SparkSession
 
 
 def spark_session(app: str = "knowloom", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -26,21 +24,12 @@ def spark_session(app: str = "knowloom", cpus: int | str = "*", shuffle_partitio
     )
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only after counting at most ``max_rows + 1`` of its rows.
-
-    Beyond the bound the frame is returned as it is, so the join becomes a shuffle join that
-    adaptive execution may still convert or split for skew.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests) a new temporary one."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors and the driver share")
         named = tempfile.mkdtemp(prefix="knowloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

@@ -119,7 +119,7 @@ def read_pages(files: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ checkouts and commit history
 
 
-def checkout(address: str, target: str, ref: str | None = None, depth: int = 500) -> str:
+def checkout(address: str, target: str, ref: str | None = None, depth: int | None = None) -> str:
     """Clone an already validated address (``paths.repository_url_problem``, ``paths.git_ref_ok``) and return its commit.
 
     With a ref only that commit is fetched.  Nothing of the repository is run.
@@ -130,13 +130,13 @@ def checkout(address: str, target: str, ref: str | None = None, depth: int = 500
         git("-C", target, "fetch", "-q", "--depth=1", "--no-tags", "--", address, ref)
         git("-C", target, "checkout", "-q", "--detach", "FETCH_HEAD")
     else:
-        git("clone", "-q", f"--depth={int(depth)}", "--no-tags", "--", address, target)
+        git("clone", "-q", *([] if depth is None else [f"--depth={int(depth)}"]), "--no-tags", "--", address, target)
     return git("-C", target, "rev-parse", "HEAD")
 
 
-def write_git_log(checkout: str, target: str, max_commits: int = 500) -> None:
+def write_git_log(checkout: str, target: str, max_commits: int | None = None) -> None:
     """Save the log of a local checkout in the record format ``read_commits`` takes."""
-    log = subprocess.run(["git", "-C", checkout, "log", f"-{int(max_commits)}", "--name-only", f"--pretty=format:{LOG_FORMAT}"], check=True, capture_output=True)
+    log = subprocess.run(["git", "-C", checkout, "log", *([] if max_commits is None else [f"-{int(max_commits)}"]), "--name-only", f"--pretty=format:{LOG_FORMAT}"], check=True, capture_output=True)
     with open(target, "wb") as out:
         out.write(log.stdout)
 

@@ -11,10 +11,6 @@ from ..functions import paths
 from ..operators import chunking
 from ..session import spread
 
-# The tenants of the document corpus.
-LANGS = ("de", "en", "es", "fr")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,12 +39,18 @@ def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_chunks(spark, sf_dir).join(document_vectors(spark, sf_dir), "source_id")
 
 
+def tenants(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The tenants of the document corpus, a handful of names."""
+    rows = table(spark, sf_dir, "documents").where("lang is not null").select("lang").distinct().collect()
+    return sorted(r.lang for r in rows)
+
+
 def tenant_queries(spark: SparkSession, sf_dir: str, with_vectors: bool = False) -> DataFrame:
-    """Every benchmark text asked in every tenant."""
+    """Every benchmark text asked in every tenant that has a document."""
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     if with_vectors:
         q = q.join(document_vectors(spark, sf_dir).withColumnRenamed("source_id", "query_id"), "query_id")
-    return q.withColumn("organization_id", F.explode(F.array(*map(F.lit, LANGS))))
+    return q.withColumn("organization_id", F.explode(F.array(*map(F.lit, tenants(spark, sf_dir)))))
 
 
 # ------------------------------------------------------------ code graph

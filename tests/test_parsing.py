@@ -4,6 +4,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from knowloom.operators.declared_facts import declared_facts
 from knowloom.operators import code_chunks, headings, relations as rl, source_facts as sfx
 from knowloom.sources import files as fs
 
@@ -179,7 +180,8 @@ def test_python_facts():
     assert [(f[1], f[2]) for f in kinds("side_effect")] == [("src.main.get_user", "db.commit"), ("src.main.get_user.inner", "db.save")]
 
 
-def test_nest_routes():
+def test_nest_routes(spark):
     ts = "@Controller('cats')\nexport class Cats {\n  @Get(':id')\n  findOne() {}\n}\nrouter.post('/x', save)\nfoo.get('/no', x)\n"
-    got = [(f[1], f[2], f[3], f[4]) for f in sfx.script_facts("src/cats.ts", ts) if f[0] == "route"]
+    files = spark.createDataFrame([("o", "r", "src/cats.ts", ts)], "organization_id string, repository_id string, path string, text string")
+    got = [(f["owner"], f["name"], f["value"], f["extra"]) for f in declared_facts(files, sfx.REPO + ["path"]).where("kind = 'route'").collect()]
     assert got == [("save", "POST", "/x", "javascript_web|candidate"), ("src.cats.findOne", "GET", "/cats/:id", "nestjs|high")]

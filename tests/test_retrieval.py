@@ -44,9 +44,7 @@ def plain_bm25(docs, query):
     return out
 
 
-@pytest.mark.parametrize("cells", [rt.KEYWORD_CELLS, 0])
-def test_bm25_both_ways_and_by_tenant(spark, monkeypatch, cells):
-    monkeypatch.setattr(rt, "KEYWORD_CELLS", cells)
+def test_bm25_by_tenant(spark):
     rnd = random.Random(5)
     words = ["alpha", "beta", "gamma", "delta", "été", "x_1", "zeta", "the"]
     docs = {o: [(f"{o}{i}", " ".join(rnd.choices(words, weights=[1, 1, 2, 1, 1, 1, 1, 9], k=rnd.randint(0, 14)))) for i in range(40)] for o in ("a", "b")}
@@ -65,10 +63,9 @@ def test_bm25_half_of_the_corpus_is_no_hit(spark):
     assert rt.bm25(c, q).count() == 0
 
 
-@pytest.mark.parametrize("most", [rt.QUERY_VECTORS_MAX, 3])
-def test_knn_small_and_blockwise(spark, monkeypatch, most):
-    monkeypatch.setattr(rt, "QUERY_VECTORS_MAX", most)
-    monkeypatch.setattr(rt, "GRID_BLOCK_ROWS", 17)
+@pytest.mark.parametrize("most", [rt.QUERY_VECTORS, 3])
+def test_knn_in_blocks_of_queries(spark, monkeypatch, most):
+    monkeypatch.setattr(rt, "QUERY_VECTORS", most)
     rnd = random.Random(1)
     vec = lambda: [rnd.choice([0.0, 0.5, 1.0]) for _ in range(3)]  # many equal distances
     rows = [(o, f"c{i:03d}", vec()) for o in ("a", "b") for i in range(60)]
@@ -98,6 +95,44 @@ def test_rerank_providers(spark):
     assert [r["rerank_score"] for r in rt.rerank(pool, keys, "disabled").collect()] == [None, None]
 
 
+def test_a_models_scores_order_the_pool_and_rows_it_cannot_score_come_last(spark):
+    from knowloom.plans import hybrid
+
+    chunks = spark.createDataFrame([("o", c, f"{c}.txt", "apple " + t) for c, t in (("a", "pie"), ("b", "pie pie"), ("c", "x" * 500), ("d", "tart"))], f"{ORG} string, chunk_id string, filename string, text string")
+    vectors = spark.createDataFrame([("o", c, [float(k), 0.0]) for k, c in enumerate("abcd")], f"{ORG} string, chunk_id string, embedding array<float>")
+    asked = spark.createDataFrame([("o", 1, "apple pie", [0.0, 0.0])], f"{ORG} string, query_id int, query_text string, embedding array<float>")
+
+    def score(query, text):
+        n = text.str.len()
+        return n.astype("float64").where(n < 100)  # the long chunk arrives cut to head and tail, and is not scored
+
+    from pyspark.sql import functions as F
+
+    page = hybrid.search(chunks, asked, vectors, score_udf=F.pandas_udf(score, "double")).orderBy("final_rank").collect()
+    assert [r["chunk_id"] for r in page] == ["b", "d", "a", "c"] and page[-1]["rerank_score"] is None
+
+
+def test_min_score_leaves_keyword_hits_alone(spark):
+    from knowloom.plans import hybrid
+
+    chunks = spark.createDataFrame([("o", c, f"{c}.txt", t) for c, t in (("a", "plum"), ("b", "rare word"), ("c", "fig"), ("d", "nut"))], f"{ORG} string, chunk_id string, filename string, text string")
+    vectors = spark.createDataFrame([("o", "a", [0.1, 0.0]), ("o", "b", [3.0, 0.0]), ("o", "c", [2.0, 0.0])], f"{ORG} string, chunk_id string, embedding array<float>")
+    asked = spark.createDataFrame([("o", 1, "rare", [0.0, 0.0])], f"{ORG} string, query_id int, query_text string, embedding array<float>")
+    got = {r["chunk_id"]: (r["vector_rank"], r["keyword_rank"]) for r in hybrid.search(chunks, asked, vectors, min_score=0.5).collect()}
+    assert got == {"a": (1, None), "b": (None, 1)}
+
+
+def test_search_and_topology_stay_within_the_tenant(spark):
+    from knowloom.operators import graph as g
+
+    nodes = spark.createDataFrame([(o, f"{o}{k}", f"Widget {k}", None) for o in "ab" for k in range(5)], f"{ORG} string, id string, name string, path string")
+    asked = spark.createDataFrame([("a", " widget "), ("b", "WIDGET 3"), ("c", "widget")], f"{ORG} string, query_text string")
+    assert sorted(r["id"] for r in g.search_nodes(nodes, asked, limit=3).collect()) == ["a0", "a1", "a2", "b3"]
+    repos = spark.createDataFrame([("a", "r"), ("b", "r")], f"{ORG} string, repository_id string")
+    mods = spark.createDataFrame([(o, "r", f"m{k}") for o in "ab" for k in range(4)], f"{ORG} string, repository_id string, module_id string")
+    assert sorted((r[ORG], r["module_id"]) for r in g.topology_modules(repos, mods, 2).collect()) == [("a", "m0"), ("a", "m1"), ("b", "m0"), ("b", "m1")]
+
+
 def test_request_needs_exactly_one_input():
     mp.check_request("c", None)
     for bad in ((None, None), ("c", "t"), (" ", "")):

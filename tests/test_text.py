@@ -87,7 +87,7 @@ def test_windows_match_a_plain_loop(spark):
         texts.append("".join(rnd.choice(["word ", "\n\n", "\n", "ünï "]) if rnd.random() < 0.02 else "z" for _ in range(n)))
     df = spark.createDataFrame([(str(i), "f.txt", t) for i, t in enumerate(texts)], "doc_id string, filename string, text string")
     got = {}
-    for r in chunking.fixed_window_chunks(df).collect():
+    for r in chunking.fixed_window_chunks(df, gapless=False).collect():
         got.setdefault(int(r["doc_id"]), []).append((r["start_char"], r["end_char"]))
     for i, t in enumerate(texts):
         assert sorted(got.get(i, [])) == plain_windows(t)
@@ -96,9 +96,13 @@ def test_windows_match_a_plain_loop(spark):
 def test_gapless_windows_cover_the_text(spark):
     t = ("line of words\n" * 900)
     df = spark.createDataFrame([("d", "f", t)], "doc_id string, filename string, text string")
-    spans = sorted((r["start_char"], r["end_char"]) for r in chunking.fixed_window_chunks(df, gapless=True).collect())
+    spans = sorted((r["start_char"], r["end_char"]) for r in chunking.fixed_window_chunks(df).collect())
     assert spans[0][0] == 0 and spans[-1][1] == len(t)
     assert all(b[0] <= a[1] for a, b in zip(spans, spans[1:]))
+    early = "x" * 900 + "\n" + "y" * 3000  # a break so early that the lossy windows leave text out
+    df = spark.createDataFrame([("d", "f", early)], "doc_id string, filename string, text string")
+    spans = sorted((r["start_char"], r["end_char"]) for r in chunking.fixed_window_chunks(df).collect())
+    assert spans[0] == (0, 1700) and spans[1][0] == 1700 and spans[-1][1] == len(early)
 
 
 def test_documentation_flag(spark):
