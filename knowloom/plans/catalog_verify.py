@@ -251,3 +251,33 @@ def source_analysis(spark, sf):
     run = runs(spark, sf).withColumn("commit_sha", F.lit(sha))
     report, _ = analysis.accept(analysis.analyze(tree, run, sha), tree, run, sha)
     return report.select(ORG, "total_checks", "passed", "score_percent", "overall_status")
+
+
+def tree_changed_later(spark, sf):
+    """The services as someone left them after the analysis: even ones have their handler renamed, odd ones another message."""
+    t = dc.service_tree(spark, sf)
+    key = F.regexp_extract("path", r"mod_(\d+)\.py$", 1)
+    text = F.when((key != "") & (F.try_to_number(key, F.lit("999999999999")) % 2 == 0), F.replace("text", F.lit("fetch_"), F.lit("get_"))).otherwise(F.replace("text", F.lit("too big"), F.lit("too much")))
+    return t.withColumn("text", text)
+
+
+@query("source_analysis_tampered", SQL_SVC + """
+SELECT DISTINCT organization_id, 10 AS total_checks, 8 AS passed, 80.0 AS score_percent, 'not_ready' AS overall_status FROM svc""")
+def source_analysis_tampered(spark, sf):
+    sha = "a" * 40
+    run = runs(spark, sf).withColumn("commit_sha", F.lit(sha))
+    found = analysis.stored(analysis.analyze(dc.service_tree(spark, sf), run, sha))
+    report, _ = analysis.accept(found, tree_changed_later(spark, sf), run, sha)
+    return report.select(ORG, "total_checks", "passed", "score_percent", "overall_status")
+
+
+@query("source_analysis_stale_claims", SQL_SVC + """
+SELECT organization_id, 'api_contract' AS category, CASE WHEN k % 2 = 0 THEN 'insufficient_evidence' ELSE 'supported' END AS verdict,
+  CASE WHEN k % 2 = 0 THEN 'claim_fact_missing' ELSE '' END AS code, count(*) AS claims FROM svc GROUP BY ALL
+UNION ALL SELECT organization_id, 'derived_behavior', CASE WHEN k % 2 = 0 THEN 'supported' ELSE 'insufficient_evidence' END, CASE WHEN k % 2 = 0 THEN '' ELSE 'claim_evidence_invalid' END, count(*) FROM svc GROUP BY ALL""")
+def stale_claims(spark, sf):
+    sha = "a" * 40
+    run = runs(spark, sf).withColumn("commit_sha", F.lit(sha))
+    found, later = analysis.stored(analysis.analyze(dc.service_tree(spark, sf), run, sha)), tree_changed_later(spark, sf)
+    rows = analysis.claim_verdicts(found, analysis.analyze(later, run, sha), later, sha)
+    return rows.groupBy(ORG, "category", "verdict", F.coalesce("code", F.lit("")).alias("code")).agg(F.count(F.lit(1)).alias("claims"))
