@@ -23,9 +23,9 @@ DOCX_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def clean_utf8(content) -> Column:
-    """Bytes as text; bytes that are no UTF-8 are left out."""
-    c = F.col(content) if isinstance(content, str) else content
-    return F.replace(F.make_valid_utf8(c.cast("string")), F.lit("�"), F.lit(""))
+    """Bytes as text; bytes that are no UTF-8 are left out. A text that is valid stays as it is, replacement characters included."""
+    c = (F.col(content) if isinstance(content, str) else content).cast("string")
+    return F.when(F.is_valid_utf8(c), c).otherwise(F.replace(F.make_valid_utf8(c), F.lit("�"), F.lit("")))
 
 
 def read_tree(spark: SparkSession, root: str, organization_id: str, repository_id: str) -> DataFrame:
@@ -67,11 +67,11 @@ def docx_markdown(data: bytes) -> str:
 def read_documents(files: DataFrame) -> DataFrame:
     """(…, text, chunking_method) of document files: Markdown and word-processor files by heading, others by window.
 
-    Page-wise formats arrive as page rows and go through ``headings.page_headings`` instead.
+    Page-wise files are left to ``read_pages``; a damaged word-processor file has a null text and the method ``unreadable``.
     """
     ext = F.lower(paths.suffix("path"))
     keep = [c for c in files.columns if c != "content"]
-    plain = files.where(ext != ".docx").select(*keep, clean_utf8("content").alias("text"), F.when(ext == ".md", "heading_aware").otherwise("fixed_window").alias("chunking_method"))
+    plain = files.where(~ext.isin(".docx", ".pdf")).select(*keep, clean_utf8("content").alias("text"), F.when(ext == ".md", "heading_aware").otherwise("fixed_window").alias("chunking_method"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema.fields if f.name != "content")
 
     def read(batches):
@@ -82,8 +82,8 @@ def read_documents(files: DataFrame) -> DataFrame:
                     texts.append(docx_markdown(bytes(data)))
                     ways.append("heading_aware")
                 except (zipfile.BadZipFile, KeyError, xml.ParseError):
-                    texts.append(bytes(data).decode("utf-8", "ignore"))
-                    ways.append("fixed_window")
+                    texts.append(None)
+                    ways.append("unreadable")
             yield pd.DataFrame(batch[keep]).assign(text=texts, chunking_method=ways)
 
     word = files.where(ext == ".docx").select(*keep, "content").mapInPandas(read, f"{fields}, text string, chunking_method string")
@@ -93,18 +93,18 @@ def read_documents(files: DataFrame) -> DataFrame:
 def read_pages(files: DataFrame) -> DataFrame:
     """(tenant, repository, path, page_no, text) of page-wise files, for ``headings.page_headings``.
 
-    Needs the optional pypdf; without it, or for a file it cannot read, the raw text is one page.
+    Needs the optional pypdf; without it, or for a file it cannot read, there is one page with a null text.
     """
     keys = [*REPO, "path"]
 
-    def pages(data: bytes) -> list[str]:
+    def pages(data: bytes) -> list[str | None]:
         try:
             import pypdf
 
             texts = [page.extract_text() for page in pypdf.PdfReader(io.BytesIO(data)).pages]
             return [t for t in texts if t]
         except Exception:  # no reader, or damaged input
-            return [data.decode("utf-8", "ignore")]
+            return [None]
 
     def read(batches):
         for batch in batches:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import paths
@@ -12,22 +14,38 @@ from ..operators.headings import chunk_documents
 from ..sources.files import clean_utf8
 
 KEY = ["organization_id", "doc_id"]
+UNREADABLE = (".docx", ".pdf")  # accepted kinds that are no plain text; they go through ``sources.files`` first
 VERSIONS = "organization_id string, doc_id string, content_hash string, version int"
 
 
-def dropped_documents(spark: SparkSession, folder: str, organization_id: str) -> DataFrame:
-    """Stream of text documents put into ``folder``."""
+def dropped_documents(spark: SparkSession, folder: str, organization_id: str, deliveries: bool = False) -> DataFrame:
+    """Stream of all documents put into ``folder``; one that cannot be taken has a ``reason`` and no text.
+
+    A stream reads each file once, also if it is overwritten later. With ``deliveries`` the folders right below
+    ``folder`` name deliveries and are no part of a document's path, so a later delivery brings new versions.
+    """
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option(
         "recursiveFileLookup", "true").load(folder)
-    name = paths.name("path")
-    accepted = upkeep.upload_problem("filename", "length").isNull() & (F.lower(paths.suffix("filename")) != ".docx")
-    return raw.withColumn("filename", name).where(accepted).select(
-        F.lit(organization_id).alias("organization_id"), F.concat(F.lit("doc:"), "filename").alias("doc_id"), "filename",
-        clean_utf8("content").alias("text"), F.when(F.lower(paths.suffix("path")) == ".md", "heading_aware").otherwise("fixed_window").alias("chunking_method"), "modificationTime")
+    ext = F.lower(paths.suffix("path"))
+    reason = F.coalesce(upkeep.upload_problem("relative_path", "length"), F.when(ext.isin(*UNREADABLE), "needs_a_reader"))
+    # A document is its path below the folder, so files of one name in two folders are two documents.
+    below = relative_path("path", folder)
+    named = raw.withColumn("relative_path", F.regexp_replace(below, "^[^/]+/", "") if deliveries else below).withColumn("reason", reason)
+    return named.select(
+        F.lit(organization_id).alias("organization_id"), F.concat(F.lit("doc:"), "relative_path").alias("doc_id"), paths.name("path").alias("filename"),
+        F.when(F.col("reason").isNull(), clean_utf8("content")).alias("text"), F.when(ext == ".md", "heading_aware").otherwise("fixed_window").alias("chunking_method"), "reason", "modificationTime")
+
+
+def relative_path(path: str, folder: str) -> Column:
+    """The part of a file's address below ``folder``, whatever scheme either is written with."""
+    root = re.sub(r"^[A-Za-z][\w+.-]*:/*", "/", folder).rstrip("/") + "/"
+    plain = F.regexp_replace(F.url_decode(F.replace(F.col(path), F.lit("+"), F.lit("%2B"))), r"^[A-Za-z][\w+.-]*:/*", "/")
+    at = F.instr(plain, root)
+    return F.when(at > 0, F.substr(plain, at + len(root))).otherwise(plain)
 
 
 def ingest(stream: DataFrame, tables: str, checkpoint: str) -> StreamingQuery:
-    """Keep ``tables``/versions and ``tables``/chunks up to date, one committed folder per batch.
+    """Keep ``tables``/versions, ``tables``/chunks and ``tables``/refused up to date, one committed folder per batch.
 
     A batch replaces its own folders, so a replay after a lost executor or a restart writes the same
     rows again instead of adding them twice.  Readers take the latest version per document.
@@ -35,7 +53,10 @@ def ingest(stream: DataFrame, tables: str, checkpoint: str) -> StreamingQuery:
     spark = stream.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        newest = upkeep.upsert_nodes(batch.limit(0), batch, KEY, "modificationTime")
+        refused = batch.where("reason is not null").select(*KEY, "filename", "reason", "modificationTime")
+        refused.write.mode("overwrite").parquet(f"{tables}/refused/batch_id={batch_id}")
+        taken = batch.where("reason is null").drop("reason")
+        newest = upkeep.upsert_nodes(taken.limit(0), taken, KEY, "modificationTime")
         docs = newest.withColumn("content_hash", content_hash("text", 32))
         prior = known_versions(spark, tables, before=batch_id)
         changed = upkeep.assign_versions(docs, prior, KEY).where(F.col("state") != "unchanged").persist()

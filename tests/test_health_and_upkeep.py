@@ -147,12 +147,35 @@ def test_file_drop_versions(spark, tmp_path):
     run()
     (drop / "sub").mkdir()
     (drop / "sub" / "a.md").write_text("# A\n" + "two " * 30)
+    (drop / "sub" / "d e+f.txt").write_text("kept \ufffd " * 30)
     (drop / "c.txt").write_text("# A\n" + "plain " * 30)
+    (drop / "p.pdf").write_bytes(b"%PDF-1.4 \x00\x01")
+    (drop / "w.docx").write_bytes(b"PK\x03\x04")
     run()
     got = {r["doc_id"]: r["version"] for r in ingest.known_versions(spark, tables).collect()}
-    assert got == {"doc:a.md": 2, "doc:c.txt": 1}
-    texts = [r["text"] for r in ingest.current_chunks(spark, tables).where("doc_id = 'doc:a.md'").collect()]
-    assert len(texts) == 1 and "two" in texts[0]
+    assert got == {"doc:a.md": 1, "doc:sub/a.md": 1, "doc:c.txt": 1, "doc:sub/d e+f.txt": 1}
+    texts = {r["doc_id"]: r["text"] for r in ingest.current_chunks(spark, tables).collect()}
+    assert "one" in texts["doc:a.md"] and "two" in texts["doc:sub/a.md"] and "\ufffd" in texts["doc:sub/d e+f.txt"] and len(texts) == 4
+    refused = spark.read.option("basePath", f"{tables}/refused").parquet(f"{tables}/refused")
+    assert {(r["doc_id"], r["reason"]) for r in refused.collect()} == {("doc:b.exe", "unsupported_type"), ("doc:p.pdf", "needs_a_reader"), ("doc:w.docx", "needs_a_reader")}
+
+
+def test_later_deliveries_bring_versions(spark, tmp_path):
+    drop, tables = tmp_path / "drop", str(tmp_path / "tables")
+
+    def deliver(name, **texts):
+        for path, text in texts.items():
+            place = drop / name / path.replace("__", "/")
+            place.parent.mkdir(parents=True, exist_ok=True)
+            place.with_suffix(".md").write_text("# A\n" + text * 30)
+        ingest.ingest(ingest.dropped_documents(spark, str(drop), "o", deliveries=True), tables, str(tmp_path / "ckpt")).awaitTermination()
+
+    deliver("one", a="first ", sub__a="other ", same="equal ")
+    deliver("two", a="second ", same="equal ")
+    got = {r["doc_id"]: r["version"] for r in ingest.known_versions(spark, tables).collect()}
+    assert got == {"doc:a.md": 2, "doc:sub/a.md": 1, "doc:same.md": 1}
+    texts = {r["doc_id"]: r["text"] for r in ingest.current_chunks(spark, tables).collect()}
+    assert "second" in texts["doc:a.md"] and "other" in texts["doc:sub/a.md"] and len(texts) == 3
 
 
 def git(*args):
@@ -194,4 +217,8 @@ def test_checkout_log_and_reingest(spark, tmp_path):
 def test_pages_without_a_reader(spark, tmp_path):
     (tmp_path / "a.pdf").write_text("no real pages")
     r = fs.read_pages(fs.read_tree(spark, str(tmp_path), "o", "r")).collect()
-    assert [(x["path"], x["page_no"], x["text"]) for x in r] == [("a.pdf", 0, "no real pages")]
+    assert [(x["path"], x["page_no"], x["text"]) for x in r] == [("a.pdf", 0, None)]
+    (tmp_path / "b.docx").write_bytes(b"broken")
+    (tmp_path / "c.txt").write_text("fine")
+    got = {x["path"]: (x["text"], x["chunking_method"]) for x in fs.read_documents(fs.read_tree(spark, str(tmp_path), "o", "r")).collect()}
+    assert got == {"b.docx": (None, "unreadable"), "c.txt": ("fine", "fixed_window")}
