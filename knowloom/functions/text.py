@@ -101,10 +101,11 @@ def lines(c) -> Column:
     )
 
 
-def line_range(c, start, end, max_chars: int = 20_000) -> Column:
-    """One-indexed inclusive line range of a text, cut at ``max_chars``."""
+def line_range(c, start, end, max_chars: int | None = None) -> Column:
+    """One-indexed inclusive line range of a text, cut at ``max_chars`` where that is given."""
     all_lines = lines(c)
     picked = F.slice(all_lines, col(start), F.greatest(col(end) - col(start) + 1, F.lit(0)))
-    return F.left(F.array_join(picked, "\n"), F.lit(max_chars))
+    whole = F.array_join(picked, "\n")
+    return whole if max_chars is None else F.left(whole, F.lit(max_chars))
 
 

@@ -309,10 +309,10 @@ def average_health(scores: DataFrame) -> DataFrame:
 
 
 def onboarding_packs(context: DataFrame, files_view: DataFrame, owners: DataFrame, documents: DataFrame, tasks: DataFrame,
-                     entries: DataFrame, limit: int = 10) -> DataFrame:
-    """One nested pack per module; each section lists its first ``limit`` rows beside the full counts.
+                     entries: DataFrame, limit: int | None = None) -> DataFrame:
+    """One nested pack per module with all rows of each section, or the first ``limit`` of them.
 
-    A section is ranked and cut before it is collected, so no module gathers an unbounded list.
+    A pack is as large as its module. With a limit a section is ranked and cut before it is collected.
     """
     def section(df: DataFrame, order: list[Column], name: str, *cols: str) -> DataFrame:
         cut = top_k(df, MODULE, order, limit, "_pos")

@@ -245,21 +245,23 @@ def packs(spark, sf):
 
 
 SQL_PACK = SQL_GRAPH + """
-, nf AS (SELECT organization_id, module_id, least(count(*), 10) AS n FROM files GROUP BY ALL),
+, nf AS (SELECT organization_id, module_id, count(*) AS n, md5(string_agg(path, ',' ORDER BY path)) AS listed FROM files GROUP BY ALL),
 no AS (SELECT organization_id, module_id, least(count(DISTINCT author_email), 10) AS n FROM owns GROUP BY ALL),
-nd AS (SELECT organization_id, module_id, least(count(*), 10) AS n, bool_or(filename IN ('README.md', 'CONTRIBUTING.md')) AS readme FROM docs GROUP BY ALL),
-ne AS (SELECT organization_id, module_id, least(count(*) FILTER (parent_class = ''), 10) AS n, count(*) FILTER (NOT is_documented) AS u, count(*) FILTER (parent_class = '') AS e FROM syms GROUP BY ALL),
-pack AS (SELECT m.organization_id, m.module_id, m.module_name, nf.n AS files, coalesce(no.n, 0) AS owners, coalesce(nd.n, 0) AS docs, coalesce(ne.n, 0) AS entries,
+nd AS (SELECT organization_id, module_id, count(*) AS n, md5(string_agg(relative_path, ',' ORDER BY relative_path, doc_id)) AS listed, bool_or(filename IN ('README.md', 'CONTRIBUTING.md')) AS readme FROM docs GROUP BY ALL),
+ne AS (SELECT organization_id, module_id, count(*) FILTER (parent_class = '') AS n, md5(string_agg(function_name, ',' ORDER BY function_id) FILTER (parent_class = '')) AS listed, count(*) FILTER (NOT is_documented) AS u, count(*) FILTER (parent_class = '') AS e FROM syms GROUP BY ALL),
+pack AS (SELECT m.organization_id, m.module_id, m.module_name, nf.n AS files, coalesce(no.n, 0) AS owners, coalesce(nd.n, 0) AS docs, coalesce(ne.n, 0) AS entries, nf.listed AS file_list, coalesce(nd.listed, '') AS doc_list, coalesce(ne.listed, '') AS entry_list,
   (CASE WHEN NOT coalesce(readme, false) THEN 1 ELSE 0 END + CASE WHEN coalesce(u, 0) > 0 THEN 1 ELSE 0 END + CASE WHEN coalesce(e, 0) = 0 THEN 1 ELSE 0 END) AS tasks
  FROM mods m JOIN nf USING (organization_id, module_id) LEFT JOIN no USING (organization_id, module_id) LEFT JOIN nd USING (organization_id, module_id) LEFT JOIN ne USING (organization_id, module_id))
 """
 
 
-@query("a16_onboarding_pack", SQL_PACK + "SELECT organization_id, module_id, files, owners, docs, entries, tasks FROM pack")
+@query("a16_onboarding_pack", SQL_PACK + "SELECT organization_id, module_id, files, owners, docs, entries, tasks, file_list, doc_list, entry_list FROM pack")
 def onboarding(spark, sf):
     n = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    listed = lambda c, field: F.coalesce(F.when(F.size(c) > 0, F.md5(F.array_join(F.transform(c, lambda x: x[field]), ","))), F.lit(""))
     return packs(spark, sf).select(ORG, "module_id", n("key_files").alias("files"), n("who_to_talk_to").alias("owners"), n("existing_docs").alias("docs"),
-                                   n("entry_points").alias("entries"), n("suggested_first_tasks").alias("tasks"))
+                                   n("entry_points").alias("entries"), n("suggested_first_tasks").alias("tasks"),
+                                   listed("key_files", "path").alias("file_list"), listed("existing_docs", "relative_path").alias("doc_list"), listed("entry_points", "function_name").alias("entry_list"))
 
 
 @query("a17_onboarding_markdown", SQL_PACK + """
