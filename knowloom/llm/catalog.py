@@ -134,7 +134,7 @@ def op7_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read back from the wavelet files of all token ids."""
     import public_tokenizers
 
-    tokens = staged(wavelet_shards.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1), "tokens")
+    tokens = staged(wavelet_shards.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1, vocabulary=49_408), "tokens")
     folder = f"{shared_folder(spark)}/llm-shards-{uuid.uuid4().hex}"
     wavelet_shards.write(tokens, folder, vocabulary=49_408)
     return wavelet_shards.documents(wavelet_shards.shards(spark, folder))

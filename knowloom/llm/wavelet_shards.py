@@ -8,6 +8,7 @@ planes without unpacking the shard. Files are Parquet with one shard each, so an
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from knowloom.llm.shared import slices
+
 #: Tokens after which a shard is closed; a document is never cut, so a longer one is a shard of its own.
 SHARD_TOKENS = 2_000_000
 #: Tokens of a range partition, on average.
@@ -24,7 +27,7 @@ RANGE_TOKENS = 4_000_000
 #: Bytes of a plane that share one entry of the rank directory.
 BLOCK = 64
 #: Chunks a worker remembers in each of two generations; bounds its memory and changes no result.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 
 
 @dataclass
@@ -38,16 +41,17 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
-        planes, ranks, zeros, row = [], [], [], np.asarray(ids, np.uint32)
+        planes, ranks, zeros, row = [], [], [], np.asarray(ids).astype(np.uint16 if bits <= 16 else np.uint32)
         for k in reversed(range(bits)):
-            one = (row >> np.uint32(k) & np.uint32(1)).astype(bool)
+            one = row & row.dtype.type(1 << k) != 0
             plane = np.packbits(one, bitorder="little")
             plane = np.concatenate([plane, np.zeros(-len(plane) % BLOCK, np.uint8)])
             ones = np.bitwise_count(plane).reshape(-1, BLOCK).sum(axis=1, dtype=np.uint32)
             planes.append(plane)
             ranks.append(np.concatenate([np.zeros(1, np.uint32), np.cumsum(ones, dtype=np.uint32)]))
-            row = np.concatenate([row[~one], row[one]])
-            zeros.append(int(len(row) - one.sum()))
+            ones_at = np.flatnonzero(one)  # far faster than masks on mixed bits
+            row = np.concatenate([row[np.flatnonzero(~one)], row[ones_at]])
+            zeros.append(len(row) - len(ones_at))
         return cls(len(row), planes, ranks, zeros)
 
     def _ones(self, level: int, i: int) -> int:
@@ -107,70 +111,98 @@ class WaveletMatrix:
 
     def ids(self) -> np.ndarray:
         """The whole sequence, from the last plane up."""
-        row = np.zeros(self.n, np.uint32)
+        row = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for level in reversed(range(len(self.planes))):
             one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
             up = np.empty_like(row)
-            up[~one] = row[: self.zeros[level]]
-            up[one] = row[self.zeros[level] :] | np.uint32(1 << (len(self.planes) - 1 - level))
+            up[np.flatnonzero(~one)] = row[: self.zeros[level]]
+            up[np.flatnonzero(one)] = row[self.zeros[level] :] | row.dtype.type(1 << (len(self.planes) - 1 - level))
             row = up
         return row
 
 
+#: One word of Latin letters, and a mark that may follow. These letters keep their class and case in every version of
+#: Unicode, each lower case is one of them (the dotted capital I is left out), and none of them composes.
+PLAIN = re.compile("([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,!?]?)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, the others from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(0x100 + k) for k, b in enumerate(others)}
+
+
 class ChunkEncoder:
-    """Whole texts to packed ids (little-endian unsigned 32 bit) with the tokenizers library.
+    """Whole texts to packed ids (little-endian, unsigned) with the tokenizers library.
 
     The tokenizer drops white space and no token spans it, so chunks between white space are encoded by themselves and
-    remembered. Texts with a separator control that only Python takes for white space are encoded in one piece.
+    remembered. A chunk of plain Latin letters is one word for the tokenizer: it goes lower-cased, as byte letters, to the
+    library's BPE model at once. All other chunks take the library's whole way, and so do, in one piece, texts with a
+    separator control that only Python takes for white space.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kind: str = "<u4"):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.kind = Tokenizer.from_file(path), kind
+        self.packed = [np.array(k, kind).tobytes() for k in range(self.tokenizer.get_vocab_size())]
+        self.marks = {x: self._whole(x) for x in ".,!?"}
+        model = self.tokenizer.model
+        model._resize_cache(0)  # what is remembered here never gets there twice
+        self.merge, self.letters = model.tokenize, byte_letters()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _fresh(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a plain word, from what is remembered of it in lower case or else from the model."""
+        low = word.lower()
+        found = self.known.get(low) or self.older.get(low)
+        if found is None:
+            shown = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+            found = self.known[low] = b"".join([self.packed[t.id] for t in self.merge(shown)])
+        return found
+
+    def _fresh(self, chunk: str) -> bytes:
+        """The ids of a chunk that is not remembered; its parts may be."""
+        if (found := self.older.get(chunk)) is None:
+            if m := PLAIN.fullmatch(chunk):
+                found = self._word(m[1]) + (self.marks[m[2]] if m[2] else b"")
+            else:
+                found = self._whole(chunk)
+        self.known[chunk] = found
+        return found
 
     def encode(self, text: str) -> bytes:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self._fresh([text])[0]
+            return self._whole(text)
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        chunks, known, older = text.split(), self.known, self.older
-        fresh, tails = {}, []
-        for chunk in set(chunks):
-            if chunk in known:
-                continue
-            if chunk in older:
-                known[chunk] = older[chunk]
-            elif len(chunk) > 1 and chunk[-1] in ".,!?" and chunk[:-1].isalpha():  # a letter run ends before the mark
-                tails.append(chunk)
-                for part in (chunk[:-1], chunk[-1]):
-                    if part not in known:
-                        if part in older:
-                            known[part] = older[part]
-                        else:
-                            fresh[part] = None
-            else:
-                fresh[chunk] = None
-        if fresh:
-            known.update(zip(fresh, self._fresh(list(fresh))))
-        for chunk in tails:
-            known[chunk] = known[chunk[:-1]] + known[chunk[-1]]
-        return b"".join(map(known.__getitem__, chunks))
+        chunks, known = text.split(), self.known
+        found = [*map(known.get, chunks)]
+        if None in found:
+            for k in [k for k, x in enumerate(found) if x is None]:
+                found[k] = known.get(chunks[k]) or self._fresh(chunks[k])
+        return b"".join(found)
+
 
+def kind_of(vocabulary: int) -> str:
+    """How an id of the vocabulary is packed: two bytes if they do, else four."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
-def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """``doc_id``, ``n_tokens`` and ``ids`` (packed) of every row; a null text is the empty one, ``end`` is appended to each."""
+
+def encoded(docs: DataFrame, path: str, end: int, vocabulary: int) -> DataFrame:
+    """``doc_id``, ``n_tokens`` and ``ids`` (packed by :func:`kind_of`) of every row; a null text is the empty one, ``end`` is appended to each."""
+    kind = kind_of(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = ChunkEncoder(path), np.array([end], "<u4").tobytes()
-        for batch in batches:
-            rows = [encoder.encode(x or "") + last for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) // 4 for r in rows], pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+        encoder, last = ChunkEncoder(path, kind), np.array([end], kind).tobytes()
+        for batch in slices(batches):
+            rows = [encoder.encode(x.as_py() or "") + last for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) // len(last) for r in rows], pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
@@ -186,24 +218,26 @@ def write(tokens: DataFrame, folder: str, vocabulary: int, shard_tokens: int = S
     """
     bits = max(1, int(vocabulary - 1).bit_length())
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
+    kind = np.dtype(kind_of(vocabulary))
+    size = kind.itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, shard, docs, rows, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, shard, docs, rows, held = TaskContext.get().partitionId(), 0, [], [], 0
 
         def close() -> pa.RecordBatch:
-            matrix = WaveletMatrix.build(np.frombuffer(b"".join(rows), "<u4"), bits)
-            ends = np.cumsum([len(r) // 4 for r in rows]).tolist()
+            matrix = WaveletMatrix.build(np.frombuffer(b"".join(rows), kind), bits)
+            ends = np.cumsum([len(r) // size for r in rows]).tolist()
             row = {"part": part, "shard": shard, "n": matrix.n, "n_docs": len(docs), "bits": bits, "doc_ids": docs, "ends": ends, "zeros": matrix.zeros, "planes": [p.tobytes() for p in matrix.planes], "ranks": [r.astype("<u4").tobytes() for r in matrix.ranks]}
             return pa.RecordBatch.from_pylist([row], schema=_arrow_schema())
 
         for batch in batches:
             for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if rows and size + len(ids) // 4 > shard_tokens:
+                if rows and held + len(ids) // size > shard_tokens:
                     yield close()
-                    shard, docs, rows, size = shard + 1, [], [], 0
+                    shard, docs, rows, held = shard + 1, [], [], 0
                 docs.append(doc)
                 rows.append(ids)
-                size += len(ids) // 4
+                held += len(ids) // size
         if rows:
             yield close()
 
@@ -217,17 +251,20 @@ def _arrow_schema() -> pa.Schema:
 
 
 def shards(spark: SparkSession, folder: str) -> DataFrame:
-    """The shards in ``folder``, with ``start``: the tokens of all shards before, in file order."""
+    """The shards in ``folder``, one row each."""
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    found = spark.read.schema(StructType(_parse_datatype_string(_SHARD).fields)).parquet(folder)
+    return spark.read.schema(StructType(_parse_datatype_string(_SHARD).fields)).parquet(folder)
+
+
+def starts(found: DataFrame) -> DataFrame:
+    """``part``, ``shard``, ``start``: the tokens of all shards before a shard, in file order. Only sizes are read."""
     sizes = found.select("part", "shard", "n")
     parts = sizes.groupBy("part").agg(F.sum("n").alias("n"))
     # One small row per range of several million tokens; the order within a range is summed in parallel.
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     within = sizes.select("part", "shard", (F.sum("n").over(Window.partitionBy("part").orderBy("shard")) - F.col("n")).alias("inside"))
-    starts = within.join(before, "part").select("part", "shard", (F.col("before") + F.col("inside")).alias("start"))
-    return found.join(starts, ["part", "shard"])
+    return within.join(before, "part").select("part", "shard", (F.col("before") + F.col("inside")).alias("start"))
 
 
 def matrix(row: dict) -> WaveletMatrix:
@@ -239,28 +276,35 @@ def documents(found: DataFrame) -> DataFrame:
     """``doc_id``, ``start``, ``n_tokens`` and ``ids_crc32`` of every document, from the bit-planes of :func:`shards`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                ids = memoryview(matrix(row).ids().astype("<u4").tobytes())
-                ends = row["ends"]
-                begins = [0, *ends[:-1]]
-                crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(begins, ends)]
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array([row["start"] + a for a in begins], pa.int64()), pa.array([b - a for a, b in zip(begins, ends)], pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        for row in _rows(batches):
+            ids = memoryview(matrix(row).ids().astype("<u4").tobytes())
+            ends = np.array(row["ends"], np.int64)
+            begins = np.concatenate([[0], ends[:-1]])
+            crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist())]
+            place = [pa.array(np.full(len(ends), row[k]), pa.int32()) for k in ("part", "shard")]
+            yield pa.RecordBatch.from_arrays([*place, pa.array(row["doc_ids"], pa.int64()), pa.array(begins), pa.array(ends - begins), pa.array(crc, pa.int64())], names=["part", "shard", "doc_id", "begin", "n_tokens", "ids_crc32"])
+
+    read = found.mapInArrow(run, "part int, shard int, doc_id long, begin long, n_tokens long, ids_crc32 long")
+    return read.join(starts(found), ["part", "shard"]).select("doc_id", (F.col("start") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")
 
-    return found.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Shard rows one at a time, so that a task unpacks one shard at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
 
 
 def occurrences(found: DataFrame, tokens: list[int]) -> DataFrame:
     """``part``, ``shard``, ``token``, ``n`` and ``first`` (global position or null) of each asked token in each shard, by rank and select alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                own = matrix(row)
-                n = [own.count(t) for t in tokens]
-                first = [row["start"] + own.select(t, 0) if c else None for t, c in zip(tokens, n)]
-                yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * len(n), pa.int32()), pa.array([row["shard"]] * len(n), pa.int32()), pa.array(tokens, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.int64())], names=["part", "shard", "token", "n", "first"])
-
-    return found.mapInArrow(run, "part int, shard int, token long, n long, first long")
+        for row in _rows(batches):
+            own = matrix(row)
+            n = [own.count(t) for t in tokens]
+            first = [own.select(t, 0) if c else None for t, c in zip(tokens, n)]
+            place = [pa.array([row[k]] * len(n), pa.int32()) for k in ("part", "shard")]
+            yield pa.RecordBatch.from_arrays([*place, pa.array(tokens, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.int64())], names=["part", "shard", "token", "n", "at"])
+
+    read = found.mapInArrow(run, "part int, shard int, token long, n long, at long")
+    return read.join(starts(found), ["part", "shard"]).select("part", "shard", "token", "n", (F.col("start") + F.col("at")).alias("first"))
