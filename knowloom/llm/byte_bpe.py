@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from knowloom.llm.shared import free_name
+from knowloom.llm.shared import free_name, slices
 
 #: Pre-tokens a worker remembers in each of two generations; bounds its memory and changes no result.
 REMEMBERED = 200_000
@@ -147,7 +147,7 @@ class ByteBpe:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             encoder = Encoder(*sent.value)
-            for batch in batches:
+            for batch in slices(batches):
                 rows = list(encoder.encode_all(x.as_py() or "" for x in batch.column(at)))
                 ends = np.cumsum([0] + [len(r) // 4 for r in rows]).astype(np.int32)
                 flat = np.frombuffer(b"".join(rows), "<i4")
@@ -164,7 +164,7 @@ class ByteBpe:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             token = sent.value.__getitem__
-            for batch in batches:
+            for batch in slices(batches):
                 column = batch.column(at)
                 flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
                 none = column.is_null().to_numpy(zero_copy_only=False)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from knowloom.llm.shared import staged
+from knowloom.llm.shared import slices, staged
 
 WORD = re.compile(r"\w+")
 #: Words of a seed.
@@ -102,7 +102,7 @@ def _leaks_of(docs: DataFrame, items: list[tuple[int, list[str]]], gram: int, le
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, known, _ = sent.value
         get = number.get
-        for batch in batches:
+        for batch in slices(batches):
             ids, versions = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows = []
             for k, text in enumerate(batch.column(2).to_pylist()):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from knowloom.llm.html_examples import EXAMPLES
-from knowloom.llm.shared import free_name
+from knowloom.llm.shared import free_name, slices
 
 #: Elements whose content is never text of the page.
 HIDDEN = "script|style|noscript|template|textarea|select|svg|math|iframe|object|canvas|title|button|datalist"
@@ -190,7 +190,7 @@ def extract(pages: DataFrame, tree: tuple, text: str = "text") -> DataFrame:
     at = pages.columns.index("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = [main_text(x.as_py(), tree) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[*batch.schema.names, text])
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from knowloom.llm.shared import free_name
+from knowloom.llm.shared import free_name, slices
 
 FILTERS, TAPS = 16, 6
 CHUNK, OVERLAP = 1024, 64
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         picked = own if picked is None else picked.unionAll(own)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             parts = []
             for text in batch.column(2).to_pylist():
                 raw = (text or "").encode()
@@ -174,7 +174,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             out = np.empty(len(batch.column(at)), np.float64)
             wait, size, owners = [], 0, []
 

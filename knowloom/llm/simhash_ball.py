@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from knowloom.llm.shared import components, forest, staged
+from knowloom.llm.shared import components, forest, slices, staged
 
 SEED = 42
 #: Variants that one bucket unfolds at a time, on average: 8 bytes each and some copies.
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """``doc_id`` and ``fp`` (long) of every row of ``docs``; a null text counts as the empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = np.array([fingerprint(x or "", shingle) for x in batch.column(1).to_pylist()], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], names=["doc_id", "fp"])
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from knowloom.llm.shared import free_name, staged
+from knowloom.llm.shared import free_name, slices, staged
 
 #: A unit ends after this: a line break, or sentence marks before white space; white space that follows belongs to it.
 BREAK = re.compile(r"(?:\n|[.!?]+\s)\s*")
@@ -43,7 +43,7 @@ _UNIT = "d1 long, d2 long, doc_id long, version long, span long, again boolean"
 
 def _unit_rows(docs: DataFrame, least_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             digests, owners, spans, again = bytearray(), [], [], []
             for k, text in enumerate(batch.column(2).to_pylist()):
                 seen = set()
@@ -90,7 +90,7 @@ def dedup(docs: DataFrame, least_words: int = LEAST_WORDS, removed: str = "remov
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [_cut(x, spans) for x, spans in zip(batch.column(at).to_pylist(), batch.column(len(batch.columns) - 1).to_pylist())]
             columns = list(batch.columns)
             columns[at] = pa.array(texts, columns[at].type)
