@@ -192,7 +192,12 @@ def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
     """
     prints = staged(fingerprints(docs, shingle), "prints")
     first = _grouped(prints, radius).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    again = prints.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    return first_of_each(docs, first, prints)
+
+
+def first_of_each(docs: DataFrame, first: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``doc_id`` in ``first``, and those without one; ``rows`` has the ``doc_id`` of every row of ``docs``."""
+    again = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     named = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
     once, more = named.join(again, "doc_id", "left_anti"), named.join(again, "doc_id", "left_semi")
     picked = more.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
