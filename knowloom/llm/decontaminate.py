@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds join training passages to test items, local alignment scores them.
+"""Benchmark decontamination: n-gram seeds join training passages to test items, local alignment scores them.
 
 One pass over the corpus finds every n-gram that some test item also has, and cuts out the passage around it
-as word numbers. Those n-grams are counted over the whole corpus. Each item's rare ones are its seeds: no more
-than a few times as frequent as its rarest, so an item that leaked into a third of all documents keeps its
-seeds. Seeds join passages to items, and a Smith-Waterman alignment of whole item against passage decides.
+as word numbers. Every n-gram that both have is a seed and joins passage and item, however frequent it is: an edited
+copy may hold none of its item's rare ones. Pairs with fewer words in common than the least score asks for are dropped,
+which loses none, and a Smith-Waterman alignment of whole item against passage decides.
 """
 
 from __future__ import annotations
@@ -13,15 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from knowloom.llm.shared import slices, staged
 
 WORD = re.compile(r"\w+")
 #: Words of a seed.
 GRAM = 4
-#: A seed is at most so many times as frequent in the corpus as its item's rarest n-gram, plus the slack.
-RARE_TIMES, RARE_SLACK = 4, 16
 #: A passage leaks an item if the alignment keeps this share of the item's words (match 1, mismatch and gap -1).
 LEAST_SCORE = 0.6
 #: Characters of test items that one pass over the corpus looks for; more items take more passes.
@@ -126,15 +124,19 @@ def _leaks_of(docs: DataFrame, items: list[tuple[int, list[str]]], gram: int, le
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, _, coded = sent.value
-        by_id: dict[int, list[np.ndarray]] = {}
+        by_id: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for i, ids in coded:
-            by_id.setdefault(i, []).append(ids)
+            by_id.setdefault(i, []).append((ids, *np.unique(ids, return_counts=True)))
         for batch in batches:
             rows = []
             for doc, low, passage, which in zip(*(batch.column(c).to_pylist() for c in range(4))):
                 passage = np.frombuffer(passage, np.int32)
+                own, often = np.unique(passage, return_counts=True)
                 for item in which:
-                    for ids in by_id[item]:
+                    for ids, needed, times in by_id[item]:
+                        place = np.minimum(np.searchsorted(own, needed), len(own) - 1)
+                        if np.minimum(times, np.where(own[place] == needed, often[place], 0)).sum() < least * len(ids):
+                            continue
                         best, end = align(ids, passage)
                         if best >= least * len(ids):
                             rows.append((doc, item, best / len(ids), low + end))
@@ -143,10 +145,7 @@ def _leaks_of(docs: DataFrame, items: list[tuple[int, list[str]]], gram: int, le
     keyed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), F.col("text").cast("string"))
     cut = staged(keyed.mapInArrow(passages, "doc_id long, version long, low long, coded binary, grams array<long>"), "passages")
     grams = cut.select("doc_id", "version", "low", F.explode("grams").alias("gram"))
-    counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    of_items = spark.createDataFrame(pairs, "item_id long, gram long").join(counts, "gram")
-    rarest = F.min("n").over(Window.partitionBy("item_id"))
-    seeds = of_items.withColumn("rarest", rarest).where(F.col("n") <= RARE_TIMES * F.col("rarest") + RARE_SLACK).select("gram", "item_id")
+    seeds = spark.createDataFrame(pairs, "item_id long, gram long")
     joined = grams.join(seeds, "gram").groupBy("doc_id", "version", "low").agg(F.collect_set("item_id").alias("items"))
     ready = cut.join(joined, ["doc_id", "version", "low"]).select("doc_id", "low", "coded", "items")
     scored = ready.mapInArrow(score, "doc_id long, item_id long, score double, end_word long")

@@ -51,3 +51,16 @@ def test_blocks_of_items_and_empty_tables(spark, docs_of, items, words, monkeypa
     assert sorted(map(tuple, dc.leaks(rows, bench).select("doc_id", "item_id", "score").collect())) == whole and len(whole) == 5
     assert dc.leaks(docs_of([]), bench).count() == 0 and dc.leaks(rows, bench.limit(0)).count() == 0
     assert dc.clean(rows, bench.limit(0)).count() == rows.count()
+
+
+def test_many_edited_copies_are_found_beside_one_whole_copy(spark, docs_of, words):
+    item = words(40)
+    own = item.split()
+    own[19] = "elsewhere"
+    copy = " ".join(own)
+    rows = [(0, words(20) + " " + item)] + [(k, words(20) + " " + copy + " " + words(20)) for k in range(1, 31)] + [(k, words(20) + " " + " ".join(item.split()[:4]) + " " + words(20)) for k in range(50, 60)]
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r.doc_id: r.score for r in dc.leaks(docs_of(rows), bench).collect()}
+    want = {d: brute_score(item, t) for d, t in rows}
+    assert got == {d: s for d, s in want.items() if s >= dc.LEAST_SCORE} and len(got) == 31
+    assert {r.doc_id for r in dc.clean(docs_of(rows), bench).collect()} == set(range(50, 60))
