@@ -22,7 +22,8 @@ from knowloom.llm.shared import free_name, slices
 #: Elements whose content is never text of the page.
 HIDDEN = "script|style|noscript|template|textarea|select|svg|math|iframe|object|canvas|title|button|datalist"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({HIDDEN})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:/>|>.*?(?:</\1\s*>|\Z))"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:svg|math)(?=[\s/>])(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*+/>"
+    rf"|<({HIDDEN})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|[^<]+|<",
     re.S | re.I,
 )
@@ -56,6 +57,7 @@ def blocks(page: str) -> list[Block]:
     """All text blocks of a page in order, with references decoded and white space made one space; parts may be left open."""
     out: list[Block] = []
     parts: list[tuple[str, int]] = []
+    spans = 0  # open parts when the open paragraph began
     run: list[str] = []
     linked, in_link, heading = [], 0, False
 
@@ -82,9 +84,25 @@ def blocks(page: str) -> list[Block]:
         name, ends, attributes = name.lower(), bool(m[2] or m[5]), m[4] or m[7] or ""
         if name == "a":
             in_link = 0 if ends else 1
-        if name in INLINE and not (name == "span" and attributes):
+        if name == "span":
+            if ends and parts and parts[-1][0] == "span":
+                if parts[-1][1] != (parts[-2][1] if len(parts) > 1 else 0):
+                    close()
+                parts.pop()
+            elif not ends and not attributes.endswith("/"):
+                over = parts[-1][1] if parts else 0
+                part = _part(name, attributes, over)
+                if part != over:
+                    close()
+                parts.append((name, part))
+            continue
+        if name in INLINE:
             continue
         close()
+        if name == "p":
+            while len(parts) > spans and parts[-1][0] == "span":  # left open in the paragraph before
+                parts.pop()
+            spans = len(parts)
         if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
             heading = not ends
         if name in VOID or attributes.endswith("/"):
@@ -95,7 +113,7 @@ def blocks(page: str) -> list[Block]:
                     if parts[k][0] == name:
                         del parts[k:]
                         break
-                    if name in ("p", "span"):
+                    if name == "p":
                         break
             elif name != "p":
                 parts.append((name, _part(name, attributes, parts[-1][1] if parts else 0)))

@@ -133,3 +133,17 @@ def test_no_outcomes_and_no_rows(spark):
     assert hr.judge(pages.limit(0), URL_RULES).count() == 0
     with pytest.raises(ValueError):
         hr.judge(pages, [("x/", "allow")] * 501)
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><p>By <span class='tags'>news</span> Anna.</p><p>One two.</p><p>Three.</p></article>", "By Anna. One two. Three."),
+        ("<article><p>a <span class=share>x <span>y</span> z</span> b</p><p>c</p></article>", "a b c"),
+        ("<article><p>a<span class=big>b</span>c</p><p><span class=ad>x</p><p>d</p></article>", "abc d"),
+        ("<article><p>a</p><svg width=1 /><p>b</p><math/><p>c</p><svg><text>no</text></svg><p>d</p></article>", "a b c d"),
+        ("<article><button-bar>a</button-bar><p>b</p><select-box><p>c</p></select-box></article>", "a b c"),
+    ],
+)
+def test_spans_and_self_closed_elements_end(tree, page, text):
+    assert hb.main_text(page, tree) == text
