@@ -6,11 +6,14 @@ cell ``q`` if it is at most ``2 * radius`` farther from ``q`` than from its own
 from ``q`` than the farthest vector at home there; to such cells (of lower number, so that a pair meets once) it
 goes as a visitor. Cells join independently, cut into blocks that bound what a task holds; a task counts links and
 keeps a spanning forest, so neither pairs nor cliques are ever written. Equal vectors are one node with a weight.
+Vectors of different lengths never link: each length that needs more than a block is cut by pivots of its own, all
+others join in one pass, a task for each length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +28,11 @@ CELL, BLOCK = 4_000, 4_000
 MOST_PIVOTS = 1_024
 #: Slack in the distance bounds for rounding; it only adds visitors.
 SLACK = 1e-9
+_LINKS = "node long, links long, a long, b long"
 
 
-def _unit(column: pa.Array, dim: int) -> np.ndarray:
+def _unit(column: pa.Array, dim: int | None = None) -> np.ndarray:
+    dim = dim or len(column[0])
     x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -53,20 +58,19 @@ def join_blocks(a: np.ndarray, b: np.ndarray | None, threshold: float) -> np.nda
     return links
 
 
-def prepared(vectors: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """All rows as ``vec_id``, ``key``; the distinct usable vectors as ``node``, ``n``, ``embedding``; their dimension.
+def prepared(vectors: DataFrame) -> tuple[DataFrame, DataFrame, dict[int, int]]:
+    """All rows as ``vec_id``, ``embedding``; the distinct usable vectors as ``node``, ``n``, ``embedding``; how many of each length.
 
-    ``key`` is the node (smallest ``vec_id`` of equal vectors), null for a vector that cannot link: null, empty, zero, with
-    a null or non-finite component, or of another length than most (ties: the shorter).
+    ``embedding`` is null for a vector that cannot link: null, empty, zero, or with a null or non-finite component. ``node``
+    is the smallest ``vec_id`` of equal vectors.
     """
     e = F.col("embedding")
     good = e.isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(e, lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(good, e).alias("embedding"))
-    sizes = rows.where("embedding is not null and vec_id is not null").groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    dim = sizes[0].dim if sizes else 0
-    usable = rows.where((F.size("embedding") == dim) & F.col("vec_id").isNotNull())
+    usable = rows.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull())
     nodes = usable.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"))
-    return rows, staged(nodes.select("node", "n", "embedding"), "vectors"), dim
+    nodes = staged(nodes.select("node", "n", "embedding"), "vectors")
+    return rows, nodes, {r.dim: r.n for r in nodes.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).collect()}  # one row per length
 
 
 def pivots_of(nodes: DataFrame, count: int, dim: int) -> np.ndarray:
@@ -128,33 +132,40 @@ def linked(nodes: DataFrame, dim: int, threshold: float = THRESHOLD) -> DataFram
                 columns = [pa.array([t[f] for t in part], pa.int64()) for f in range(3)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(left[low : low + step]), *(batch.column(f).take(pick) for f in range(3))], names=["cell", "i", "j", "is_left", "node", "n", "embedding"])
 
-    def meet(key: tuple, rows: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        rows = rows.combine_chunks()
-        is_left = rows.column("is_left").to_numpy()
-        ids, n = rows.column("node").to_numpy(), rows.column("n").to_numpy()
-        x = _unit(rows.column("embedding").combine_chunks(), dim)
-        a, b = np.flatnonzero(is_left), np.flatnonzero(~is_left)
-        if i == j:
-            links = join_blocks(x[a], None, threshold)
-            b = a
-        else:
-            links = join_blocks(x[a], x[b], threshold)
-        p, q = np.flatnonzero(links.any(axis=1)), np.flatnonzero(links.any(axis=0))
-        links = links[np.ix_(p, q)]
-        a, b = a[p], b[q]
-        counts = {"node": [ids[a]], "links": [links @ n[b]]}
-        if i != j:
-            counts["node"].append(ids[b])
-            counts["links"].append(n[a] @ links)
-        u, v = _forest_of(links, ids[a], ids[b])
-        node, link = np.concatenate(counts["node"]), np.concatenate(counts["links"])
-        none = pa.nulls(len(u), pa.int64())
-        gone = pa.nulls(len(node), pa.int64())
-        return pa.table({"node": pa.chunked_array([pa.array(node), none]), "links": pa.chunked_array([pa.array(link.astype(np.int64)), none]), "a": pa.chunked_array([gone, pa.array(u)]), "b": pa.chunked_array([gone, pa.array(v)])})
-
     tasks = nodes.select("node", "n", "embedding").mapInArrow(route, "cell long, i long, j long, is_left boolean, node long, n long, embedding " + nodes.schema["embedding"].dataType.simpleString())
-    return tasks.groupBy("cell", "i", "j").applyInArrow(meet, "node long, links long, a long, b long")
+    return tasks.groupBy("cell", "i", "j").applyInArrow(lambda key, rows: _meet(rows, key[1] == key[2], threshold), _LINKS)
+
+
+def linked_short(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The same for vectors of any lengths, none of which has more than a block of vectors."""
+    tasks = nodes.select(F.size("embedding").alias("dim"), F.lit(True).alias("is_left"), "node", "n", "embedding")
+    return tasks.groupBy("dim").applyInArrow(lambda rows: _meet(rows, True, threshold), _LINKS)
+
+
+def _meet(rows: pa.Table, alone: bool, threshold: float) -> pa.Table:
+    """Links of a task's left rows with its right ones, or, where it is ``alone``, among its left rows."""
+    rows = rows.combine_chunks()
+    is_left = rows.column("is_left").to_numpy()
+    ids, n = rows.column("node").to_numpy(), rows.column("n").to_numpy()
+    x = _unit(rows.column("embedding").combine_chunks())
+    a, b = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+    if alone:
+        links = join_blocks(x[a], None, threshold)
+        b = a
+    else:
+        links = join_blocks(x[a], x[b], threshold)
+    p, q = np.flatnonzero(links.any(axis=1)), np.flatnonzero(links.any(axis=0))
+    links = links[np.ix_(p, q)]
+    a, b = a[p], b[q]
+    counts = {"node": [ids[a]], "links": [links @ n[b]]}
+    if not alone:
+        counts["node"].append(ids[b])
+        counts["links"].append(n[a] @ links)
+    u, v = _forest_of(links, ids[a], ids[b])
+    node, link = np.concatenate(counts["node"]), np.concatenate(counts["links"])
+    none = pa.nulls(len(u), pa.int64())
+    gone = pa.nulls(len(node), pa.int64())
+    return pa.table({"node": pa.chunked_array([pa.array(node), none]), "links": pa.chunked_array([pa.array(link.astype(np.int64)), none]), "a": pa.chunked_array([gone, pa.array(u)]), "b": pa.chunked_array([gone, pa.array(v)])})
 
 
 def _forest_of(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,17 +182,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
     Two rows link if the cosine of their vectors, in double precision, is at least ``threshold`` (above 0); every row is
     compared whatever its other columns say. ``component_id`` is the smallest ``vec_id`` reachable by links. Vectors that are
-    null, empty, zero, hold null or non-finite components or have another length than most link with nothing, and so do
-    rows without a ``vec_id``. Repeated rows with one ``vec_id`` are different vectors with one name: they count as
+    null, empty, zero or hold null or non-finite components link with nothing, and so do rows without a ``vec_id``; vectors
+    of different lengths do not link with each other. Repeated rows with one ``vec_id`` are different vectors with one name: they count as
     links of each other. An empty table gives no rows.
     """
-    rows, nodes, dim = prepared(vectors)
-    if dim == 0:
+    rows, nodes, sizes = prepared(vectors)
+    if not sizes:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    found = staged(linked(nodes, dim, threshold), "links")
+    long = sorted(dim for dim, n in sizes.items() if n > BLOCK)
+    found = [staged(linked(nodes.where(F.size("embedding") == dim), dim, threshold), "links") for dim in long]
+    if len(long) < len(sizes):
+        found.append(staged(linked_short(nodes.where(~F.size("embedding").isin(long)), threshold), "links"))
+    found = reduce(DataFrame.unionAll, found)
     counts = found.where("node is not null").groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("node is null").select("a", "b")).select(F.col("id").alias("node"), "component")
     known = nodes.join(counts, "node", "left").join(roots, "node", "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    usable = rows.where((F.size("embedding") == dim) & F.col("vec_id").isNotNull()).join(known, "embedding").select("vec_id", "n_links", "component_id")
-    rest = rows.where(F.col("embedding").isNull() | (F.size("embedding") != dim) | F.col("vec_id").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    usable = rows.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()).join(known, "embedding").select("vec_id", "n_links", "component_id")
+    rest = rows.where(F.col("embedding").isNull() | F.col("vec_id").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return usable.unionAll(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

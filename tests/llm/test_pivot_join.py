@@ -72,3 +72,17 @@ def test_repeated_rows_doubles_and_empty(spark):
     assert sorted(map(tuple, pj.near_duplicates(df).collect())) == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)]
     assert pj.near_duplicates(df.limit(0)).count() == 0
     assert [tuple(r) for r in pj.near_duplicates(spark.createDataFrame([(5, None)], ROWS.split(", label")[0])).collect()] == [(5, 0, 5, True)]
+
+
+@pytest.mark.parametrize("cell, block", [(4000, 4000), (60, 25)])
+def test_every_length_is_joined(spark, monkeypatch, cell, block):
+    monkeypatch.setattr(pj, "CELL", cell)
+    monkeypatch.setattr(pj, "BLOCK", block)
+    parts = {8: random_rows(300), 5: random_rows(120, 1, 5), 3: random_rows(18, 2, 3), 2: [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1)]}
+    rows, want = [], {}
+    for dim, own in parts.items():
+        own = [(1000 * dim + i, v, x) for i, v, x in own]
+        rows += own
+        want |= brute(own, dim)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pj.near_duplicates(spark.createDataFrame(rows, ROWS)).collect()}
+    assert got == want and got[2001] == (1, 2000)
