@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from knowloom.llm import byte_bpe, decontaminate, host_reputation, html_blocks, license_scan, pivot_join, quality_cnn, simhash_ball, unit_dedup, wavelet_shards
+from knowloom.llm import byte_bpe, decontaminate, host_reputation, html_blocks, license_scan, pivot_join, prefix_trie, quality_cnn, simhash_ball, source_mix, unit_dedup, wavelet_shards
 from knowloom.llm.shared import shared_folder, staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +175,64 @@ SELECT doc_id, coalesce(string_agg(unit, '' ORDER BY k) FILTER (WHERE NOT gone),
        count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(start || '-' || (start + length(unit)), ' ' ORDER BY k) FILTER (WHERE gone), '') AS removed_spans
 FROM ranked GROUP BY doc_id
 """
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations, with its subtree's totals."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT)"
+
+ORACLES["op11_prefix_trie"] = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+d AS (SELECT conv_id, turn, length(text) AS n_chars, md5(length(role) || ':' || role || text) AS digest FROM t),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS k FROM d),
+c AS (SELECT conv_id, count(*) AS own, {_CRC32} % 6 AS h, conv_id - conv_id % 100 AS base FROM d GROUP BY conv_id),
+m AS (SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.own, 0)) AS taken, least(c.h, coalesce(b.own, 0)) + greatest(c.own - c.h, 0) AS length FROM c LEFT JOIN c AS b ON c.base = b.conv_id),
+s AS (
+  SELECT conv_id, k - h + taken AS depth, length, digest, n_chars FROM k JOIN m USING (conv_id) WHERE k > h
+  UNION ALL SELECT m.conv_id, k AS depth, length, digest, n_chars FROM k JOIN m ON k.conv_id = m.base WHERE k <= taken),
+p AS (
+  SELECT conv_id, depth, length, n_chars, list(digest) OVER (PARTITION BY conv_id ORDER BY depth) AS prefix FROM s
+  UNION ALL SELECT conv_id, 0, length, 0, [] FROM m),
+n AS (
+  SELECT prefix, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n_chars) AS n_chars,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE depth = length), '')) AS ends_sha256 FROM p GROUP BY prefix),
+kids AS (SELECT prefix[:-2] AS prefix, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (prefix)),
+sums AS (
+  SELECT p.prefix, count(*) FILTER (WHERE v.n_children = 0) AS n_leaves, sum((v.n_convs - 1) * v.n_chars)::BIGINT AS saved_tokens
+  FROM v JOIN p ON p.conv_id = v.conv_id AND p.depth <= v.depth GROUP BY p.prefix)
+SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256
+FROM v JOIN sums USING (prefix) LEFT JOIN v AS u ON v.depth > 0 AND u.prefix = v.prefix[:-2]
+"""
+
+
+@query
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its source's budget and the words that the mix takes of it."""
+    return source_mix.mix(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_source_mix"] = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         greatest(0.05, coalesce(length(regexp_replace(text, '[\x00-\x40\x5B-\x60\x7B-\x7F]+', '', 'g')) / nullif(length(text), 0), 0)) AS quality,
+         (('0x' || substr(md5(concat_ws(':', '13', doc_id)), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496 AS u FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM d GROUP BY source),
+level AS (
+  SELECT (any_value(budget) - sum(2.0 * a.source_size) FILTER (WHERE a.source_size / a.weight < b.source_size / b.weight)) / sum(a.weight) FILTER (WHERE a.source_size / a.weight >= b.source_size / b.weight) AS level,
+         (any_value(budget)) / sum(a.weight) FILTER (WHERE a.source_size / a.weight >= b.source_size / b.weight) AS whole,
+         count(*) FILTER (WHERE a.source_size / a.weight < b.source_size / b.weight) AS n_full, 2.0 * b.source_size / b.weight AS fills
+  FROM s AS a, s AS b, (SELECT 1.5 * sum(source_size) AS budget FROM s) GROUP BY b.source, b.source_size, b.weight),
+settled AS (SELECT min_by(CASE WHEN n_full = 0 THEN whole ELSE level END, fills) AS level FROM level WHERE CASE WHEN n_full = 0 THEN whole ELSE level END <= fills),
+t AS (SELECT source, source_size, least(2.0 * source_size, coalesce(level * weight, 2.0 * source_size))::DOUBLE AS target FROM s, settled),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM t),
+r AS (
+  SELECT doc_id, d.source, size, source_size, target, epochs, target - epochs * source_size AS rest,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY -ln(u) / quality, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2 AS reached
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, source, size, source_size, target, (size * (epochs + (reached < rest)::INT))::BIGINT AS taken FROM r
+"""

@@ -55,3 +55,34 @@ def brute_score(item, text):
             new.append(max(0, row[j] + (1 if x == y else -1), row[j + 1] - 1, new[-1] - 1))
         row, best = new, max(best, *new)
     return best / len(a)
+
+
+def brute_trie(rows):
+    """All nodes of the trie of rebuilt conversations from ``(conv_id, turn, role, text)``, with plain loops."""
+    import hashlib
+    import zlib
+
+    def digest(r):
+        role, text = r[2] or "", r[3] or ""
+        return hashlib.md5(f"{len(role)}:{role}{text}".encode()).hexdigest()
+
+    turns = {}
+    for r in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[1] is not None, r[1] or 0, digest(r))):
+        turns.setdefault(r[0], []).append((r[2] or "", r[3] or ""))
+    whole = {}
+    for c, own in turns.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        whole[c] = tuple(turns.get(c - c % 100, [])[:h] + own[h:])
+    members = {}
+    for c, seq in whole.items():
+        for d in range(len(seq) + 1):
+            members.setdefault(seq[:d], []).append(c)
+    out = {}
+    for node, own in members.items():
+        below = [n for n in members if n[: len(node)] == node]
+        children = [n for n in below if len(n) == len(node) + 1]
+        leaves = sum(1 for n in below if not any(len(m) == len(n) + 1 and m[: len(n)] == n for m in below))
+        saved = sum((len(members[n]) - 1) * len(n[-1][1]) for n in below if n)
+        last = ",".join(str(c) for c in sorted(c for c in own if len(whole[c]) == len(node)))
+        out[min(own), len(node)] = (min(members[node[:-1]]) if node else None, len(own), len(children), leaves, saved, hashlib.sha256(last.encode()).hexdigest())
+    return out
