@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from knowloom.llm import byte_bpe, decontaminate, host_reputation, html_blocks, license_scan, pivot_join, prefix_trie, quality_cnn, simhash_ball, source_mix, unit_dedup, wavelet_shards
+from knowloom.llm import byte_bpe, decontaminate, host_reputation, html_blocks, license_scan, pivot_join, prefix_trie, quality_cnn, ranked_search, simhash_ball, source_mix, unit_dedup, wavelet_shards
 from knowloom.llm.shared import shared_folder, staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,16 +164,23 @@ def op10_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op10_unit_dedup"] = r"""
 WITH cut AS (
-  SELECT doc_id, unnest(string_split(regexp_replace(text, '(\n\s*|[.!?]+\s+)', '\1' || chr(31), 'g'), chr(31))) AS unit,
-         generate_subscripts(string_split(regexp_replace(text, '(\n\s*|[.!?]+\s+)', '\1' || chr(31), 'g'), chr(31)), 1) AS k FROM documents),
+  SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k
+  FROM (SELECT doc_id, string_split(regexp_replace(text, '(\n\s*)', '\1' || chr(31), 'g'), chr(31)) AS pieces FROM documents)),
 placed AS (
-  SELECT *, coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
-         regexp_extract_all(lower(unit), '\S+') AS words FROM cut),
-ranked AS (
-  SELECT *, len(words) >= 5 AND row_number() OVER (PARTITION BY len(words) >= 5, array_to_string(words, ' ') ORDER BY doc_id, k) > 1 AS gone FROM placed)
-SELECT doc_id, coalesce(string_agg(unit, '' ORDER BY k) FILTER (WHERE NOT gone), '') AS text, coalesce(sum(length(unit)) FILTER (WHERE NOT gone), 0)::BIGINT AS n_chars,
-       count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(start || '-' || (start + length(unit)), ' ' ORDER BY k) FILTER (WHERE gone), '') AS removed_spans
-FROM ranked GROUP BY doc_id
+  SELECT doc_id, k, piece, coalesce(sum(length(piece)) OVER before, 0)::BIGINT AS start, regexp_extract_all(lower(piece), '\S+') AS words,
+         coalesce(sum(CASE WHEN regexp_matches(piece, '\n\s*\n') THEN 1 ELSE 0 END) OVER before, 0) AS paragraph
+  FROM cut WINDOW before AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+units AS (
+  SELECT doc_id, start, start + length(piece) AS stop, words FROM placed
+  UNION ALL SELECT doc_id, min(start), max(start + length(piece)), flatten(list(words ORDER BY k)) FROM placed WHERE piece <> '' GROUP BY doc_id, paragraph HAVING count(*) > 1),
+ranked AS (SELECT doc_id, start, stop, row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, start, stop) > 1 AS gone
+           FROM units WHERE list_sum(list_transform(words, lambda w: CASE WHEN length(w) > 16 THEN length(w) // 2 ELSE 1 END)) >= 20),
+gone AS (SELECT doc_id, start, stop FROM ranked AS r WHERE gone AND NOT EXISTS (
+  SELECT 1 FROM ranked AS o WHERE o.gone AND o.doc_id = r.doc_id AND o.start <= r.start AND o.stop >= r.stop AND (o.start < r.start OR o.stop > r.stop))),
+kept AS (SELECT doc_id, string_agg(piece, '' ORDER BY k) AS text FROM placed AS p WHERE NOT EXISTS (SELECT 1 FROM gone AS g WHERE g.doc_id = p.doc_id AND p.start >= g.start AND p.start < g.stop) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(kept.text, '') AS text, length(coalesce(kept.text, ''))::BIGINT AS n_chars, count(g.start) AS n_removed,
+       coalesce(string_agg(g.start || '-' || g.stop, ' ' ORDER BY g.start), '') AS removed_spans
+FROM documents AS d LEFT JOIN kept USING (doc_id) LEFT JOIN gone AS g USING (doc_id) GROUP BY d.doc_id, kept.text
 """
 
 
@@ -210,6 +217,28 @@ FROM v JOIN sums USING (prefix) LEFT JOIN v AS u ON v.depth > 0 AND u.prefix = v
 """
 
 
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents of every benchmark item, from an index of all documents."""
+    return ranked_search.search(ranked_search.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 20)
+
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+ORACLES["op12_ranked_search"] = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS terms FROM documents),
+n AS (SELECT doc_id, len(terms) AS n FROM d WHERE len(terms) > 0),
+whole AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM n),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, whole GROUP BY term),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+scored AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN n USING (doc_id), whole GROUP BY item_id, doc_id)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scored WHERE score > 0) WHERE rank <= 20
+"""
+
+
 @query
 def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its source's budget and the words that the mix takes of it."""
