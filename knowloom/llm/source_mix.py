@@ -17,11 +17,15 @@ from knowloom.llm.shared import staged
 
 #: Relative weights of the sources in their order, repeating; all budgets together as a share of all words; and the most epochs of a source.
 WEIGHTS, SHARE, MOST_EPOCHS = (3, 1, 2), 1.5, 2
-#: Steps of the keys per factor of e.
-STEPS = 4096
+#: Steps of the keys per factor of e, and steps that are summed as one first.
+STEPS, RUN = 4096, 256
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _earlier(order: str, *keys: str):
+    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+
 def words_of(text: Column) -> Column:
     """The number of words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -85,8 +89,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     sources = targets(steps.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     sources = sources.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    along = Window.partitionBy("source").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    filled = steps.withColumn("before", F.coalesce(F.sum("words").over(along), F.lit(0)))
+    # Running sums over a source's steps: within runs of steps, and over the few runs.
+    steps = steps.withColumn("run", F.floor(F.col("step") / RUN))
+    runs = steps.groupBy("source", "run").agg(F.sum("words").alias("words"))
+    runs = runs.select(F.col("source").alias("of"), F.col("run").alias("at"), F.coalesce(F.sum("words").over(_earlier("run", "source")), F.lit(0)).alias("before"))
+    inside = F.coalesce(F.sum("words").over(_earlier("step", "source", "run")), F.lit(0))
+    filled = steps.withColumn("inside", inside).join(runs, F.col("source").eqNullSafe(F.col("of")) & (F.col("run") == F.col("at"))).select("source", "step", (F.col("before") + F.col("inside")).alias("before"))
     last = filled.alias("f").join(sources.alias("s"), F.col("f.source").eqNullSafe(F.col("s.source")) & (F.col("before") <= F.col("rest")))
     last = last.groupBy("f.source").agg(F.max(F.struct("step", "before")).alias("at"))
     plan = staged(sources.alias("s").join(last.alias("l"), F.col("s.source").eqNullSafe(F.col("l.source"))).select("s.*", "at.step", "at.before"), "plan")
