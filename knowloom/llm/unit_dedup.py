@@ -1,9 +1,10 @@
-"""Substring dedup by hashing normalised units: lines, cut further where a sentence ends.
+"""Substring dedup by hashing normalised lines and paragraphs.
 
-Units tile the text, so what is removed and what is kept is known by offset. A unit's digest is taken
-over its lower-cased words. Of all units with one digest the earliest ranked stays: the lowest
-``doc_id``, and within a document the first. Only digests and offsets are shuffled to find repeats;
-counting combines before it moves, and the join against the keepers has one row per digest on one side.
+Lines tile the text, and paragraphs, which end at an empty line, are runs of lines; so what is removed and what is kept is
+known by offset. A unit's digest is taken over its lower-cased words. Of all units with one digest the earliest ranked
+stays: the lowest ``doc_id``, and within a document the first. A repeated paragraph goes whole, with its short lines;
+elsewhere repeated lines go. Only digests and offsets are shuffled to find repeats; counting combines before it moves, and
+the join against the keepers has one row per digest on one side.
 """
 
 from __future__ import annotations
@@ -17,24 +18,35 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from knowloom.llm.shared import free_name, slices, staged
 
-#: A unit ends after this: a line break, or sentence marks before white space; white space that follows belongs to it.
-BREAK = re.compile(r"(?:\n|[.!?]+\s)\s*")
-#: Units of fewer words say too little to be a repeat of anything; they always stay.
-LEAST_WORDS = 5
+#: A line ends after this; with an empty line in it, so does a paragraph.
+BREAK = re.compile(r"\n\s*")
+#: Units of fewer words say too little to be a repeat of anything and stay, unless a larger unit takes them along.
+LEAST_WORDS = 20
+#: Longer words than this count as one word for every two characters, as scripts without spaces have them.
+LONG_WORD = 16
+
+
+def _size(words: list[str]) -> int:
+    return sum([1 if len(w) <= LONG_WORD else len(w) // 2 for w in words])
 
 
 def units(text: str, least_words: int = LEAST_WORDS) -> Iterator[tuple[int, int, bytes]]:
-    """``(start, end, digest)`` of each unit of enough words, in text order; offsets count code points."""
+    """``(start, end, digest)`` of each line and each paragraph of several lines that has enough words; offsets count code points."""
     import xxhash
 
-    start = 0
-    ends = [m.end() for m in BREAK.finditer(text)]
-    if not ends or ends[-1] < len(text):
-        ends.append(len(text))
-    for end in ends:
+    breaks = [(m.end(), "\n" in text[m.start() + 1 : m.end()]) for m in BREAK.finditer(text)]
+    if not breaks or breaks[-1][0] < len(text):
+        breaks.append((len(text), True))
+    start, opened, lines = 0, 0, []
+    for k, (end, closes) in enumerate(breaks):
         words = text[start:end].lower().split()
-        if len(words) >= least_words:
-            yield start, end, xxhash.xxh3_128_digest(" ".join(words).encode())
+        lines.append(words)
+        if _size(words) >= least_words:
+            yield start, end, xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+        if closes or k == len(breaks) - 1:
+            if len(lines) > 1 and sum(map(_size, lines)) >= least_words:
+                yield opened, end, xxhash.xxh3_128_digest(" ".join([w for x in lines for w in x]).encode("utf-8", "surrogatepass"))
+            opened, lines = end, []
         start = end
 
 
@@ -62,17 +74,24 @@ def _unit_rows(docs: DataFrame, least_words: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``doc_id``, ``version`` (hash of the text) and ``removed``: the spans, in order, that repeat an earlier ranked unit."""
+    """``doc_id``, ``version`` (hash of the text) and ``removed``: the spans, in order and none within another, that repeat an earlier ranked unit."""
     found = staged(_unit_rows(docs, least_words), "units")
     keepers = found.where("not again").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     later = found.where("not again").join(keepers, ["d1", "d2"]).where("doc_id > first or (doc_id is null and first is not null)")
     gone = later.select("doc_id", "version", "span").unionAll(found.where("again").select("doc_id", "version", "span")).distinct()
-    span = F.transform(F.array_sort(F.collect_list("span")), lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("start"), x.bitwiseAND(0xFFFFFFFF).cast("int").alias("end")))
-    return gone.groupBy("doc_id", "version").agg(span.alias("removed"))
+    # A paragraph comes before its lines: by start, then by end, last first.
+    start, end = F.shiftright("span", 32).cast("int"), F.col("span").bitwiseAND(0xFFFFFFFF).cast("int")
+    ordered = F.array_sort(F.collect_list(F.struct(start.alias("start"), (-end).alias("end"))))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    outer = F.aggregate(ordered, none, lambda out, x: F.when(F.coalesce(F.try_element_at(out, F.lit(-1))["end"], F.lit(-1)) >= -x["end"], out).otherwise(F.concat(out, F.array(F.struct(x["start"].alias("start"), (-x["end"]).alias("end"))))))
+    return gone.groupBy("doc_id", "version").agg(outer.alias("removed"))
 
 
 def dedup(docs: DataFrame, least_words: int = LEAST_WORDS, removed: str = "removed") -> DataFrame:
-    """``docs`` with every repeated unit cut out of ``text``, and ``removed``: array of the original ``start``, ``end`` offsets.
+    """``docs`` with every repeated line and paragraph cut out of ``text``, and ``removed``: array of the original ``start``, ``end`` offsets.
+
+    Units of fewer than ``least_words`` words (a word of more than LONG_WORD characters counts for more) go only within a
+    repeated paragraph; a text without an empty line is one paragraph, so a whole copy of short lines goes, too.
 
     Every row stays, also one whose text is all repeats (its text becomes empty). A null text stays null and an empty
     one empty, with no spans. Within a text the first occurrence of a unit stays. Between texts the lowest ``doc_id``
@@ -83,7 +102,8 @@ def dedup(docs: DataFrame, least_words: int = LEAST_WORDS, removed: str = "remov
     """
     removed = free_name(docs, removed)
     version, own, key = free_name(docs, "version_of_text"), free_name(docs, "own_doc_id"), free_name(docs, "key_doc_id")
-    gone = repeats(docs, least_words).select(F.col("doc_id").alias(own), F.col("version").alias("_version"), F.col("removed").alias(removed))
+    # A table of its own, so that its true size decides how the texts meet their spans.
+    gone = staged(repeats(docs, least_words), "spans").select(F.col("doc_id").alias(own), F.col("version").alias("_version"), F.col("removed").alias(removed))
     keyed = docs.withColumns({version: F.xxhash64("text"), key: F.col("doc_id").cast("long")})
     joined = keyed.join(gone, keyed[key].eqNullSafe(gone[own]) & (keyed[version] == gone["_version"]), "left").select(*docs.columns, F.coalesce(removed, F.array().cast("array<struct<start:int,end:int>>")).alias(removed))
     at = docs.columns.index("text")

@@ -27,21 +27,33 @@ def brute_components(prints, ids, radius=4):
 
 
 def brute_units(rows, ud):
-    """Earliest occurrence of each unit by (doc_id, place), with plain loops."""
+    """Earliest occurrence of each line and paragraph by (doc_id, place), with plain loops."""
     seen, out = set(), {}
     for doc, text in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
-        kept, spans, at = [], [], 0
-        cuts = [m.end() for m in ud.BREAK.finditer(text or "")] + [len(text or "")]
-        for end in cuts:
-            unit = (text or "")[at:end]
-            norm = " ".join(unit.lower().split())
-            if len(norm.split()) >= ud.LEAST_WORDS and norm in seen:
-                spans.append((at, end))
+        text, own, lines, at = text or "", [], [], 0
+        for piece in re.findall(r"[^\n]*\n\s*|[^\n]+", text):
+            lines.append((at, at + len(piece), piece))
+            at += len(piece)
+            if re.search(r"\n\s*\n", piece) or at == len(text):
+                own.append(lines)
+                lines = []
+        spans = []
+        for lines in own:
+            whole = [(lines[0][0], lines[-1][1], "".join(x for _, _, x in lines))] if len(lines) > 1 else []
+            gone = {}
+            for unit in sorted(lines + whole):
+                words = unit[2].lower().split()
+                if sum(1 if len(w) <= 16 else len(w) // 2 for w in words) >= ud.LEAST_WORDS:
+                    gone[unit[:2]] = " ".join(words) in seen
+                    seen.add(" ".join(words))
+            if whole and gone.get(whole[0][:2]):
+                spans.append(whole[0][:2])
             else:
-                kept.append(unit)
-                if len(norm.split()) >= ud.LEAST_WORDS:
-                    seen.add(norm)
-            at = end
+                spans += [x[:2] for x in lines if gone.get(x[:2])]
+        kept, last = [], 0
+        for a, b in [*spans, (len(text), len(text))]:
+            kept.append(text[last:a])
+            last = b
         out[doc] = ("".join(kept), spans)
     return out
 
