@@ -1,8 +1,10 @@
 """Facts of script and Java files as Column expressions: no Python code runs over the texts.
 
 A text is numbered first: every line begins with its number and a tab. A pattern then finds a declaration
-wherever it stands, over as many lines as it takes, and its first numbered line says where that is. Annotations
-belong to a declaration if only lines that do not end a statement lie between; how many there are is no matter.
+wherever it stands, and its first numbered line says where that is. Annotations belong to a declaration if only
+lines that do not end a statement lie between; how many there are is no matter. No pattern repeats over lines:
+texts are cut where statements end and before declarations, and a piece is held next to the one before it, so the
+work grows with the length of a file and a long list of constants or comments needs no stack.
 """
 
 from __future__ import annotations
@@ -24,26 +26,27 @@ SPANS = {"symbol": 12, "type": 15, "model": 20, "web_route": 5, "class_route": 8
 
 NAME = r"[A-Za-z_$][A-Za-z0-9_$]*"
 AT = r"(?m)^(\d+)\t\s*"
-ON = r"(?:^\d+\t\s*)"
-ABOVE = r"((?:^\d+\t(?:[^\n]*[^\n;{}\s])?[ \t\r]*\n)*)"  # lines that end no statement
+ENDED = r"(?<=[;{}])[ \t\r]*\n"  # the break after a line that ends a statement or opens or closes a body
 SCRIPT_IMPORT = AT + r"import\s+([^;'\"]*?)\s+from\s+['\"]([^'\"]+)['\"]"
 SCRIPT_REQUIRE = AT + r"(?:const|let|var)\s+(" + NAME + r"|\{[^}]*\})\s*=\s*require\(\s*['\"]([^'\"]+)['\"]\s*\)"
-SCRIPT_LEAD = AT + r"(?:(?:export|default|async|declare|abstract)\s+)*"
+SCRIPT_LEAD = AT + r"(?:(?:export|default|async|declare|abstract)\s+){0,5}"
 SCRIPT_FUNCTION = SCRIPT_LEAD + rf"function\s*\*?\s+({NAME})\s*\(([^)]*)\)"
 SCRIPT_ARROW = SCRIPT_LEAD + rf"(?:const|let|var)\s+({NAME})\s*=\s*(?:async\s*)?\(([^)]*)\)\s*=>"
 SCRIPT_TYPE = SCRIPT_LEAD + rf"(class|interface)\s+({NAME})"
 SCRIPT_BODY = SCRIPT_LEAD + rf"interface\s+({NAME})[^{{]*\{{([^}}]*)\}}"
 SCRIPT_MEMBER = rf"(?m)(?:^(?:\d+\t)?|[;,])\s*({NAME})(\?)?\s*:\s*([^;,\n]+)"
 WEB_ROUTE = rf"(?m)^(\d+)\t(?:[^\n]*?[^A-Za-z0-9_$.\n])?(?:{ROUTER_NAMES})\.({VERBS})\s*\(\s*['\"]([^'\"]+)['\"]\s*(?:,\s*({NAME})?)?"
-CLASS_ROUTE = AT + rf"@(Get|Post|Put|Patch|Delete)\s*\(\s*(?:['\"]([^'\"]*)['\"])?\s*\)[^\n]*\n(?:{ON}(?:@[^\n]*)?\n)*{ON}(?:(?:public|private|protected|static|async)\s+)*({NAME})\s*\("
+DECORATED = r"^\d+\t\s*(?:@.*)?$"
+DECORATOR = r"^\d+\t\s*@(?:Get|Post|Put|Patch|Delete)\s*\("
+STACKED = r"(?m)(" + DECORATOR + r"[^\n]*)\n(?=" + DECORATOR[1:] + ")"
+CLASS_ROUTE = AT + rf"@(Get|Post|Put|Patch|Delete)\s*\(\s*(?:['\"]([^'\"]*)['\"])?\s*\)[^\n]*\n\d+\t\s*(?:(?:public|private|protected|static|async)\s+){{0,5}}({NAME})\s*\("
 ENVIRONMENT = r"(process\.env|import\.meta\.env)\.([A-Z][A-Z0-9_]+)"
 SCRIPT_ENTRY = r"(createRoot|ReactDOM\.render|(?:app|server)\.listen)\s*\("
 
-JAVA_MODIFIERS = r"(?:(?:public|protected|private|abstract|final|static|sealed|strictfp)\s+)*"
+JAVA_MODIFIERS = r"(?:(?:public|protected|private|abstract|final|static|sealed|strictfp)\s+){0,8}"
 JAVA_HEAD = rf"^(\d+)\t[ \t]*({JAVA_MODIFIERS}(class|interface|record|enum)\s+([A-Za-z0-9_]+)(?:\s+extends\s+[\w<>., ]+)?)"
-JAVA_TYPE = "(?m)" + ABOVE + JAVA_HEAD + r"((?s:.*?))(?=" + ABOVE.replace("((?:", "(?:(?:", 1) + r"^\d+\t[ \t]*" + JAVA_MODIFIERS + r"(?:class|interface|record|enum)\s+\w|\z)"
-JAVA_FIELD = r"(?m)^\d+\t[ \t]*(?:private|protected|public)\s+(?:(?:final|static|transient|volatile)\s+)*([\w<>?,.\[\]]+)\s+([A-Za-z0-9_]+)\s*(?:=[^\n]*)?;"
-JAVA_METHOD = "(?m)" + ABOVE + r"^(\d+)\t[ \t]*(?:public|protected|private)\s+(?:(?:static|final|abstract|synchronized)\s+)*([\w<>?,.\[\]]+)\s+([A-Za-z0-9_]+)\s*\(([^)]*)\)"
+JAVA_FIELD = r"(?m)^\d+\t[ \t]*(?:private|protected|public)\s+(?:(?:final|static|transient|volatile)\s+){0,6}([\w<>?,.\[\]]+)\s+([A-Za-z0-9_]+)\s*(?:=[^\n]*)?;"
+JAVA_METHOD = r"^(\d+)\t[ \t]*(?:public|protected|private)\s+(?:(?:static|final|abstract|synchronized)\s+){0,6}([\w<>?,.\[\]]+)\s+([A-Za-z0-9_]+)\s*\(([^)]*)\)"
 JAVA_MAPPING = r"@(Get|Post|Put|Patch|Delete|Request)Mapping\b\s*(?:\(\s*(?:\d+\t\s*)?(?:(?:value|path)\s*=\s*)?[\"']([^\"']*)[\"'])?"
 JAVA_IMPORT = AT + r"import\s+(?:static\s+)?([\w.*]+)\s*;"
 JAVA_SETTING = r"\$\{([A-Za-z0-9_.-]+)(?::[^}]*)?\}"
@@ -59,6 +62,19 @@ def _found(text: Column, pattern: str, fact: Callable[[Callable[[int], Column]],
     return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: fact(lambda g: F.regexp_extract(m, pattern, g)))
 
 
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _declared(text: Column, pattern: str) -> Column:
+    """Array of ``own`` and ``above``: each piece that begins with a declaration, and the open lines before it."""
+    pieces = F.split(text, "(?m)(?=" + pattern + ")", -1)
+    pairs = _bind(pieces, lambda p: F.zip_with(p, F.concat(F.array(F.lit("")), p), lambda own, before: F.struct(own.alias("own"), before.alias("before"))))
+    found = F.filter(pairs, lambda x: x["own"].rlike(r"\A" + pattern[1:]))
+    return F.transform(found, lambda x: F.struct(x["own"].alias("own"), F.element_at(F.split(x["before"], ENDED, -1), -1).alias("above")))
+
+
 def _fact(kind: str, owner, name, value, extra, line: Column, span: int = 0) -> Column:
     at = line.cast("int")
     as_text = lambda x: F.lit(x).cast("string") if x is None or isinstance(x, str) else x.cast("string")
@@ -94,6 +110,9 @@ def script_facts(text: Column, path: Column) -> Column:
     names = lambda x: F.array_join(F.regexp_extract_all(F.regexp_replace(x, r"(?m)^\d+\t", ""), F.lit(f"({NAME})"), F.lit(1)), ",")
     called = lambda g: _fact("symbol", own(g(2)), g(2), F.concat(g(2), F.lit("("), _plain(g(3)), F.lit(")")), "function", g(1), SPANS["symbol"])
     prefix = F.regexp_extract(text, r"@Controller\s*\(\s*['\"]([^'\"]*)['\"]", 1)
+    # Decorators that route stand right above their method, those of one method on one line.
+    routed = F.when(text.rlike("(?m)" + DECORATOR), F.filter(F.split(text, "\n", -1), lambda l: ~l.rlike(DECORATED) | l.rlike(DECORATOR)))
+    routed = F.coalesce(F.regexp_replace(F.array_join(routed, "\n"), STACKED, "$1 "), F.lit(""))
     needed = lambda mark: F.when(mark == "", "[true, null]").otherwise("[false, null]")
 
     def members(g) -> Column:
@@ -106,7 +125,7 @@ def script_facts(text: Column, path: Column) -> Column:
         _found(text, SCRIPT_ARROW, called),
         _found(text, SCRIPT_TYPE, lambda g: _fact("symbol", own(g(3)), g(3), F.concat_ws(" ", g(2), g(3)), g(2), g(1), SPANS["symbol"])),
         _found(text, WEB_ROUTE, lambda g: _fact("route", _or_null(g(4)), F.upper(g(2)), g(3), "javascript_web|candidate", g(1), SPANS["web_route"])),
-        _found(text, CLASS_ROUTE, lambda g: _fact("route", own(g(4)), F.upper(g(2)), _url(prefix, g(3)), "nestjs|high", g(1), SPANS["class_route"])),
+        _found(routed, CLASS_ROUTE, lambda g: _fact("route", own(g(4)), F.upper(g(2)), _url(prefix, g(3)), "nestjs|high", g(1), SPANS["class_route"])),
         F.flatten(_found(text, SCRIPT_BODY, members)),
         _found(text, SCRIPT_BODY, lambda g: _fact("model", own(g(2)), g(2), "typescript_interface", None, g(1), SPANS["model"])),
         _by_line(text, ENVIRONMENT, lambda g, line: _fact("config", g(1), g(2), None, None, line)),
@@ -116,44 +135,49 @@ def script_facts(text: Column, path: Column) -> Column:
 
 def java_facts(text: Column, path: Column) -> Column:
     """Array of facts of one Java file (numbered text). Methods and routes are the first type's; fields are their own type's."""
+    return _bind(_declared(text, JAVA_HEAD), lambda types: _java_facts(text, path, types))
+
+
+def _java_facts(text: Column, path: Column, types: Column) -> Column:
     folder = F.replace(F.regexp_replace(path, r"/?[^/]*$", ""), F.lit("/"), F.lit("."))
     package = F.coalesce(_or_null(F.regexp_extract(text, AT + r"package\s+([\w.]+)\s*;", 2)), folder)
     stem = F.regexp_replace(F.regexp_replace(path, r"^.*/", ""), r"\.[^.]*$", "")
-    owner = F.coalesce(_or_null(F.regexp_extract(text, "(?m)" + JAVA_HEAD, 4)), stem)
+    first = F.get(types, 0)
+    owner = F.coalesce(_or_null(F.regexp_extract(first["own"], JAVA_HEAD, 4)), stem)
     within = lambda *names: F.concat_ws(".", _or_null(package), *names)
-    prefix = F.regexp_extract(F.regexp_extract(text, "(?m)" + ABOVE + JAVA_HEAD, 1), r"@RequestMapping\s*\(\s*(?:\d+\t\s*)?(?:(?:value|path)\s*=\s*)?[\"']([^\"']*)[\"']", 1)
-    is_model = lambda g: (g(4) == "record") | g(1).rlike(ENTITY_MARKS)
+    prefix = F.coalesce(F.regexp_extract(first["above"], r"@RequestMapping\s*\(\s*(?:\d+\t\s*)?(?:(?:value|path)\s*=\s*)?[\"']([^\"']*)[\"']", 1), F.lit(""))
+    head = lambda t: lambda g: F.regexp_extract(t["own"], JAVA_HEAD, g)
     none = F.array().cast(f"array<{FACT}>")
+    named = F.transform(types, lambda t: F.struct(t["own"].alias("own"), t["above"].alias("above"), *[head(t)(k).alias(n) for k, n in ((1, "line"), (2, "shown"), (3, "kind"), (4, "name"))]))
+    models = F.filter(named, lambda t: (t["kind"] == "record") | t["above"].rlike(ENTITY_MARKS))
 
-    def fields(g) -> Column:
-        made = F.transform(F.regexp_extract_all(g(6), F.lit(JAVA_FIELD), F.lit(0)), lambda m: _fact("field", within(g(5)), F.regexp_extract(m, JAVA_FIELD, 2), F.regexp_extract(m, JAVA_FIELD, 1), "[null, null]", g(2)))
-        return F.when(is_model(g), made).otherwise(none)
+    def fields(t) -> Column:
+        return F.transform(F.regexp_extract_all(t["own"], F.lit(JAVA_FIELD), F.lit(0)), lambda m: _fact("field", within(t["name"]), F.regexp_extract(m, JAVA_FIELD, 2), F.regexp_extract(m, JAVA_FIELD, 1), "[null, null]", t["line"]))
 
-    def model(g) -> Column:
-        kind = F.when(g(1).rlike(r"@Entity\b"), "java_entity").otherwise("java_record")
-        return F.when(is_model(g), F.array(_fact("model", within(g(5)), g(5), kind, None, g(2), SPANS["model"]))).otherwise(none)
+    def model(t) -> Column:
+        return _fact("model", within(t["name"]), t["name"], F.when(t["above"].rlike(r"@Entity\b"), "java_entity").otherwise("java_record"), None, t["line"], SPANS["model"])
 
-    def routes(g) -> Column:
-        def route(m) -> Column:
-            said = F.regexp_extract(g(1), r"RequestMethod\.([A-Z]+)", 1)
-            verb = F.when(F.regexp_extract(m, JAVA_MAPPING, 1) != "Request", F.upper(F.regexp_extract(m, JAVA_MAPPING, 1))).otherwise(F.coalesce(_or_null(said), F.lit("ANY")))
-            line = F.regexp_extract(g(1), r"(?m)^(\d+)\t[^\n]*@\w+Mapping", 1)
-            return _fact("route", F.concat_ws(".", owner, g(4)), verb, _url(prefix, F.regexp_extract(m, JAVA_MAPPING, 2)), "spring|high", line, SPANS["class_route"])
+    def routes(m) -> Column:
+        def route(found) -> Column:
+            said = F.regexp_extract(m["above"], r"RequestMethod\.([A-Z]+)", 1)
+            verb = F.when(F.regexp_extract(found, JAVA_MAPPING, 1) != "Request", F.upper(F.regexp_extract(found, JAVA_MAPPING, 1))).otherwise(F.coalesce(_or_null(said), F.lit("ANY")))
+            line = F.regexp_extract(m["above"], r"(?m)^(\d+)\t[^\n]*@\w+Mapping", 1)
+            return _fact("route", F.concat_ws(".", owner, F.regexp_extract(m["own"], JAVA_METHOD, 3)), verb, _url(prefix, F.regexp_extract(found, JAVA_MAPPING, 2)), "spring|high", line, SPANS["class_route"])
 
-        return F.transform(F.regexp_extract_all(g(1), F.lit(JAVA_MAPPING), F.lit(0)), route)
+        return F.transform(F.regexp_extract_all(m["above"], F.lit(JAVA_MAPPING), F.lit(0)), route)
 
-    def method(g) -> Column:
-        shown = F.concat(g(4), F.lit("("), _plain(g(5)), F.lit(")"))
-        return _fact("symbol", within(owner, shown), g(4), F.concat_ws(" ", g(3), shown), "method", g(2), SPANS["symbol"])
+    def method(m) -> Column:
+        g = lambda k: F.regexp_extract(m["own"], JAVA_METHOD, k)
+        shown = F.concat(g(3), F.lit("("), _plain(g(4)), F.lit(")"))
+        return _fact("symbol", within(owner, shown), g(3), F.concat_ws(" ", g(2), shown), "method", g(1), SPANS["symbol"])
 
     main = F.regexp_extract(text, r"(?m)^(\d+)\t[^\n]*public static void main", 1)
     return F.concat(
         _found(text, JAVA_IMPORT, lambda g: _fact("import", path, g(2), F.substring_index(g(2), ".", -1), "0", g(1))),
-        _found(text, JAVA_TYPE, lambda g: _fact("symbol", within(g(5)), g(5), F.trim(g(3)), g(4), g(2), SPANS["type"])),
-        F.flatten(_found(text, JAVA_TYPE, fields)),
-        F.flatten(_found(text, JAVA_TYPE, model)),
-        _found(text, JAVA_METHOD, method),
-        F.flatten(_found(text, JAVA_METHOD, routes)),
+        F.transform(named, lambda t: _fact("symbol", within(t["name"]), t["name"], F.trim(t["shown"]), t["kind"], t["line"], SPANS["type"])),
+        F.flatten(F.transform(models, fields)),
+        F.transform(models, model),
+        _bind(_declared(text, JAVA_METHOD), lambda methods: F.concat(F.transform(methods, method), F.flatten(F.transform(methods, routes)))),
         _by_line(text, JAVA_SETTING, lambda g, line: _fact("config", "Spring value", g(1), None, None, line)),
         F.when(main != "", F.array(_fact("entry_point", "executable", F.concat(owner, F.lit(".main")), "Java", None, main, SPANS["main"]))).otherwise(none),
     )
