@@ -16,9 +16,8 @@ from __future__ import annotations
 import math
 import re
 from array import array
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +30,11 @@ from knowloom.llm.shared import slices, staged
 #: Runs of letters, digits and whatever is not ASCII, in UTF-8.
 TERM = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: Postings of a block, postings after which a segment is closed (a document is never cut), and documents of a window.
-BLOCK, SEGMENT_POSTINGS, WINDOW = 128, 1_000_000, 4096
+BLOCK, SEGMENT_POSTINGS, WINDOW = 128, 2_000_000, 4096
 #: Characters of items that one pass over the index answers; more items take more passes.
 ITEM_CHARS = 4_000_000
 
-_INDEX = "segment long, term string, n long, total long, last array<int>, top array<int>, least array<int>, at array<int>, postings binary, doc_ids array<long>, lengths array<long>"
+_INDEX = "segment long, term string, n long, total long, blocks binary, postings binary"
 
 
 def terms_of(text: str | None) -> list[bytes]:
@@ -47,15 +46,12 @@ class Segment:
     """Postings of documents while they are read."""
 
     def __init__(self):
-        self.numbers, self.term, self.often = {}, array("i"), array("i")
+        self.numbers, self.term, self.often = defaultdict(), array("i"), array("i")
+        self.numbers.default_factory = self.numbers.__len__  # a new term takes the next number
         self.held, self.lengths, self.doc_ids = array("i"), array("q"), []
 
     def add(self, doc_id: int | None, counts: Counter) -> None:
-        numbers = self.numbers
-        for t in counts:
-            if t not in numbers:
-                numbers[t] = len(numbers)
-        self.term.extend(map(numbers.__getitem__, counts))
+        self.term.extend(map(self.numbers.__getitem__, counts))
         self.often.extend(counts.values())
         self.held.append(len(counts))
         self.lengths.append(sum(counts.values()))
@@ -75,27 +71,42 @@ class Segment:
         head = (np.arange(len(doc)) - np.repeat(begin, df)) % block == 0
         heads = np.flatnonzero(head)
         step = np.where(head, doc, doc - np.concatenate([[0], doc[:-1]]))
+        ends = np.concatenate([heads[1:], [len(doc)]])
         data, where = pack(np.stack([step, often], 1).ravel())
-        n_blocks = -(-df // block)
-        cuts = np.concatenate([[0], np.cumsum(n_blocks)])
-        first = where[2 * begin]
-        ends = np.concatenate([heads[1:], [len(doc)]]) - 1
-        per_block = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], cuts]), pa.int32()), pa.array(x, pa.int32()))
-        nothing = [None] * len(names)
-        bytes_at = pa.py_buffer(np.concatenate([[0], first, [len(data)]]).astype(np.int32))
+        shape = [doc[ends - 1], np.maximum.reduceat(often, heads), np.minimum.reduceat(lengths[doc], heads), where[2 * ends] - where[2 * heads]]
+        head_data, head_where = pack(np.stack(shape, 1).ravel())
+        first = np.searchsorted(heads, begin)
+        documents, sizes = packed_ids(self.doc_ids), pack(lengths)[0].tobytes()
         columns = [
             pa.array(np.full(len(names) + 1, number)), pa.array([None, *names], pa.binary()).cast(pa.string()), pa.array(np.concatenate([[len(lengths)], df])), pa.array(np.concatenate([[int(lengths.sum())], df * 0])),
-            per_block(doc[ends]), per_block(np.maximum.reduceat(often, heads)), per_block(np.minimum.reduceat(lengths[doc], heads)), per_block(where[2 * heads] - np.repeat(first, n_blocks)),
-            pa.Array.from_buffers(pa.binary(), len(names) + 1, [None, bytes_at, pa.py_buffer(data)]), pa.array([self.doc_ids, *nothing], pa.list_(pa.int64())), pa.array([lengths.tolist(), *nothing], pa.list_(pa.int64())),
+            _binary(sizes, head_data, head_where[4 * first]), _binary(documents, data, where[2 * begin]),
         ]
-        return pa.RecordBatch.from_arrays(columns, names=["segment", "term", "n", "total", "last", "top", "least", "at", "postings", "doc_ids", "lengths"])
+        return pa.RecordBatch.from_arrays(columns, names=["segment", "term", "n", "total", "blocks", "postings"])
+
+
+def _binary(first: bytes, data: np.ndarray, begins: np.ndarray) -> pa.Array:
+    """A column of bytes: ``first``, then ``data`` cut where the others begin."""
+    at = np.concatenate([[0], begins + len(first), [len(data) + len(first)]])
+    return pa.Array.from_buffers(pa.binary(), len(begins) + 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(first + data.tobytes())])
+
+
+def packed_ids(ids: list[int | None]) -> bytes:
+    """Eight bytes an id, then a byte each that is 1 for null."""
+    return np.array([i or 0 for i in ids], "<i8").tobytes() + bytes([i is None for i in ids])
+
+
+def unpacked_ids(data: bytes) -> list[int | None]:
+    n = len(data) // 9
+    return [None if none else i for i, none in zip(np.frombuffer(data, "<i8", n).tolist(), data[8 * n :])]
 
 
 def build(docs: DataFrame, block: int = BLOCK, segment_postings: int = SEGMENT_POSTINGS) -> DataFrame:
     """The index of all rows of ``docs`` (``doc_id``, ``text``), written as a table of the shared folder.
 
-    Per segment a row without a ``term`` (``n`` documents, ``total`` terms, ``doc_ids``, ``lengths``) and one per term (``n``
-    documents, blocks). Documents without a term are not in it. A segment is what a task reads, cut after so many postings.
+    Per segment a row without a ``term`` (``n`` documents, ``total`` terms; their lengths and ids in place of blocks and
+    postings) and one per term: ``n`` documents, in ``blocks`` the last document, largest frequency, smallest length and
+    number of bytes of each block, and in ``postings`` steps from document to document and frequencies. Documents without a
+    term are not in it. A segment is what a task reads, cut after so many postings.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,9 +128,10 @@ class Postings:
     """A term's list in one segment; blocks are unpacked when they are asked for, once."""
 
     def __init__(self, row: dict, impact, lengths: np.ndarray):
-        self.last, self.data = np.array(row["last"], np.int64), row["postings"]
-        self.at = [*row["at"], len(self.data)]
-        self.bounds = impact(np.array(row["top"], np.int64), np.array(row["least"], np.int64))
+        shape = unpack(row["blocks"]).reshape(-1, 4)
+        self.last, self.data = shape[:, 0], row["postings"]
+        self.at = [0, *np.cumsum(shape[:, 3]).tolist()]
+        self.bounds = impact(shape[:, 1], shape[:, 2])
         self.impact, self.lengths, self.read = impact, lengths, {}
 
     def block(self, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -222,7 +234,7 @@ def _search(index: DataFrame, asked: list[tuple[int | None, Counter]], n: int, t
         asked, weights = sent.value
         rows = {r["term"]: r for r in table.to_pylist()}
         docs = rows.pop(None)
-        lengths, ids = np.array(docs["lengths"], np.int64), docs["doc_ids"]
+        lengths, ids = unpack(docs["blocks"]), unpacked_ids(docs["postings"])
         order = np.array([np.iinfo(np.int64).max if i is None else i for i in ids], np.int64)
         own = {t.encode(): Postings(r, impact, lengths) for t, r in rows.items()}
         out = []

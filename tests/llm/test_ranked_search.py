@@ -62,7 +62,8 @@ def test_blocks_without_a_chance_stay_packed(many):
         for i, t in docs:
             segment.add(i, Counter(rs.terms_of(t)))
         rows = segment.close(0, 4).to_pylist()
-        lengths, n, total = np.array(rows[0]["lengths"]), len(docs), sum(rows[0]["lengths"])
+        lengths, n, total = unpack(rows[0]["blocks"]), len(docs), rows[0]["total"]
+        assert rs.unpacked_ids(rows[0]["postings"]) == [i for i, _ in docs] and lengths.sum() == total
         impact = lambda often, length: 1_000_000_000 * often // (1000 * often + 12 * (75 + 25 * length * n // total))
         own = {r["term"]: rs.Postings(r, impact, lengths) for r in rows[1:]}
         weight = {t: math.floor(1000 * math.log((2 * n + 2) / (2 * r["n"] + 1))) for t, r in zip([r["term"] for r in rows[1:]], rows[1:])}
