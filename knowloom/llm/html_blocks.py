@@ -1,7 +1,7 @@
 """Main text of web pages from flat text blocks.
 
 A page is read once as a flat run of blocks: text between block-level tags. Each block has the number of
-its words and its link density, those of the block before and after, and the kind of part it stands in.
+its words and its link density, those of the block before and after, the kind of part it stands in and what its part is called.
 A decision tree, trained on a small labelled table of such blocks, says which blocks are the article.
 """
 
@@ -38,10 +38,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Words of a class, id or role that name a part outside the article, and one that holds it.
 OUTSIDE_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|sponsor(?:ed)?|promos?|banner|cookies?|consent|gdpr|notices?|alert|nav(?:bar|igation)?|menus?|breadcrumbs?|sidebar|side|footer|foot|header|masthead|top-?bar|comments?|disqus|replies|respond|related|recommended|share|sharing|social|newsletter|subscribe|signup|login|search|popup|modal|overlay|widget|toc|pagination|pager|tags?|copyright|legal|disclaimer|contentinfo|complementary)(?:$|[\s_-])", re.I)
 WITHIN_NAME = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|body|main|text)(?:$|[\s_-])", re.I)
+#: Of the outside names, those below which an article element is one of other articles or a reader's.
+CLOSED_NAME = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies|respond|related|recommended|sidebar|side|widget|ads?|adverts?|advertisements?|adsense|sponsor(?:ed)?|promos?|complementary)(?:$|[\s_-])", re.I)
+#: Names of the article's own text, which hold it also below another outside name.
+OWN_NAME = re.compile(r"(?:^|\s)(?:(?:article|post|entry|story)[_-]?(?:content|body|text)|main[_-]content)(?:$|\s)", re.I)
+#: Classes that tell how a page is laid out and name no part: a state before or after the word.
+LAYOUT = re.compile(r"(?:^|\s)(?:(?:no|has|with|without|is|not|hide|show|hidden)[_-]\S*|\S*[_-](?:fixed|sticky|enabled|disabled|visible|hidden|active|open|opened|closed|collapsed|expanded|on|off|layout|page))(?=$|\s)", re.I)
 LABEL = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 #: Columns of a block's features, in order.
-FEATURES = ("part", "words", "links", "words_before", "links_before", "words_after", "links_after", "heading")
+FEATURES = ("part", "named", "words", "links", "words_before", "links_before", "words_after", "links_after", "heading")
 
 
 @dataclass
@@ -49,14 +55,15 @@ class Block:
     text: str
     words: int
     links: float  # share of its words that stand in links
-    part: int  # 1 in an article, -1 in a part outside it, 0 in neither
+    part: int  # by elements: 1 in an article, -1 in a form, -2 in another part outside it, 0 in neither
+    named: int  # by names: 1 in a part that holds it, -1 in one outside it, -2 in one of other articles or readers, 0 in neither
     heading: bool
 
 
 def blocks(page: str) -> list[Block]:
     """All text blocks of a page in order, with references decoded and white space made one space; parts may be left open."""
     out: list[Block] = []
-    parts: list[tuple[str, int]] = []
+    parts: list[tuple[str, tuple[int, int]]] = []
     spans = 0  # open parts when the open paragraph began
     run: list[str] = []
     linked, in_link, heading = [], 0, False
@@ -67,7 +74,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join("".join(run).split())
             if text:
                 words = text.count(" ") + 1
-                out.append(Block(text, words, min(1.0, len(" ".join(linked).split()) / words), parts[-1][1] if parts else 0, heading))
+                out.append(Block(text, words, min(1.0, len(" ".join(linked).split()) / words), *(parts[-1][1] if parts else NOWHERE), heading))
             run, linked = [], []
 
     for m in TOKEN.finditer(page):
@@ -86,11 +93,11 @@ def blocks(page: str) -> list[Block]:
             in_link = 0 if ends else 1
         if name == "span":
             if ends and parts and parts[-1][0] == "span":
-                if parts[-1][1] != (parts[-2][1] if len(parts) > 1 else 0):
+                if parts[-1][1] != (parts[-2][1] if len(parts) > 1 else NOWHERE):
                     close()
                 parts.pop()
             elif not ends and not attributes.endswith("/"):
-                over = parts[-1][1] if parts else 0
+                over = parts[-1][1] if parts else NOWHERE
                 part = _part(name, attributes, over)
                 if part != over:
                     close()
@@ -116,21 +123,31 @@ def blocks(page: str) -> list[Block]:
                     if name == "p":
                         break
             elif name != "p":
-                parts.append((name, _part(name, attributes, parts[-1][1] if parts else 0)))
+                parts.append((name, _part(name, attributes, parts[-1][1] if parts else NOWHERE)))
     close()
     return out
 
 
-def _part(name: str, attributes: str, over: int) -> int:
-    if over == -1:
-        return -1
+NOWHERE = (0, 0)
+
+
+def _part(name: str, attributes: str, over: tuple[int, int]) -> tuple[int, int]:
+    """``part`` and ``named`` below an element; an article or its own text wins below a form and below names of the page's frame."""
+    part, named = over
+    if part == -2:
+        return over
     if name in OUTSIDE:
-        return -1
-    label = " ".join(a or b or c for a, b, c in LABEL.findall(attributes))
-    if label and OUTSIDE_NAME.search(label):
-        return -1
-    if name in WITHIN or (label and WITHIN_NAME.search(label)):
-        return 1
+        return (-1 if name == "form" else -2), named
+    label = LAYOUT.sub(" ", " ".join(a or b or c for a, b, c in LABEL.findall(attributes)))
+    outside = OUTSIDE_NAME.search(label) if label.strip() else None
+    if name in WITHIN and not outside and (named > -2 or name == "main"):
+        return 1, 0
+    if label and OWN_NAME.search(label) and named > -2:
+        return max(part, 0), 1
+    if outside:
+        return part, min(named, -2 if CLOSED_NAME.search(label) else -1)
+    if label and named >= 0 and WITHIN_NAME.search(label):
+        return part, 1
     return over
 
 
@@ -139,7 +156,7 @@ def features(found: list[Block]) -> np.ndarray:
     own = np.array([(b.words, b.links) for b in found], float).reshape(-1, 2)
     edge = np.zeros((1, 2))
     before, after = np.concatenate([edge, own[:-1]])[: len(own)], np.concatenate([own[1:], edge])[: len(own)]
-    part, heading = np.array([[b.part] for b in found], float).reshape(-1, 1), np.array([[b.heading] for b in found], float).reshape(-1, 1)
+    part, heading = np.array([(b.part, b.named) for b in found], float).reshape(-1, 2), np.array([[b.heading] for b in found], float).reshape(-1, 1)
     return np.concatenate([part, own, before, after, heading], axis=1)
 
 
@@ -197,9 +214,11 @@ def main_text(page: str | None, tree: tuple) -> str:
     return " ".join(b.text for b, p in zip(found, judge(tree, features(found))) if p >= 0.5)
 
 
-def extract(pages: DataFrame, tree: tuple, text: str = "text") -> DataFrame:
+def extract(pages: DataFrame, tree: tuple, text: str = "text", html_too: bool = True) -> DataFrame:
     """``pages`` with ``text``: the article's blocks in page order, joined by one space; empty if there are none.
 
+    Without ``html_too`` the column ``html`` is left out, so that it need not come back from the Python workers.
+
     The whole html is read, however long; null and empty html give an empty text, and so does a page of other parts
     only. Broken and unclosed markup is taken as it comes. Repeated rows give equal texts, other columns stay, a clash
     of names moves the new column to ``text_1`` and so on, an empty table gives no rows.
@@ -210,6 +229,8 @@ def extract(pages: DataFrame, tree: tuple, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             made = [main_text(x.as_py(), tree) for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[*batch.schema.names, text])
+            kept = [k for k in range(batch.num_columns) if html_too or k != at]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], pa.array(made, pa.string())], names=[*[batch.schema.names[k] for k in kept], text])
 
-    return pages.mapInArrow(run, T.StructType([*pages.schema.fields]).add(text, T.StringType()))
+    fields = [f for k, f in enumerate(pages.schema.fields) if html_too or k != at]
+    return pages.mapInArrow(run, T.StructType(fields).add(text, T.StringType()))

@@ -42,4 +42,28 @@ EXAMPLES = [
     (f"<article><p>The old bridge (see <a href=/b>its plan</a> and <a href=/h>its history</a>) fell.</p><p>{_MID}</p></article>", [1, 1]),
     (f"<body><h1>Winter</h1><p>{_LONG}</p><p>{_SHORT}</p><p>{_LONG}</p>", [1, 1, 1, 1]),
     (f"<body><div>Loading</div><p>{_LONG}</p><p>{_LONG}</p><div>Top</div></body>", [0, 1, 1, 0]),
+    (
+        f"<body><div class='page no-sidebar header-fixed'><div class=header>Valley News</div><article><h1>Hay</h1><p>{_SHORT}</p><p>{_LONG}</p><div class=tags>Farming</div></article><div id=footer>{_MID}</div></div></body>",
+        [0, 1, 1, 1, 0, 0],
+    ),
+    (
+        f"<body><form id=page><div class='menu-bar'><a href=/>Home</a></div><main><h1>Ice</h1><p>{_MID}</p><p>{_SHORT}</p></main><p>{_MID}</p><input></form></body>",
+        [0, 1, 1, 1, 0],
+    ),
+    (
+        f"<body><div class='banner'><div class='entry-content'><p>{_MID}</p><p>{_SHORT}</p></div><p>{_LONG}</p></div><div class=comments><article><p>{_LONG}</p><p>{_SHORT}</p></article></div></body>",
+        [1, 1, 0, 0, 0],
+    ),
+    (
+        f"<body><div class='site search'><main><p>{_SHORT}</p><p>{_LONG}</p></main></div><div class=related><article><h3>{_MID}</h3><p>{_SHORT}</p></article></div><article class=comment><p>{_LONG}</p></article></body>",
+        [1, 1, 0, 0, 0],
+    ),
+    ("<body><article><p>And.</p></article></body>", [1]),
+    (f"<body><article><p>And.</p><p>{_SHORT}</p></article></body>", [1, 1]),
+    (f"<article><p>And.</p><p><a href=/x>So.</a></p><p>Then.</p><p>{_LONG}</p><p>End.</p></article>", [1, 1, 1, 1, 1]),
+    (f"<main><p>{_LONG}</p><p>So.</p></main>", [1, 1]),
+    ("<div class=post-content><p>And.</p><p>So.</p></div>", [1, 1]),
+    ("<div class=post-content><p>And.</p></div>", [1]),
+    (f"<div class=article-body><p><a href=/m>{_MID}</a></p><p>{_SHORT}</p></div>", [1, 1]),
+    (f"<article><p>{_SHORT}</p><div class=share>Share</div><p>Then.</p><div class=comments><p>{_MID}</p></div></article>", [1, 0, 1, 0]),
 ]

@@ -1,4 +1,5 @@
 import html
+import html.parser
 
 import numpy as np
 import pytest
@@ -93,12 +94,16 @@ def plain_posterior(rows):
         miss = sum((k - n * m[x]) ** 2 for x, (n, k) in level.items())
         spread = sum(n * m[x] * (1 - m[x]) for x, (n, k) in level.items())
         pairs = sum(n * (n - 1) * m[x] * (1 - m[x]) for x, (n, k) in level.items())
-        r = min(0.999, max(0.001, (miss - spread) / pairs if pairs > 0 else 0.5))
+        groups = sum(1 for n, _ in level.values() if n)
+        r = min(0.999, max(0.001, 1 / (groups + 1), (miss - spread) / pairs if pairs > 0 else 0.5))
         return (1 - r) / r
     n, k = sum(n for n, _ in hosts.values()) + 2, sum(k for _, k in hosts.values()) + 1
     above = lambda x: (k / n, k / n * (1 - k / n) / (n + 1))
-    domain, suffix = (lambda h: ".".join(h.split(".")[-2:])), (lambda h: h.split(".")[-1])
-    for keys, up in ((suffix, lambda x: None), (domain, suffix), (lambda h: h, domain)):
+    labels = lambda h: 2 if h.count(".") > 1 and ".".join(h.split(".")[-2:]) in hr.SUFFIXES else 1
+    domain, suffix = (lambda h: ".".join(h.split(".")[-1 - labels(h) :])), (lambda h: ".".join(h.split(".")[-labels(h) :]))
+    known = {s for s, (n, _) in total(suffix).items() if n}
+    over = {domain(h): suffix(h) for h in hosts}
+    for keys, up in ((suffix, lambda x: None), (domain, over.get), (lambda h: h, domain)):
         level = total(keys)
         parent = {x: above(up(x)) for x in level}
         s = strength(level, lambda x: parent[x][0])
@@ -107,7 +112,7 @@ def plain_posterior(rows):
             m = (b + s * parent[x][0]) / (c + s)
             new[x] = (m, m * (1 - m) / (c + s + 1) + (s / (c + s)) ** 2 * parent[x][1])
         above = new.__getitem__
-    return {h: (above(h)[0], above(h)[0] - hr.BOUND * above(h)[1] ** 0.5) for h in hosts}
+    return {h: (above(h)[0], above(h)[0] - hr.BOUND * above(h)[1] ** 0.5 if suffix(h) in known else 0) for h in hosts}
 
 
 def test_reputation_equals_the_plain_model(spark):
@@ -118,13 +123,23 @@ def test_reputation_equals_the_plain_model(spark):
         for h in range(5):
             host = f"h{h}.d{d}.s{d % 3}"
             rows += [(host, None if rng.random() < 0.3 else bool(rng.random() < rate)) for _ in range(int(rng.integers(1, 30)))]
-    rows += [("new.one.zz", None), ("h0.d0.s0", True)]
+    rows += [("new.one.zz", None), ("h0.d0.s0", True), ("www.a.co.uk", True), ("b.co.uk", None), ("co.uk", False), ("x.github.io", True), ("10.0.0.1:80", None)]
     want = plain_posterior(rows)
     got = hr.reputations(spark.createDataFrame(rows, "host string, bad boolean")).collect()
     assert {r.host for r in got} == set(want)
     assert all(abs(r["mean"] - want[r.host][0]) < 1e-12 and abs(r.low - want[r.host][1]) < 1e-12 for r in got)
     low = {r.host: r.low for r in got}
-    assert low["new.one.zz"] < want["new.one.zz"][0]
+    assert low["new.one.zz"] == 0 and low["b.co.uk"] < low["www.a.co.uk"]
+
+
+def test_suffixes_of_none_mixed_and_bad_outcomes(spark, sf_dir):
+    rows = [(f"h{k % 7}.bad", True) for k in range(60)] + [(f"h{k % 7}.mixed", k % 2 == 0) for k in range(60)] + [(h, None) for h in ("new.bad", "new.mixed", "new.none", "h1.none")]
+    low = {r.host: r.low for r in hr.reputations(spark.createDataFrame(rows, "host string, bad boolean")).collect()}
+    assert low["h1.bad"] > hr.THRESHOLD > max(low["new.mixed"], low["h1.mixed"]) and low["new.none"] == low["h1.none"] == 0
+    pages = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/pages.parquet")
+    judged = hr.judge(pages, URL_RULES).where("rule is null")
+    assert {r.verdict for r in judged.select("verdict").distinct().collect()} == {"allow", "block"}
+    assert judged.where("host like '%.org' and verdict = 'block'").count() == 0
 
 
 def test_no_outcomes_and_no_rows(spark):
@@ -147,3 +162,79 @@ def test_no_outcomes_and_no_rows(spark):
 )
 def test_spans_and_self_closed_elements_end(tree, page, text):
     assert hb.main_text(page, tree) == text
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<div class="page no-sidebar"><article><p>One two.</p><p>Three.</p></article></div>', "One two. Three."),
+        ('<div class="site header-fixed"><main><p>One.</p></main></div>', "One."),
+        ('<body class="has-sidebar with-footer"><div class="with-menu"><article><p>One.</p></article><div class=sidebar><p>Two three four.</p></div></div></body>', "One."),
+        ("<form><article><p>One.</p></article><p>Your name</p></form>", "One."),
+        ("<div class=header><p>Valley News, since 1900.</p><div class=post-content><p>One.</p></div></div>", "One."),
+        ("<article><p>One.</p></article><section id=comments><article><p>A reader says so, and says a lot of it.</p></article></section>", "One."),
+        ("<aside><article><p>Another story, told at some length here.</p></article></aside><main><p>One.</p></main>", "One."),
+        ("<article><p>One.</p><article class='comment-body'><p>A reader says so.</p></article></article>", "One."),
+    ],
+)
+def test_articles_win_below_wrappers_of_the_page(tree, page, text):
+    assert hb.main_text(page, tree) == text
+
+
+def test_html_may_stay_behind(spark, tree):
+    pages = spark.createDataFrame([(1, "u", "<article><p>x</p></article>")], PAGES)
+    assert hb.extract(pages, tree, html_too=False).collect() == [(1, "u", "x")]
+
+
+class Twin(html.parser.HTMLParser):
+    """Blocks of well-formed pages by the standard library's parser: texts, words and words in links."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.out, self.run, self.links, self.deep, self.hidden = [], "", "", 0, 0
+        self.feed(page)
+        self.cut()
+
+    def cut(self):
+        if text := " ".join(self.run.split()):
+            self.out.append((text, len(text.split()), min(1.0, len(self.links.split()) / len(text.split()))))
+        self.run = self.links = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in hb.HIDDEN.split("|"):
+            self.hidden += 1
+        elif tag not in hb.INLINE:
+            self.cut()
+        self.deep += tag == "a"
+
+    def handle_endtag(self, tag):
+        if tag in hb.HIDDEN.split("|"):
+            self.hidden -= 1
+        elif tag not in hb.INLINE:
+            self.cut()
+        self.deep -= tag == "a"
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.run += data
+            self.links += (data + " ") * bool(self.deep)
+
+
+def test_blocks_equal_another_parsers(spark, sf_dir):
+    import random
+
+    rng = random.Random(7)
+
+    def made(deep):
+        kind = rng.choice(["p", "div", "b", "a", "ul", "li", "h2", "em", "script", "section", "text", "text", "br"])
+        if kind == "text" or deep > 4:
+            return rng.choice(["one two ", "x &amp; y ", "\n", "three", " a &lt; b ", "<!-- no -->"])
+        if kind == "br":
+            return "<br>"
+        inside = "" if kind == "script" else "".join(made(deep + (kind != "a" and 1 or 9)) for _ in range(rng.randint(0, 4)))
+        return f"<{kind} title='a>b'>{inside}</{kind}>"
+
+    pages = ["<body>" + "".join(made(0) for _ in range(6)) + "</body>" for _ in range(300)]
+    pages += [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    for page in pages:
+        assert [(b.text, b.words, b.links) for b in hb.blocks(page)] == Twin(page).out, page
