@@ -51,7 +51,7 @@ def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FITS = "(host = '{0}' OR host LIKE '%.{0}') AND starts_with(path, '{1}') THEN '{2}'"
 _BY_LENGTH = [(r.partition("/")[0], "/" + r.partition("/")[2], r, v) for r, v in sorted(URL_RULES, key=lambda r: -len(r[0]))]
-_SHRINK = "(1 - r) / r AS s FROM (SELECT greatest(0.001, least(0.999, coalesce((sum((k - n * m) ** 2) - sum(n * m * (1 - m))) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0.5))) AS r"
+_SHRINK = "(1 - r) / r AS s FROM (SELECT least(0.999, greatest(0.001, 1 / (count(*) FILTER (WHERE n > 0) + 1), coalesce((sum((k - n * m) ** 2) - sum(n * m * (1 - m))) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0.5))) AS r"
 
 _POSTERIOR = "(k + s * m) / (n + s) AS m, ((k + s * m) / (n + s)) * (1 - (k + s * m) / (n + s)) / (n + s + 1) + (s / (n + s)) ** 2 * v AS v"
 
@@ -65,20 +65,21 @@ ruled AS (
 named AS (
   SELECT host, count(fixed)::DOUBLE AS n, count(*) FILTER (WHERE fixed = 'block')::DOUBLE AS k, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM ruled GROUP BY host),
 hosts AS (
-  SELECT host, n, k, CASE WHEN regexp_matches(name, '^[0-9.]+$|^\\[') THEN name ELSE array_to_string(list_slice(string_split(name, '.'), -2, -1), '.') END AS domain,
-         CASE WHEN regexp_matches(name, '^[0-9.]+$|^\\[') THEN name ELSE string_split(name, '.')[-1] END AS suffix FROM named),
+  SELECT host, n, k, CASE WHEN regexp_matches(name, '^[0-9.]+$|^\\[') THEN name ELSE array_to_string(list_slice(string_split(name, '.'), -1 - labels, -1), '.') END AS domain,
+         CASE WHEN regexp_matches(name, '^[0-9.]+$|^\\[') THEN name ELSE array_to_string(list_slice(string_split(name, '.'), -labels, -1), '.') END AS suffix
+  FROM (SELECT *, CASE WHEN len(string_split(name, '.')) > 2 AND array_to_string(list_slice(string_split(name, '.'), -2, -1), '.') IN {host_reputation.SUFFIXES} THEN 2 ELSE 1 END AS labels FROM named)),
 domains AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
 whole AS (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m, coalesce(sum(n), 0) + 2 AS w FROM hosts),
-suffixes AS (SELECT suffix, sum(domains.n) AS n, sum(k) AS k, any_value(m) AS m, any_value(m * (1 - m) / (w + 1)) AS v FROM domains, whole GROUP BY suffix),
+suffixes AS (SELECT suffix, sum(domains.n) AS n, sum(k) AS k, any_value(m) AS m, any_value(m * (1 - m) / (w + 1)) AS v, sum(domains.n) > 0 AS known FROM domains, whole GROUP BY suffix),
 s1 AS (SELECT {_SHRINK} FROM suffixes)),
-by_suffix AS (SELECT suffix, {_POSTERIOR} FROM suffixes, s1),
-d AS (SELECT suffix, domain, n, k, m, v FROM domains JOIN by_suffix USING (suffix)),
+by_suffix AS (SELECT suffix, known, {_POSTERIOR} FROM suffixes, s1),
+d AS (SELECT suffix, domain, known, n, k, m, v FROM domains JOIN by_suffix USING (suffix)),
 s2 AS (SELECT {_SHRINK} FROM d)),
-by_domain AS (SELECT suffix, domain, {_POSTERIOR} FROM d, s2),
-h AS (SELECT host, n, k, m, v FROM hosts JOIN by_domain USING (suffix, domain)),
+by_domain AS (SELECT suffix, domain, known, {_POSTERIOR} FROM d, s2),
+h AS (SELECT host, known, n, k, m, v FROM hosts JOIN by_domain USING (suffix, domain)),
 s3 AS (SELECT {_SHRINK} FROM h)),
-post AS (SELECT host, {_POSTERIOR} FROM h, s3)
-SELECT page_id, host, path, rule, coalesce(fixed, CASE WHEN m - {host_reputation.BOUND} * sqrt(v) > {host_reputation.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
+post AS (SELECT host, known, {_POSTERIOR} FROM h, s3)
+SELECT page_id, host, path, rule, coalesce(fixed, CASE WHEN known AND m - {host_reputation.BOUND} * sqrt(v) > {host_reputation.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled JOIN post USING (host)
 """
 
@@ -87,7 +88,7 @@ FROM ruled JOIN post USING (host)
 def op3_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's main text."""
     tree = html_blocks.train(html_blocks.labelled(spark))
-    return html_blocks.extract(table(spark, sf_dir, "pages"), tree).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return html_blocks.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), tree, html_too=False).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -38,11 +39,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of at most ``rows`` rows, so that only the texts of one piece are Python objects at a time."""
+def give_back() -> None:
+    """Return freed memory of this worker to the system: workers are reused, and what one task has freed counts against the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows and ``size`` bytes (one row at least), so that only one piece is Python objects at a time."""
+    give_back()
     for batch in batches:
-        for low in range(0, batch.num_rows, rows):
-            yield batch.slice(low, rows)
+        low = 0
+        while low < batch.num_rows:
+            part = batch.slice(low, rows)
+            while part.num_rows > 1 and part.nbytes > size:
+                part = part.slice(0, part.num_rows // 2)
+            yield part
+            low += part.num_rows
+        give_back()
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -73,7 +90,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of the undirected ``edges`` (long columns ``a``, ``b``): ``id``, ``component`` (smallest id).
+    """Connected components of the undirected ``edges`` (columns ``a``, ``b`` of one type with an order): ``id``, ``component`` (smallest id).
 
     Alternates large-star and small-star steps until the edges no longer change. A step is a minimum
     per node with map-side combine and a join of the edges with those minima, which adaptive

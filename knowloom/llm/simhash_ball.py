@@ -132,6 +132,10 @@ def meet(ball: Ball, x: np.ndarray, bucket: int, radius: int) -> tuple[np.ndarra
     return forest(a[near].view(np.int64), b[near].view(np.int64))
 
 
+#: Parts in which the members of a component look up its smallest id.
+PARTS = 16
+
+
 def linked(prints: DataFrame, radius: int = 4) -> DataFrame:
     """Edges ``a``, ``b`` between distinct fingerprints (column ``fp``) that connect exactly what links at ``radius`` or fewer bits connect."""
     distinct = prints.select("fp").distinct()
@@ -178,27 +182,14 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
 def _grouped(prints: DataFrame, radius: int) -> DataFrame:
     if radius % 2:
         raise ValueError("the radius must be even: both sides meet half-way")
-    roots = components(linked(prints, radius))
-    with_root = prints.join(roots.withColumnRenamed("id", "fp"), "fp", "left").select("doc_id", "fp", F.coalesce("component", "fp").alias("root"))
-    low = with_root.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return with_root.join(low, "root").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group of near-duplicates the row with the smallest ``doc_id``.
-
-    Of rows that repeat this ``doc_id`` the one with the smallest text stays. Rows without a ``doc_id`` cannot be
-    ranked and all stay. All columns stay as they are; an empty table gives no rows.
-    """
-    prints = staged(fingerprints(docs, shingle), "prints")
-    first = _grouped(prints, radius).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return first_of_each(docs, first, prints)
-
-
-def first_of_each(docs: DataFrame, first: DataFrame, rows: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each ``doc_id`` in ``first``, and those without one; ``rows`` has the ``doc_id`` of every row of ``docs``."""
-    again = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    named = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
-    once, more = named.join(again, "doc_id", "left_anti"), named.join(again, "doc_id", "left_semi")
-    picked = more.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
-    return once.select(*docs.columns).unionAll(picked.select(*docs.columns)).unionAll(docs.where("doc_id is null"))
+    # One row per fingerprint with its smallest id; only these look up their component, whatever the number of copies.
+    prints_of = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "lowest")
+    roots = components(linked(prints_of, radius))
+    members = roots.withColumnRenamed("id", "fp").join(prints_of, "fp")
+    low = members.groupBy("component").agg(F.min("low").alias("component_low"))
+    # A large component is dealt by parts of its members, each part with the component's one row.
+    parts = F.array(*[F.lit(k) for k in range(PARTS)])
+    spread = low.withColumn("part", F.explode(parts))
+    named = members.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(PARTS)).cast("int")).join(spread, ["component", "part"]).select("fp", "component_low")
+    lowest = prints_of.join(named, "fp", "left").select("fp", F.coalesce("component_low", "low").alias("component_id"))
+    return prints.join(lowest, "fp").select("doc_id", "fp", "component_id")

@@ -52,14 +52,12 @@ def test_meeting_finds_every_link(monkeypatch, bits, limit):
     assert [find(k) for k in range(len(x))] == brute_components(x, range(len(x)))
 
 
-def test_one_of_a_group_stays(docs_of, words):
+def test_odd_rows_are_grouped(docs_of, words):
     a, b = words(300), words(300)
     rows = [(5, a), (2, a), (9, b), (2, a + " more"), (None, a), (7, ""), (8, None)]
-    docs = docs_of(rows, ", extra long")
-    kept = sb.keep_one(docs)
-    assert kept.columns == docs.columns
-    assert sorted(((r.doc_id or -1, r.text) for r in kept.collect()), key=str) == sorted([(-1, a), (2, a), (7, ""), (9, b)], key=str)
-    assert sb.keep_one(docs_of([])).count() == 0 and sb.near_duplicates(docs_of([])).count() == 0
+    got = sb.near_duplicates(docs_of(rows, ", fp long, component_id long")).collect()
+    assert sorted((r.doc_id or -1, r.component_id) for r in got) == [(-1, 2), (2, 2), (2, 2), (5, 2), (7, 7), (8, 7), (9, 9)]
+    assert sb.near_duplicates(docs_of([])).count() == 0
 
 
 def test_odd_radius_is_refused(docs_of):
