@@ -8,10 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.text import col, tokens
+from ..functions.text import col
+from . import keyword_index
+from .keyword_index import KeywordIndex
 
-# Okapi constants, fusion constant, stage cut-offs.
-BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
+# Fusion constant, stage cut-offs.
 RRF_K = 60
 VECTOR_TOP, KEYWORD_TOP, RERANK_POOL = 50, 100, 30
 QUERY_VECTORS = 4096  # query vectors that travel to every task at a time: at most 4096 x dimensions x 8 bytes
@@ -26,76 +27,17 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int | None, ra
 # ---------------------------------------------------------------- keyword search
 
 
-def query_terms(queries: DataFrame, scope: list[str]) -> DataFrame:
-    """(scope, query_id, term, weight): weight counts repeats of a term in the query."""
-    return (
-        queries.select(*scope, "query_id", F.explode_outer(tokens("query_text")).alias("term"))
-        .where(F.col("term").isNotNull())
-        .groupBy(*scope, "query_id", "term").agg(F.count(F.lit(1)).alias("weight"))
-    )
-
-
-def corpus_statistics(chunks: DataFrame, scope: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Term statistics (scope, term, df) and scope statistics (scope, n, avgdl), both from one pass.
-
-    Every chunk emits each distinct term once plus one null term that carries its length, so a single
-    aggregation with map-side combine yields document frequencies, corpus size and mean length.
-    """
-    terms = chunks.select(*scope, tokens("text").alias("_t"))
-    emitted = terms.select(*scope, F.size("_t").alias("_len"), F.explode_outer(
-        F.concat(F.array_distinct("_t"), F.array(F.lit(None).cast("string")))).alias("term"))
-    counted = emitted.groupBy(*scope, "term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("_len"))).alias("_total"))
-    # told apart by an aggregate, not by the key, so both readers share one exchange
-    by_term = counted.where(F.col("_total").isNull()).select(*scope, "term", "df")
-    by_scope = counted.where(F.col("_total").isNotNull()).select(
-        *scope, F.col("df").alias("n"), (F.col("_total") / F.col("df")).alias("avgdl"))
-    return by_term, by_scope
-
-
-def inverse_document_frequency(by_term: DataFrame, by_scope: DataFrame, scope: list[str]) -> DataFrame:
-    """(scope, term, idf, avgdl); negative values are lifted to a quarter of the vocabulary's mean.
-
-    The mean needs only the histogram of document frequencies, which is small whatever the vocabulary.
-    """
-    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    histogram = by_term.groupBy(*scope, "df").agg(F.count(F.lit(1)).alias("_terms"))
-    floor = (
-        histogram.join(by_scope, scope).groupBy(*scope, "n", "avgdl")
-        .agg((BM25_EPSILON * F.sum(raw * F.col("_terms")) / F.sum("_terms")).alias("_floor"))
-    )
-    return by_term.join(floor, scope).select(
-        *scope, "term", "avgdl", F.when(raw < 0, F.col("_floor")).otherwise(raw).alias("idf"))
-
-
-def bm25(chunks: DataFrame, queries: DataFrame, scope: list[str] = ["organization_id"], k: int | None = KEYWORD_TOP) -> DataFrame:
+def bm25(chunks: DataFrame | KeywordIndex, queries: DataFrame, scope: list[str] = ["organization_id"], k: int | None = KEYWORD_TOP) -> DataFrame:
     """(scope, query_id, chunk_id, keyword_score, keyword_rank) for the positive Okapi scores.
 
-    ``chunks``: scope columns, chunk_id, text.  ``queries``: scope columns, query_id, query_text.
-    Corpus statistics follow whatever filters were applied to ``chunks``.  One way for every size:
-    postings are cut down to query terms before they move, move once (hashed by chunk), and are then
-    counted, scored, summed and cut to the best of each task without another exchange.  Nothing runs
-    while the plan is built; what is broadcast is left to measured sizes.
+    ``chunks``: scope columns, chunk_id, text, or a :class:`KeywordIndex` of them, which serves any number of searches.
+    ``queries``: scope columns, query_id, query_text.  Corpus statistics follow whatever filters were applied to
+    ``chunks``.  Postings meet the questions' terms where they lie, move once to their segment's task, and come out as
+    ``k`` rows a question and segment, which are merged per question.
     """
-    wanted = query_terms(queries, scope)
-    by_term, by_scope = corpus_statistics(chunks, scope)
-    terms = wanted.select(*scope, "term").distinct()
-    weighted = inverse_document_frequency(by_term, by_scope, scope).join(wanted, [*scope, "term"])
-    postings = (
-        chunks.select(*scope, F.col("chunk_id").cast("string"), tokens("text").alias("_t"))
-        .select(*scope, "chunk_id", F.size("_t").alias("_len"), F.explode_outer("_t").alias("term"))
-        .join(terms, [*scope, "term"], "left_semi")
-        .groupBy(*scope, "chunk_id", "_len", "term").agg(F.count(F.lit(1)).alias("_tf"))
-    )
-    tf = F.col("_tf")
-    part = F.col("weight") * F.col("idf") * tf * (BM25_K1 + 1) / (
-        tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("_len") / F.col("avgdl")))
-    scores = (
-        postings.join(weighted, [*scope, "term"])
-        .groupBy(*scope, "chunk_id", "query_id").agg(F.round(F.sum(part), 6).alias("keyword_score"))
-        .where(F.col("keyword_score") > 0).select(*scope, "query_id", "chunk_id", "keyword_score")
-    )
-    return top_k(scores, [*scope, "query_id"], [F.desc("keyword_score"), F.asc("chunk_id")], k, "keyword_rank")
+    index = chunks if isinstance(chunks, KeywordIndex) else keyword_index.build(chunks, scope)
+    found = keyword_index.search(index, queries, k)
+    return top_k(found, [*index.scope, "query_id"], [F.desc("keyword_score"), F.asc("chunk_id")], k, "keyword_rank")
 
 
 def _best_rows(cost: np.ndarray, chunk: np.ndarray, k: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
