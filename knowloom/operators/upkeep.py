@@ -10,9 +10,8 @@ from .retrieval import top_k
 
 ORG = "organization_id"
 
-# Ceilings of the file walk and of the source inventory.
+# Kinds of documents that may be uploaded.
 UPLOAD_SUFFIXES = (".md", ".txt", ".rst", ".pdf", ".docx")
-UPLOAD_BYTES, UPLOAD_FILES = 10 * 1024 * 1024, 50
 
 
 def tenant(df: DataFrame, organization_id: str) -> DataFrame:
@@ -213,13 +212,14 @@ def inventory_histograms(inventory: DataFrame) -> tuple[DataFrame, DataFrame]:
     return langs, cats
 
 
-def upload_problem(path, size) -> Column:
-    """Why an uploaded document is refused; null for an accepted one."""
+def upload_problem(path, size, max_bytes: int | None = None) -> Column:
+    """Why an uploaded document is refused; null for an accepted one. Any size is accepted unless a caller says otherwise."""
+    large = F.lit(False) if max_bytes is None else F.col(size) > max_bytes
     p = F.replace(F.col(path), F.lit("\\"), F.lit("/"))
     return (
         F.when(p.startswith("/") | F.array_contains(F.split(p, "/"), ".."), "unsafe_path")
         .when(~F.lower(paths.suffix(p)).isin(*UPLOAD_SUFFIXES), "unsupported_type")
-        .when(F.col(size) > UPLOAD_BYTES, "too_large")
+        .when(large, "too_large")
     )
 
 

@@ -58,7 +58,7 @@ def upload(spark, sf):
     k = F.col("doc_id") % 5
     d = wh.table(spark, sf, "documents").select("doc_id", (F.length("text") * 1000).alias("size"),
                                                 F.when(k == 0, "a\\..\\b.md").when(k == 1, "a/b.exe").when(k == 2, "a/b.PDF").otherwise("x.rst").alias("path"))
-    return d.select("doc_id", F.coalesce(up.upload_problem("path", "size"), F.lit("")).alias("problem"))
+    return d.select("doc_id", F.coalesce(up.upload_problem("path", "size", max_bytes=10 * 1024 * 1024), F.lit("")).alias("problem"))
 
 
 @query("s12_collection_get", "SELECT doc_id, source FROM documents WHERE lang = 'de'")

@@ -18,16 +18,17 @@ UNREADABLE = (".docx", ".pdf")  # accepted kinds that are no plain text; they go
 VERSIONS = "organization_id string, doc_id string, content_hash string, version int"
 
 
-def dropped_documents(spark: SparkSession, folder: str, organization_id: str, deliveries: bool = False) -> DataFrame:
+def dropped_documents(spark: SparkSession, folder: str, organization_id: str, deliveries: bool = False, max_bytes: int | None = None) -> DataFrame:
     """Stream of all documents put into ``folder``; one that cannot be taken has a ``reason`` and no text.
 
     A stream reads each file once, also if it is overwritten later. With ``deliveries`` the folders right below
     ``folder`` name deliveries and are no part of a document's path, so a later delivery brings new versions.
+    Documents over ``max_bytes`` are refused where a caller sets it.
     """
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option(
         "recursiveFileLookup", "true").load(folder)
     ext = F.lower(paths.suffix("path"))
-    reason = F.coalesce(upkeep.upload_problem("relative_path", "length"), F.when(ext.isin(*UNREADABLE), "needs_a_reader"))
+    reason = F.coalesce(upkeep.upload_problem("relative_path", "length", max_bytes), F.when(ext.isin(*UNREADABLE), "needs_a_reader"))
     # A document is its path below the folder, so files of one name in two folders are two documents.
     below = relative_path("path", folder)
     named = raw.withColumn("relative_path", F.regexp_replace(below, "^[^/]+/", "") if deliveries else below).withColumn("reason", reason)
