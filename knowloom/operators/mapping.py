@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import paths
-from ..functions.text import strip
+from ..functions.text import head_tail, strip
 from .retrieval import bm25, knn, top_k
 
 SCOPE = ["organization_id", "repository_id"]
@@ -40,8 +40,20 @@ def candidates(chunks: DataFrame, requirements: DataFrame, embedded: DataFrame |
     return top_k(both, [*SCOPE, "query_id"], order, k, "position")
 
 
-def rerank_candidates(found: DataFrame, provider: str = "stub", score_udf=None) -> DataFrame:
-    """Scores: the stub counts down from the number of candidates; a failed model falls by a tenth per place."""
+def rerank_candidates(found: DataFrame, provider: str = "stub", score_udf=None, requirements: DataFrame | None = None, chunks: DataFrame | None = None) -> DataFrame:
+    """Scores: the stub counts down from the number of candidates; a failed model falls by a tenth per place.
+
+    A model (``score_udf(query_text, text)``) reads the requirement and head and tail of the chunk, which are looked up in
+    ``requirements`` and ``chunks``.
+    """
+    columns = found.columns
+    if score_udf is not None:
+        if requirements is None or chunks is None:
+            raise ValueError("a model needs the requirements and the chunks")
+        provider = "model"
+        asked = requirements.select(*SCOPE, "query_id", "query_text")
+        texts = chunks.select(*SCOPE, F.col("chunk_id").cast("string").alias("chunk_id"), head_tail("text").alias("_text"))
+        found = found.join(asked, [*SCOPE, "query_id"]).join(texts, [*SCOPE, "chunk_id"])
     size = F.count(F.lit(1)).over(Window.partitionBy(*SCOPE, "query_id"))
     fallback = 1.0 - (F.col("position") - 1) * 0.1
     if provider == "stub":
@@ -49,8 +61,8 @@ def rerank_candidates(found: DataFrame, provider: str = "stub", score_udf=None)
     elif score_udf is None:
         score = fallback
     else:
-        score = F.coalesce(score_udf(F.col("query_text"), F.col("text")).cast("double"), fallback)
-    return found.withColumn("rerank_score", score)
+        score = F.coalesce(score_udf(F.col("query_text"), F.col("_text")).cast("double"), fallback)
+    return found.withColumn("rerank_score", score).select(*columns, "rerank_score")
 
 
 def survivors(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

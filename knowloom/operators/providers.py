@@ -58,5 +58,29 @@ def embed(text, provider: str = "hash", load: Callable[[], Callable[[list[str]],
     return F.pandas_udf(run, "array<float>")(col(text))
 
 
+def model_scores(load: Callable[[], Callable[[list[str], list[str]], list[float]]]):
+    """A reranker as ``score_udf(query_text, text)``: ``load`` gives the model, once per worker.
+
+    A batch on which the model fails, or all of them where it cannot be loaded, has no scores, and neither has a text whose
+    score is no finite number; the callers keep the order that such rows came in.
+    """
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        try:
+            model = load()
+        except Exception:
+            model = None
+        for query, text in batches:
+            try:
+                found = np.asarray(model([*query], [*text]), dtype=np.float64)
+                if found.shape != (len(query),):
+                    raise ValueError("one score per pair")
+            except Exception:
+                found = np.full(len(query), np.nan)
+            yield pd.Series(found).where(np.isfinite(found))  # not a number becomes null
+
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "double")
+
+
 def stub_answer(question, excerpt_count) -> Column:
     return F.format_string("[stub] %s (%d excerpts)", col(question), col(excerpt_count))

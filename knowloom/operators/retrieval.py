@@ -163,9 +163,11 @@ def rerank_pool(fused: DataFrame, limit: int, offset: int = 0, pool: int = RERAN
 def rerank(pool: DataFrame, keys: list[str], provider: str = "stub", score_udf=None) -> DataFrame:
     """Rerank score per pooled row: the stub counts down from the pool size; ``disabled`` gives none.
 
-    A model provider passes ``score_udf(query_text, text)``, a pandas UDF; rows it cannot score
-    keep the fused order.
+    A model provider passes ``score_udf(query_text, text)``, a pandas UDF as :func:`providers.model_scores` makes;
+    rows it cannot score come after the others in the fused order.
     """
+    if provider not in ("stub", "disabled") and score_udf is None:
+        raise ValueError(f"provider {provider!r} needs a score_udf")
     size = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     if provider == "stub":
         scored = pool.withColumn("rerank_score", (size - F.col("rrf_rank") + 1).cast("double"))

@@ -293,6 +293,24 @@ def map_threshold(spark, sf):
     return kept.select("organization_id", "repository_id", "query_id", "chunk_id", "rerank_score", mp.confidence_without_judge("rerank_score").alias("confidence"))
 
 
+SQL_MODEL = """, texts AS (SELECT p.*, length(r.query_text) AS q, CASE WHEN length(c.text) <= 400 THEN length(c.text) ELSE 405 END AS n
+  FROM placed p JOIN req r USING (organization_id, repository_id, query_id) JOIN chunk_text c USING (organization_id, repository_id, chunk_id)),
+modelled AS (SELECT *, CASE WHEN n % 7 <> 0 THEN ((n * 31 + q * 17) % 101)::DOUBLE ELSE 1.0 - (position - 1) * 0.1 END AS rerank_score FROM texts)
+"""
+
+
+@query("m3_model", SQL_MAP.replace("scored AS (SELECT *, (count(*)", "unused AS (SELECT *, (count(*)") + SQL_MODEL + """
+SELECT organization_id, repository_id, query_id, chunk_id, round(rerank_score, 6) AS rerank_score,
+  row_number() OVER (PARTITION BY organization_id, repository_id, query_id ORDER BY rerank_score DESC, position)::INT AS rank FROM modelled WHERE rerank_score >= 0.5 QUALIFY rank <= 5""")
+def map_model(spark, sf):
+    """Mapping with the made-up model of :func:`mixed_lengths`; texts it cannot score fall by a tenth per place."""
+    chunks = wh.document_chunks(spark, sf)
+    load = lambda: lambda queries, texts: mixed_lengths(pd.Series(queries), pd.Series(texts))
+    scored = mp.rerank_candidates(mapped(spark, sf), score_udf=providers.model_scores(load), requirements=requirements(spark, sf), chunks=chunks)
+    kept = mp.survivors(scored).where(F.col("rank") <= mp.JUDGED)
+    return kept.select("organization_id", "repository_id", "query_id", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"), "rank")
+
+
 @query("m4_outcomes", SQL_MAP + """, n AS (SELECT organization_id, repository_id, query_id, count(*) AS c, count(*) FILTER (rerank_score >= 8) AS k FROM scored GROUP BY ALL)
 SELECT r.organization_id, r.repository_id, r.query_id, coalesce(c, 0) AS stage1_candidates, coalesce(k, 0) AS stage2_survivors, least(coalesce(k, 0), 5) AS stage3_confirmed,
   CASE WHEN coalesce(c, 0) = 0 THEN 'none' WHEN k = 0 THEN 'below' ELSE 'mapped' END AS outcome FROM req r LEFT JOIN n USING (organization_id, repository_id, query_id)""")
