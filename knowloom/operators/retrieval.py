@@ -4,18 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.text import col
-from . import keyword_index
+from . import keyword_index, vector_cells
 from .keyword_index import KeywordIndex
+from .vector_cells import VectorCells
 
 # Fusion constant, stage cut-offs.
 RRF_K = 60
 VECTOR_TOP, KEYWORD_TOP, RERANK_POOL = 50, 100, 30
-QUERY_VECTORS = 4096  # query vectors that travel to every task at a time: at most 4096 x dimensions x 8 bytes
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int | None, rank: str) -> DataFrame:
@@ -40,21 +38,6 @@ def bm25(chunks: DataFrame | KeywordIndex, queries: DataFrame, scope: list[str]
     return top_k(found, [*index.scope, "query_id"], [F.desc("keyword_score"), F.asc("chunk_id")], k, "keyword_rank")
 
 
-def _best_rows(cost: np.ndarray, chunk: np.ndarray, k: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Per row of ``cost`` the k columns of least (cost, chunk id): parallel arrays (row, column)."""
-    which, where = [], []
-    for i, values in enumerate(cost):
-        near = np.arange(len(values)) if allowed is None else np.nonzero(allowed[i])[0]
-        if len(near) > k:
-            edge = np.partition(values[near], k - 1)[k - 1]
-            near = near[values[near] <= edge]
-            if len(near) > k:
-                near = near[np.lexsort((chunk[near], values[near]))][:k]
-        which.append(np.full(len(near), i))
-        where.append(near)
-    return np.concatenate(which), np.concatenate(where)
-
-
 # ---------------------------------------------------------------- vector search
 
 
@@ -63,77 +46,15 @@ def similarity(distance) -> Column:
     return F.round(F.greatest(F.lit(0.0), 1 - col(distance)), 4)
 
 
-def _nearest(rows: pd.DataFrame, matrix: np.ndarray, k: int) -> tuple:
-    """The k nearest rows per query vector by (rounded distance, chunk_id): query position, chunk id, distance."""
-    data = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-    dist = (data * data).sum(1)[None, :] + (matrix * matrix).sum(1)[:, None] - 2.0 * matrix @ data.T
-    dist = np.round(np.maximum(dist, 0.0), 6)
-    chunk = rows["chunk_id"].to_numpy().astype(str)
-    which, where = _best_rows(dist, chunk, k)
-    return which, chunk[where], dist[which, where]
-
-
-def knn(chunks: DataFrame, queries: DataFrame, scope: list[str] = ["organization_id"], k: int = VECTOR_TOP) -> DataFrame:
-    """Exact k nearest chunks per query: (scope, query_id, chunk_id, distance, vector_rank).
+def knn(chunks: DataFrame | VectorCells, queries: DataFrame, scope: list[str] = ["organization_id"], k: int = VECTOR_TOP) -> DataFrame:
+    """Exact k nearest chunks per query: (scope, query_id, chunk_id, distance, vector_rank), ties by chunk_id.
 
-    The query vectors are a stated set: they travel to the chunks QUERY_VECTORS at a time, one pass over
-    the chunks for each such block.  A task scores its batches as matrix products and keeps the k best of
-    each query until its end, so pairs never leave it and it gives up k rows a query however much it read.
+    ``chunks``: scope columns, chunk_id, embedding, or :class:`VectorCells` of them, which serve any number of searches.
+    The vectors are read once, however many queries there are; queries and chunks of different lengths do not meet.
     """
-    corpus = chunks.where(F.col("embedding").isNotNull()).select(*scope, F.col("chunk_id").cast("string"), "embedding")
-    asked = queries.where(F.col("embedding").isNotNull()).select(*scope, "query_id", "embedding")
-    fields = [T.StructField(c, corpus.schema[c].dataType) for c in scope] + [
-        T.StructField("query_id", asked.schema["query_id"].dataType),
-        T.StructField("chunk_id", T.StringType()), T.StructField("distance", T.DoubleType())]
-    schema = T.StructType(fields)
-    names = [f.name for f in fields]
-
-    def nearest_to(block: list) -> DataFrame:
-        by_scope: dict = {}
-        for row in block:
-            ids, vectors = by_scope.setdefault(tuple(row[c] for c in scope), ([], []))
-            ids.append(row["query_id"])
-            vectors.append(row["embedding"])
-        by_scope = {key: (ids, np.array(vectors, np.float64)) for key, (ids, vectors) in by_scope.items()}
-
-        def score(batches):
-            best: dict = {}
-            for batch in batches:
-                for key, rows in batch.groupby(list(scope), sort=False, dropna=False):
-                    key = key if isinstance(key, tuple) else (key,)
-                    if key in by_scope:
-                        ids, matrix = by_scope[key]
-                        best[key] = _merge(best.get(key), _nearest(rows, matrix, k), k)
-            for key, near in best.items():
-                out = pd.DataFrame({"query_id": np.asarray(by_scope[key][0])[near[0]], "chunk_id": near[1], "distance": near[2]})
-                for name, value in zip(scope, key):
-                    out[name] = value
-                yield out[names]
-
-        return corpus.mapInPandas(score, schema)
-
-    blocks, held = [], []
-    for row in asked.toLocalIterator():
-        held.append(row)
-        if len(held) == QUERY_VECTORS:
-            blocks.append(nearest_to(held))
-            held = []
-    if held or not blocks:
-        blocks.append(nearest_to(held))
-    partial = reduce(DataFrame.unionByName, blocks)
-    return top_k(partial, [*scope, "query_id"], [F.asc("distance"), F.asc("chunk_id")], k, "vector_rank")
-
-
-def _merge(old: tuple | None, new: tuple, k: int) -> tuple:
-    """The k best of two sets of hits (query position, chunk id, distance), per query by (distance, chunk id)."""
-    if old is None:
-        return new
-    query, chunk, dist = (np.concatenate([a, b]) for a, b in zip(old, new))
-    order = np.lexsort((chunk, dist, query))
-    query, chunk, dist = query[order], chunk[order], dist[order]
-    first = np.searchsorted(query, query)
-    kept = np.arange(len(query)) - first < k
-    return query[kept], chunk[kept], dist[kept]
+    index = chunks if isinstance(chunks, VectorCells) else vector_cells.build(chunks, scope)
+    found = vector_cells.nearest(index, queries, k)
+    return top_k(found, [*index.scope, "query_id"], [F.asc("distance"), F.asc("chunk_id")], k, "vector_rank")
 
 
 def merge_collections(code: DataFrame, docs: DataFrame, keys: list[str], k: int | None = None) -> DataFrame:

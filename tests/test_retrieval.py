@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from knowloom.operators import mapping as mp, retrieval as rt
+from knowloom.operators import mapping as mp, retrieval as rt, vector_cells
 from knowloom.plans import hybrid
 
 ORG = "organization_id"
@@ -63,9 +63,9 @@ def test_bm25_half_of_the_corpus_is_no_hit(spark):
     assert rt.bm25(c, q).count() == 0
 
 
-@pytest.mark.parametrize("most", [rt.QUERY_VECTORS, 3])
+@pytest.mark.parametrize("most", [vector_cells.QUESTIONS, 3])
 def test_knn_in_blocks_of_queries(spark, monkeypatch, most):
-    monkeypatch.setattr(rt, "QUERY_VECTORS", most)
+    monkeypatch.setattr(vector_cells, "QUESTIONS", most)
     rnd = random.Random(1)
     vec = lambda: [rnd.choice([0.0, 0.5, 1.0]) for _ in range(3)]  # many equal distances
     rows = [(o, f"c{i:03d}", vec()) for o in ("a", "b") for i in range(60)]
