@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import paths
+from . import substrings
 from .retrieval import top_k
 
 ORG = "organization_id"
@@ -233,12 +234,14 @@ def neighbours(centres: DataFrame, links: DataFrame) -> DataFrame:
 def search_nodes(nodes: DataFrame, asked: DataFrame, limit: int | None = 50) -> DataFrame:
     """Case-insensitive substring search on name and path: the first ``limit`` nodes of each question, in a fixed order.
 
-    ``asked``: tenant and query_text. A question only ever meets nodes of its own tenant.
+    ``asked``: tenant and query_text. A question only ever meets nodes of its own tenant, and of those the ones that hold
+    its rarest gram; a blank question finds nothing.
     """
-    needle = F.lower(F.trim("query_text"))
-    hit = F.lower(F.coalesce("name", F.lit(""))).contains(needle) | F.lower(F.coalesce("path", F.lit(""))).contains(needle)
-    found = nodes.join(asked.select(ORG, "query_text").distinct(), ORG).where(hit)
-    return top_k(found, [ORG, "query_text"], [F.asc("name"), F.asc("id")], limit, "position")
+    needles = asked.select(ORG, "query_text").distinct().withColumn("needle", F.lower(F.trim("query_text")))
+    named = F.lower(F.concat_ws("\n", "name", "path"))
+    found = substrings.find(nodes.select(ORG, "id", named.alias("text")).distinct(), needles, ["id"], [ORG])
+    hits = nodes.join(found.join(needles, [ORG, "needle"]).select(ORG, "id", "query_text").distinct(), [ORG, "id"])
+    return top_k(hits, [ORG, "query_text"], [F.asc("name"), F.asc("id")], limit, "position")
 
 
 def repository_listing(repositories: DataFrame, modules: DataFrame, files: DataFrame, documents: DataFrame) -> DataFrame:

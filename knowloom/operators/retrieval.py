@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import col
-from . import keyword_index, vector_cells
+from . import keyword_index, substrings, vector_cells
 from .keyword_index import KeywordIndex
 from .vector_cells import VectorCells
 
@@ -184,33 +182,18 @@ def shown_metadata(chunks: DataFrame, allowed: dict, keep: list[str]) -> DataFra
     return chunks.select(*keep, *cols)
 
 
-def literal_search(files: DataFrame, needles: DataFrame, max_results: int | None = 50, max_chars: int | None = None, block: int = 500) -> DataFrame:
+def literal_search(files: DataFrame, needles: DataFrame, max_results: int | None = 50, max_chars: int | None = None) -> DataFrame:
     """Case-insensitive literal line search: (query_id, path, line, text) for the first hits in path order.
 
-    The needles (query_id, needle) are a stated set: ``block`` of them at a time become a constant of one scan, so each
-    line is looked at where it is read and only hits move; the cut per query runs in the task first. ``max_results`` and
+    Any number of needles (query_id, needle) is one plan: lines meet a needle by its rarest gram. ``max_results`` and
     ``max_chars`` (of a shown line) are choices of the caller; None shows all.
     """
-    asked = needles.select("query_id", F.lower(F.trim("needle")).alias("n")).where(F.col("n") != "").distinct()
+    asked = needles.select("query_id", F.lower(F.trim("needle")).alias("needle")).where(F.col("needle") != "").distinct()
     rows = files.select("path", F.posexplode(F.split("text", "\n")).alias("_n", "_line"))
-    kind = needles.schema["query_id"].dataType
     shown = F.col("_line") if max_chars is None else F.left("_line", F.lit(max_chars))
-
-    def scan(some: list) -> DataFrame:
-        consts = F.array(*[F.struct(F.lit(r["query_id"]).cast(kind).alias("q"), F.lit(r["n"]).alias("n")) for r in some]) if some else F.array().cast(T.ArrayType(T.StructType([T.StructField("q", kind), T.StructField("n", T.StringType())])))
-        low = F.lower("_line")
-        hits = rows.select("path", "_n", "_line", F.explode(F.filter(consts, lambda c: low.contains(c["n"]))).alias("_c"))
-        return hits.select(F.col("_c.q").alias("query_id"), "path", (F.col("_n") + 1).alias("line"), shown.alias("text"))
-
-    found, held = [], []
-    for row in asked.toLocalIterator():
-        held.append(row)
-        if len(held) == block:
-            found.append(scan(held))
-            held = []
-    if held or not found:
-        found.append(scan(held))
-    return top_k(reduce(DataFrame.unionByName, found), ["query_id"], [F.asc("path"), F.asc("line")], max_results, "hit").drop("hit")
+    found = substrings.find(rows.select("path", "_n", F.lower("_line").alias("text")), asked, ["path", "_n"])
+    hits = rows.join(found.join(asked, "needle"), ["path", "_n"]).select("query_id", "path", (F.col("_n") + 1).alias("line"), shown.alias("text"))
+    return top_k(hits, ["query_id"], [F.asc("path"), F.asc("line")], max_results, "hit").drop("hit")
 
 
 def lookup_symbols(symbols: DataFrame, names: DataFrame, max_results: int | None = 25) -> DataFrame:

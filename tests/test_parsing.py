@@ -166,18 +166,42 @@ def test_manifests(spark):
     assert got == {("fastapi", ">=0.1", "python"), ("pandas", "==2", "python"), ("httpx", "*", "python"), ("react", "18", "npm"), ("vite", "5", "npm")}
 
 
-def test_python_facts():
+def python_rows(spark, path, text):
+    files = spark.createDataFrame([("o", "r", path, text)], "organization_id string, repository_id string, path string, text string")
+    return [tuple(r)[3:] for r in sfx.extract_facts(files).orderBy("line", "end_line").collect()]
+
+
+def test_python_facts(spark):
     py = ('from fastapi import FastAPI\napp = FastAPI()\nclass User(BaseModel):\n    id: int\n    name: str = "x"\n@app.get("/users/{user_id}")\nasync def get_user(user_id):\n'
           '    if not user_id:\n        raise ValueError("no")\n    self.x[1] = 2\n    db.commit()\n    def inner():\n        db.save()\nif __name__ == "__main__":\n    run(os.environ["HOME"])\n')
-    facts = sfx.python_facts("src/main.py", py)
+    facts = python_rows(spark, "src/main.py", py)
     kinds = lambda k: [f for f in facts if f[0] == k]
     assert [(f[2], f[3], f[1]) for f in kinds("route")] == [("GET", "/users/{user_id}", "src.main.get_user")]
-    assert [f[2] for f in kinds("field")] == ["id", "name"] and kinds("model")[0][3] == "pydantic"
+    assert [(f[2], f[3], f[4]) for f in kinds("field")] == [("id", "int", "[true, null]"), ("name", "str", '[false, "\'x\'"]')] and kinds("model")[0][3] == "pydantic"
     assert [f[2] for f in kinds("entry_point")] == ["app", "__main__"]
     assert [f[2] for f in kinds("config")] == ["HOME"]
-    own = [f for f in facts if f[1] == "src.main.get_user"]
-    assert [f[0] for f in own if f[0] in sfx.BEHAVIOUR_KINDS] == ["condition", "exception", "state_change", "side_effect"]
+    own = [f for f in facts if f[1] == "src.main.get_user" and f[0] in sfx.BEHAVIOUR_KINDS]
+    assert sorted(f[0] for f in own) == ["condition", "exception", "side_effect", "state_change"] and [f[3] for f in own if f[0] == "condition"] == ["validation"]
     assert [(f[1], f[2]) for f in kinds("side_effect")] == [("src.main.get_user", "db.commit"), ("src.main.get_user.inner", "db.save")]
+    assert sorted((f[1], f[2]) for f in kinds("call")) == [("src.main.get_user", "ValueError"), ("src.main.get_user", "db.commit"), ("src.main.get_user.inner", "db.save")]
+    assert sorted((f[1], f[3], f[4]) for f in kinds("symbol")) == [("src.main.User", "class User(BaseModel)", "class"), ("src.main.get_user", "async def get_user(user_id)", "function"), ("src.main.get_user.inner", "def inner()", "method")]
+    assert kinds("import") == [("import", "src/main.py", "fastapi", "FastAPI", "0", 1, 1)]
+
+
+def test_python_models_routers_and_settings(spark):
+    py = ('import os, a.b as c\nfrom .. import x as y, z\nrouter = APIRouter(prefix="/v1", tags=["a"])\nbp = flask.Blueprint("b", __name__)\nclass Item(db.Model):\n    __tablename__ = "items"\n    id = Column(Integer, primary_key=True)\n'
+          '    note = mapped_column()\n    plain = 3\nclass Conf(BaseSettings):\n    KEY: str\n    PORT: int = 1\n@dataclasses.dataclass(frozen=True)\nclass D(Other):\n    v: "list[int]" = None\nclass Not(Other):\n    w: int\n'
+          '@router.post("/x")\n@router.delete()\ndef both(): pass\n@bp.get("/y")\ndef one():\n    f = lambda: g(1)\n    os.getenv("A"), os.environ.get("B", 2), os.getenv(name)\n    raise\n@nobody.get("/z")\ndef none(): pass\n@cache\ndef plain(): return plain()\n')
+    facts = python_rows(spark, "pkg/__init__.py", py)
+    kinds = lambda k: sorted(f[1:5] for f in facts if f[0] == k)
+    assert kinds("import") == [("pkg/__init__.py", "", "x,z", "2"), ("pkg/__init__.py", "a.b", "c", "0"), ("pkg/__init__.py", "os", "os", "0")]
+    assert kinds("model") == [("pkg.Conf", "Conf", "settings", None), ("pkg.D", "D", "dataclass", None), ("pkg.Item", "Item", "orm", "items")]
+    assert kinds("field") == [("pkg.Conf", "KEY", "str", "[true, null]"), ("pkg.Conf", "PORT", "int", '[false, "1"]'), ("pkg.D", "v", "'list[int]'", '[false, "None"]'),
+                              ("pkg.Item", "id", "Integer", '[null, "Column(Integer, primary_key=True)"]'), ("pkg.Item", "note", None, '[null, "mapped_column()"]')]
+    assert kinds("route") == [("pkg.both", "DELETE", "/v1", "python_web|high"), ("pkg.both", "POST", "/v1/x", "python_web|high"), ("pkg.one", "GET", "/y", "python_web|high")]
+    assert kinds("config") == [("os.environ.get", "B", None, None), ("os.getenv", "A", None, None), ("pkg.Conf", "KEY", None, None), ("pkg.Conf", "PORT", None, None)]
+    assert [f[1:3] for f in facts if f[0] == "exception"] == [("pkg.one", "re-raise")] and not [f for f in facts if f[0] == "call" and f[2] in ("g", "plain")]
+    assert python_rows(spark, "bad.py", "def broken(:")[0][:3] == ("failure", "bad.py", "SyntaxError")
 
 
 def test_nest_routes(spark):
