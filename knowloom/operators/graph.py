@@ -28,7 +28,7 @@ MANIFEST_DOC_NAMES = ("requirements.txt", "package.json", "pyproject.toml", "pip
 def owners_by_file(owns: DataFrame) -> DataFrame:
     """(org, file_id, owners): sorted (email, name, commit_count) structs.
 
-    The list is bounded: ownership is read from the newest 500 commits of a repository.
+    A list has one entry per author who touched the file, however many there are; a caller that wants fewer cuts before.
     """
     return owns.groupBy(ORG, "file_id").agg(F.array_sort(F.collect_set(F.struct("author_email", "author_name", "commit_count"))).alias("owners"))
 
@@ -81,7 +81,7 @@ def files_by_path(questions: DataFrame, files: DataFrame) -> DataFrame:
 def file_symbols(questions: DataFrame, files: DataFrame, functions: DataFrame, classes: DataFrame, owns: DataFrame) -> DataFrame:
     """Per asked file: its functions, classes and owners, each list aggregated before the joins.
 
-    A list never outgrows one source file, and files above 1 MB are not ingested.
+    The lists of a file grow with its symbols and authors; files themselves have no limit unless ingestion sets one.
     """
     f = files_by_path(questions, files)
     pick = lambda df, name: df.join(f.select(ORG, "file_id").distinct(), [ORG, "file_id"], "left_semi").groupBy(ORG, "file_id").agg(

@@ -113,8 +113,10 @@ def run_listing(states: DataFrame, limit: int) -> DataFrame:
     return top_k(rows, [ORG], [F.desc("updated_at"), F.asc("task_id")], limit, "position").drop("documents")
 
 
-def status_ladder(total_failed, embedded_failed) -> Column:
-    return F.when(F.col(total_failed) > 0, "failed").when(F.col(embedded_failed) > 0, "completed_without_embeddings").otherwise("completed")
+def status_ladder(failed: Column, embedded: Column | None = None) -> Column:
+    """Status of a run: failed, completed without a single embedded chunk, or completed."""
+    status = F.when(failed, "failed")
+    return (status if embedded is None else status.when(embedded == 0, "completed_without_embeddings")).otherwise("completed")
 
 
 # ------------------------------------------------------------------ walks
@@ -223,10 +225,12 @@ def upload_problem(path, size, max_bytes: int | None = None) -> Column:
     )
 
 
-def ingestion_summary(outcomes: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts per run and the run status."""
+def ingestion_summary(outcomes: DataFrame, keys: list[str], embedded: str | None = None) -> DataFrame:
+    """Counts per run and the run status; ``embedded`` names a column with the number of embedded chunks of each document."""
     n = lambda state: F.count_if(F.col("state") == state)
     rows = outcomes.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("documents_total"), n("new").alias("documents_new"), n("changed").alias("documents_changed"),
-        n("unchanged").alias("documents_skipped"), F.count_if(F.col("failed")).alias("documents_failed"))
-    return rows.withColumn("status", F.when(F.col("documents_failed") == F.col("documents_total"), "failed").otherwise("completed"))
+        n("unchanged").alias("documents_skipped"), F.count_if(F.col("failed")).alias("documents_failed"),
+        *([] if embedded is None else [F.sum(F.coalesce(embedded, F.lit(0))).alias("chunks_embedded")]))
+    failed = F.col("documents_failed") == F.col("documents_total")
+    return rows.withColumn("status", status_ladder(failed, None if embedded is None else F.col("chunks_embedded")))

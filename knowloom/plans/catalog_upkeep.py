@@ -148,11 +148,15 @@ def hash_dedup(spark, sf):
 
 
 @query("e19_ingestion_summary", """
-SELECT lang AS organization_id, count(*) AS documents_total, count(*) FILTER (doc_id % 3 = 2) AS documents_new, count(*) FILTER (doc_id % 3 = 1) AS documents_changed,
-  count(*) FILTER (doc_id % 3 = 0) AS documents_skipped, count(*) FILTER (length(text) < 50) AS documents_failed, 'completed' AS status FROM documents GROUP BY ALL""")
+SELECT lang AS organization_id, doc_id // 50 AS run, count(*) AS documents_total, count(*) FILTER (doc_id % 3 = 2) AS documents_new, count(*) FILTER (doc_id % 3 = 1) AS documents_changed,
+  count(*) FILTER (doc_id % 3 = 0) AS documents_skipped, count(*) FILTER (length(text) < 50) AS documents_failed, count(vec_id) AS chunks_embedded,
+  CASE WHEN count(*) = count(*) FILTER (length(text) < 50) THEN 'failed' WHEN count(vec_id) = 0 THEN 'completed_without_embeddings' ELSE 'completed' END AS status
+FROM documents LEFT JOIN embeddings ON vec_id = doc_id GROUP BY ALL""")
 def summary(spark, sf):
     d, prior = incoming(spark, sf)
-    return up.ingestion_summary(up.assign_versions(d, prior, ["doc_id"]).withColumn("failed", F.length("text") < 50), [ORG])
+    vectors = wh.document_vectors(spark, sf).select(F.col("source_id").alias("doc_id"), F.lit(1).alias("embedded"))
+    done = up.assign_versions(d, prior, ["doc_id"]).withColumns({"failed": F.length("text") < 50, "run": F.floor(F.col("doc_id") / 50)})
+    return up.ingestion_summary(done.join(vectors, "doc_id", "left"), [ORG, "run"], "embedded")
 
 
 @query("s11_business_documents", """
