@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from knowloom.llm import byte_bpe, decontaminate, host_reputation, html_blocks, license_scan, pivot_join, prefix_trie, quality_cnn, ranked_search, simhash_ball, source_mix, unit_dedup, wavelet_shards
-from knowloom.llm.shared import shared_folder, staged, table
+from knowloom.llm.shared import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,9 +135,8 @@ def op7_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read back from the wavelet files of all token ids."""
     import public_tokenizers
 
-    tokens = staged(wavelet_shards.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1, vocabulary=49_408), "tokens")
     folder = f"{shared_folder(spark)}/llm-shards-{uuid.uuid4().hex}"
-    wavelet_shards.write(tokens, folder, vocabulary=49_408)
+    wavelet_shards.write_texts(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end=1, vocabulary=49_408)
     return wavelet_shards.documents(wavelet_shards.shards(spark, folder))
 
 

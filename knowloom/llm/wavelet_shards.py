@@ -8,13 +8,13 @@ planes without unpacking the shard. Files are Parquet with one shard each, so an
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -24,10 +24,12 @@ from knowloom.llm.shared import slices
 SHARD_TOKENS = 2_000_000
 #: Tokens of a range partition, on average.
 RANGE_TOKENS = 4_000_000
+#: Characters of a token, for the number of ranges only.
+CHARACTERS = 2
 #: Bytes of a plane that share one entry of the rank directory.
 BLOCK = 64
-#: Chunks a worker remembers in each of two generations; bounds its memory and changes no result.
-REMEMBERED = 120_000
+#: Chunks a worker remembers in each of two generations, over all its tasks; bounds its memory and changes no result.
+REMEMBERED = 350_000
 
 
 @dataclass
@@ -121,9 +123,12 @@ class WaveletMatrix:
         return row
 
 
+#: White space for the cutter and for Python, but not for the tokenizer.
+SEPARATORS = "[\x1c-\x1f]"
 #: One word of Latin letters, and a mark that may follow. These letters keep their class and case in every version of
 #: Unicode, each lower case is one of them (the dotted capital I is left out), and none of them composes.
-PLAIN = re.compile("([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,!?]?)")
+PLAIN = "([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,!?]?)"
+MARKS = ".,!?"
 
 
 def byte_letters() -> dict[int, str]:
@@ -147,7 +152,7 @@ class ChunkEncoder:
 
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
         self.packed = [np.array(k, kind).tobytes() for k in range(self.tokenizer.get_vocab_size())]
-        self.marks = {x: self._whole(x) for x in ".,!?"}
+        self.marks = [self._whole(x) for x in MARKS]
         model = self.tokenizer.model
         model._resize_cache(0)  # what is remembered here never gets there twice
         self.merge, self.letters = model.tokenize, byte_letters()
@@ -157,36 +162,60 @@ class ChunkEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """The ids of a plain word, from what is remembered of it in lower case or else from the model."""
-        low = word.lower()
-        found = self.known.get(low) or self.older.get(low)
-        if found is None:
-            shown = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
-            found = self.known[low] = b"".join([self.packed[t.id] for t in self.merge(shown)])
+    def _word(self, low: str) -> bytes:
+        """The ids of a plain word in lower case from the model."""
+        shown = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.packed[t.id] for t in self.merge(shown)])
+
+    def _ids(self, names: pa.Array, fresh) -> list[bytes]:
+        """The ids of distinct words or chunks, remembered or ``fresh``; words and other chunks never read alike."""
+        names = names.to_numpy(zero_copy_only=False).tolist()
+        found = [*map(self.known.get, names)]
+        for k in [k for k, x in enumerate(found) if x is None]:
+            found[k] = self.known[names[k]] = self.older.get(names[k]) or fresh(names[k])
         return found
 
-    def _fresh(self, chunk: str) -> bytes:
-        """The ids of a chunk that is not remembered; its parts may be."""
-        if (found := self.older.get(chunk)) is None:
-            if m := PLAIN.fullmatch(chunk):
-                found = self._word(m[1]) + (self.marks[m[2]] if m[2] else b"")
-            else:
-                found = self._whole(chunk)
-        self.known[chunk] = found
-        return found
-
-    def encode(self, text: str) -> bytes:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self._whole(text)
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text (null: empty). The texts are cut together; each distinct word or other chunk is looked up or encoded once, and ids are put in place by number."""
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        chunks, known = text.split(), self.known
-        found = [*map(known.get, chunks)]
-        if None in found:
-            for k in [k for k, x in enumerate(found) if x is None]:
-                found[k] = known.get(chunks[k]) or self._fresh(chunks[k])
-        return b"".join(found)
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, SEPARATORS)
+        odd = {k: texts[k].as_py() for k in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist()}
+        chunks = pc.utf8_split_whitespace(pc.if_else(whole, "", texts) if odd else texts)
+        coded = chunks.flatten().dictionary_encode()
+        names = coded.dictionary
+        plain = pc.match_substring_regex(names, "^" + PLAIN + "$")
+        words = pc.utf8_lower(pc.utf8_rtrim(names.filter(plain), characters=MARKS)).dictionary_encode()
+        others = self._ids(names.filter(pc.invert(plain)), self._whole)
+        # What stands for a chunk: its word, or the chunk itself, and the mark that follows a word.
+        table = [b"", *self.marks, *self._ids(words.dictionary, self._word), *others]
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        pieces = np.zeros((len(names), 2), np.int64)
+        pieces[is_plain, 0] = 1 + len(MARKS) + words.indices.to_numpy()
+        pieces[~is_plain, 0] = 1 + len(MARKS) + len(words.dictionary) + np.arange(len(others))
+        mark = pc.fill_null(pc.index_in(pc.utf8_slice_codeunits(names, -1), pa.array([*MARKS])), -1).to_numpy(zero_copy_only=False) + 1
+        pieces[is_plain, 1] = mark[is_plain]
+        ids = np.frombuffer(b"".join(table), self.kind)
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // np.dtype(self.kind).itemsize
+        at = pieces[coded.indices.to_numpy()].ravel()
+        many = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        flat = ids[np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], many) + np.arange(ends[-1])]
+        offsets = chunks.offsets.to_numpy()
+        bounds = ends[2 * (offsets - offsets[0])].tolist()
+        return [self._whole(odd[k]) if k in odd else flat[a:b].tobytes() for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]))]
+
+
+_ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
+
+
+def encoder(path: str, kind: str) -> ChunkEncoder:
+    """The encoder of this worker, so that its tasks one after another share what it remembers."""
+    if (path, kind) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, kind] = ChunkEncoder(path, kind)
+    return _ENCODERS[path, kind]
 
 
 def kind_of(vocabulary: int) -> str:
@@ -199,9 +228,9 @@ def encoded(docs: DataFrame, path: str, end: int, vocabulary: int) -> DataFrame:
     kind = kind_of(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = ChunkEncoder(path, kind), np.array([end], kind).tobytes()
+        own, last = encoder(path, kind), np.array([end], kind).tobytes()
         for batch in slices(batches):
-            rows = [encoder.encode(x.as_py() or "") + last for x in batch.column(1)]
+            rows = [ids + last for ids in own.encode(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) // len(last) for r in rows], pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
@@ -216,8 +245,29 @@ def write(tokens: DataFrame, folder: str, vocabulary: int, shard_tokens: int = S
     Partitions are ranges of ``doc_id``; a task closes a shard whenever it has enough tokens, so a range with long
     documents or one id in many rows makes more shards, not larger ones.
     """
-    bits = max(1, int(vocabulary - 1).bit_length())
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
+    _write(tokens.select("doc_id", "ids"), -(-total // RANGE_TOKENS), folder, vocabulary, shard_tokens, lambda: lambda ids: ids.to_pylist())
+
+
+def write_texts(docs: DataFrame, folder: str, path: str, end: int, vocabulary: int, shard_tokens: int = SHARD_TOKENS) -> None:
+    """As :func:`write` of :func:`encoded`, in one go: texts move to their range of ``doc_id``, and what is encoded there goes straight into a shard.
+
+    Rows that share a ``doc_id`` follow each other by text. Ranges are sized by characters.
+    """
+    kind = kind_of(vocabulary)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+
+    def encode():
+        own, last = encoder(path, kind), np.array([end], kind).tobytes()
+        return lambda texts: [ids + last for ids in own.encode(texts)]
+
+    _write(rows, -(-total // (RANGE_TOKENS * CHARACTERS)), folder, vocabulary, shard_tokens, encode)
+
+
+def _write(rows: DataFrame, ranges: int, folder: str, vocabulary: int, shard_tokens: int, ready) -> None:
+    """Sort two columns, ``doc_id`` and what ``ready()`` makes packed ids of, into ranges and write their shards."""
+    bits = max(1, int(vocabulary - 1).bit_length())
     kind = np.dtype(kind_of(vocabulary))
     size = kind.itemsize
 
@@ -230,8 +280,9 @@ def write(tokens: DataFrame, folder: str, vocabulary: int, shard_tokens: int = S
             row = {"part": part, "shard": shard, "n": matrix.n, "n_docs": len(docs), "bits": bits, "doc_ids": docs, "ends": ends, "zeros": matrix.zeros, "planes": [p.tobytes() for p in matrix.planes], "ranks": [r.astype("<u4").tobytes() for r in matrix.ranks]}
             return pa.RecordBatch.from_pylist([row], schema=_arrow_schema())
 
-        for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        packed = ready()
+        for batch in slices(batches):
+            for doc, ids in zip(batch.column(0).to_pylist(), packed(batch.column(1))):
                 if rows and held + len(ids) // size > shard_tokens:
                     yield close()
                     shard, docs, rows, held = shard + 1, [], [], 0
@@ -241,7 +292,7 @@ def write(tokens: DataFrame, folder: str, vocabulary: int, shard_tokens: int = S
         if rows:
             yield close()
 
-    ordered = tokens.repartitionByRange(max(1, -(-total // RANGE_TOKENS)), "doc_id").sortWithinPartitions("doc_id", "ids").select("doc_id", "ids")
+    ordered = rows.repartitionByRange(max(1, ranges), "doc_id").sortWithinPartitions(*rows.columns)
     ordered.mapInArrow(run, _SHARD).write.option("maxRecordsPerFile", 1).option("compression", "zstd").parquet(folder)
 
 

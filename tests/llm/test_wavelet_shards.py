@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -35,7 +36,7 @@ def test_chunks_encode_as_whole_texts(tokenizer, words):
     encoder = ws.ChunkEncoder(PATH)
     odd = ["A. b,c!? It's  can't. x\x1cy z\x85w", "É́ é ́a İstanbul ΑΣ. ΑΣ, <|endoftext|> a<|startoftext|>b", "!!a!! b.!, c.. 12. 3,4 é. it's. 's. don't, we'll!", "", " ", "a 　b", "Ünïcödé straße ŉ Ǆ ÅNGSTRÖM. ﬁ ß. İx. ı", "x. x", ". . ,", "ab! ab? Ab",  words(3000), words(500) + "."]
     for text in odd:
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode(pa.array([text]))[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=200, deadline=None)
@@ -43,14 +44,18 @@ def test_chunks_encode_as_whole_texts(tokenizer, words):
 def test_any_text_encodes_as_the_library_does(tokenizer, text):
     encoder = ws.ChunkEncoder(PATH)
     for _ in range(2):
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode(pa.array([text]))[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def test_files_give_back_every_document(spark, docs_of, tokenizer, words, tmp_path, monkeypatch):
+@pytest.mark.parametrize("way", ["ids", "texts"])
+def test_files_give_back_every_document(spark, docs_of, tokenizer, words, tmp_path, monkeypatch, way):
     monkeypatch.setattr(ws, "RANGE_TOKENS", 1500)
     rows = [(k * 3, words(40)) for k in range(60)] + [(7, None), (8, ""), (10, words(4000)), (11, "same"), (11, "same"), (None, "no id")]
     docs = docs_of(rows, ", ids long")
-    ws.write(ws.encoded(docs, PATH, end=1, vocabulary=49_408), str(tmp_path / "shards"), 49_408, shard_tokens=700)
+    if way == "ids":
+        ws.write(ws.encoded(docs, PATH, end=1, vocabulary=49_408), str(tmp_path / "shards"), 49_408, shard_tokens=700)
+    else:
+        ws.write_texts(docs, str(tmp_path / "shards"), PATH, end=1, vocabulary=49_408, shard_tokens=700)
     found = ws.shards(spark, str(tmp_path / "shards"))
     assert found.count() > 5
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
@@ -72,3 +77,5 @@ def test_files_give_back_every_document(spark, docs_of, tokenizer, words, tmp_pa
 def test_empty_table(spark, docs_of, tmp_path):
     ws.write(ws.encoded(docs_of([]), PATH, end=1, vocabulary=49_408), str(tmp_path / "none"), 49_408)
     assert ws.documents(ws.shards(spark, str(tmp_path / "none"))).count() == 0
+    ws.write_texts(docs_of([]), str(tmp_path / "no-texts"), PATH, end=1, vocabulary=49_408)
+    assert ws.documents(ws.shards(spark, str(tmp_path / "no-texts"))).count() == 0
