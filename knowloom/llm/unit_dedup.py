@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from knowloom.llm.shared import free_name, slices, staged
 
@@ -24,6 +24,8 @@ BREAK = re.compile(r"\n\s*")
 LEAST_WORDS = 20
 #: Longer words than this count as one word for every two characters, as scripts without spaces have them.
 LONG_WORD = 16
+#: Bits of the map of texts that lose something; two megabytes are sent to every task.
+BITS = 1 << 24
 
 
 def _size(words: list[str]) -> int:
@@ -101,11 +103,22 @@ def dedup(docs: DataFrame, least_words: int = LEAST_WORDS, removed: str = "remov
     ``removed_1`` and so on.
     """
     removed = free_name(docs, removed)
-    version, own, key = free_name(docs, "version_of_text"), free_name(docs, "own_doc_id"), free_name(docs, "key_doc_id")
-    # A table of its own, so that its true size decides how the texts meet their spans.
+    version, own, key, mark = (free_name(docs, n) for n in ("version_of_text", "own_doc_id", "key_doc_id", "mark_of_text"))
     gone = staged(repeats(docs, least_words), "spans").select(F.col("doc_id").alias(own), F.col("version").alias("_version"), F.col("removed").alias(removed))
     keyed = docs.withColumns({version: F.xxhash64("text"), key: F.col("doc_id").cast("long")})
-    joined = keyed.join(gone, keyed[key].eqNullSafe(gone[own]) & (keyed[version] == gone["_version"]), "left").select(*docs.columns, F.coalesce(removed, F.array().cast("array<struct<start:int,end:int>>")).alias(removed))
+    # Only texts that lose something move. They are told apart by a bitmap of fixed size, so that the others stay where they
+    # are read; where it says so of too many, these move as well and meet no spans.
+    bits = _bitmap(gone, F.col(own), F.col("_version"))
+    marked = keyed.withColumn(mark, _place(F.col(key), F.col(version))).join(F.broadcast(bits), F.bitmap_bucket_number(mark) == F.col("_bucket"), "left")
+    at_bit = F.bitmap_bit_position(mark)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at_bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = marked.withColumn("_touched", F.coalesce(F.getbit(byte, (at_bit % 8).cast("int")) == 1, F.lit(False)))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    met = marked.where("_touched").join(gone.hint("merge"), marked[key].eqNullSafe(gone[own]) & (marked[version] == gone["_version"]), "left")
+    joined = met.select(*docs.columns, F.coalesce(removed, none).alias(removed))
+    same = marked.where("not _touched").select(*docs.columns, none.alias(removed))
+    if "n_chars" in docs.columns:
+        same = same.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     at = docs.columns.index("text")
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
@@ -119,7 +132,18 @@ def dedup(docs: DataFrame, least_words: int = LEAST_WORDS, removed: str = "remov
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     schema = T.StructType([*docs.schema.fields, *joined.schema.fields[-1:]])
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(cut, schema).unionByName(same)
+
+
+def _place(doc_id: Column, version: Column) -> Column:
+    """Where a text stands in the bitmap, from 1."""
+    return F.pmod(F.xxhash64(doc_id, version), F.lit(BITS)) + 1
+
+
+def _bitmap(gone: DataFrame, doc_id: Column, version: Column) -> DataFrame:
+    """Bits of the texts in ``gone``: at most BITS / 32768 rows of 4 KiB, whatever their number."""
+    placed = gone.select(_place(doc_id, version).alias("p"))
+    return placed.groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
 
 
 def _cut(text: str | None, spans: list[dict]) -> str | None:
