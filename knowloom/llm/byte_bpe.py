@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import accumulate, chain
 
@@ -173,6 +174,27 @@ class ByteBpe:
 
         return encoded.mapInArrow(run, _with(encoded, out, "binary"))
 
+    def round_trip(self, docs: DataFrame, text: str = "text", ids: str = "ids", digest: str = "decoded_sha256") -> DataFrame:
+        """``docs`` with ``ids`` as by :meth:`encode` and ``digest``, the SHA-256 of the bytes that :meth:`decode` makes of them, in one pass.
+
+        Texts go to the Python workers once and come back once, and the decoded bytes stay there.
+        """
+        ids, digest = free_name(docs, ids), free_name(docs, digest)
+        at = docs.columns.index(text)
+        sent = docs.sparkSession.sparkContext.broadcast((self.ranks, self.model, self.pattern))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            encoder = Encoder(*sent.value)
+            token = {rank: raw for raw, rank in encoder.ranks.items()}.__getitem__
+            for batch in slices(batches):
+                rows = [np.frombuffer(r, "<i4") for r in encoder.encode_all(x.as_py() or "" for x in batch.column(at))]
+                ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+                made = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows)))
+                digests = [hashlib.sha256(b"".join(map(token, r.tolist()))).hexdigest() for r in rows]
+                yield pa.RecordBatch.from_arrays([*batch.columns, made, pa.array(digests, pa.string())], names=[*batch.schema.names, ids, digest])
+
+        return docs.mapInArrow(run, _with(docs, ids, "array<int>").add(digest, "string"))
+
 
 def _with(df: DataFrame, name: str, kind: str):
     from pyspark.sql.types import StructType, _parse_datatype_string

@@ -62,3 +62,13 @@ def test_memory_of_pretokens_changes_nothing(bpe, own, words, monkeypatch):
     encoder = byte_bpe.Encoder(bpe.ranks, bpe.model, bpe.pattern)
     for text in (words(50), words(50), words(50)):
         assert ids(encoder, text) == own.encode_ordinary(text)
+
+
+def test_round_trip_equals_encoding_and_decoding(spark, docs_of):
+    from pyspark.sql import functions as F
+
+    bpe = byte_bpe.ByteBpe(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    docs = docs_of([(1, "Hello  wörld\n\n東京"), (1, "Hello  wörld\n\n東京"), (2, None), (3, ""), (None, "x" * 9000)], ", ids long, decoded_sha256 string")
+    two = bpe.decode(bpe.encode(docs), "ids_1").select(*docs.columns, "ids_1", F.sha2("decoded", 256).alias("decoded_sha256_1"))
+    assert sorted(bpe.round_trip(docs).collect(), key=str) == sorted(two.collect(), key=str)
+    assert bpe.round_trip(docs_of([])).count() == 0
