@@ -32,3 +32,11 @@ def test_entry_has_rows(spark):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_structural_dispatch_makes_what_grows_once_and_broadcasts_no_files(spark, sf_dir):
+    from knowloom.sources import warehouse as wh
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan(wh.functions(spark, sf_dir))
+    assert "lineitem" not in plan(entry.queries()["g6_structural_dispatch"](spark, sf_dir))
