@@ -28,29 +28,38 @@ BUCKET_VARIANTS = 3_000_000
 LEAST_BUCKETS = 64
 
 
-def fingerprint(text: str, shingle: int = 4) -> int:
-    """The 64-bit SimHash of a whole text, as a signed number.
+def hashes(text: str, shingle: int = 4) -> np.ndarray:
+    """XXH64 with seed 42 of all shingles with repeats, in order; A-Z are lower-cased, words are runs without ASCII white space.
 
-    A-Z are lower-cased, words are runs without ASCII white space, features are all shingles with repeats,
-    hashed by XXH64 with seed 42. Fewer words than a shingle are one feature; no word gives zero.
+    Fewer words than a shingle are one shingle; no word gives none.
     """
     import xxhash
 
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-        starts = [0, *(gaps + 1).tolist()]
-        ends = [*gaps.tolist(), len(joined)]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[i:j], SEED) for i, j in zip(starts, ends[shingle - 1 :])]
-    octets = np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    starts = [0, *(gaps + 1).tolist()]
+    ends = [*gaps.tolist(), len(joined)]
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[i:j], SEED) for i, j in zip(starts, ends[shingle - 1 :])], np.uint64)
+
+
+def simhash(found: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes, as a signed number; no hash gives zero."""
+    if not len(found):
+        return 0
+    octets = found.view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(octets[:, k], minlength=256) @ OCTET_BITS for k in range(8)])
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+    return int(np.packbits(ones * 2 > len(found), bitorder="little").view(np.int64)[0])
+
+
+def fingerprint(text: str, shingle: int = 4) -> int:
+    """The 64-bit SimHash of a whole text: features are its shingles as in :func:`hashes`; no word gives zero."""
+    return simhash(hashes(text, shingle))
 
 
 #: The bits of each byte value, lowest first.

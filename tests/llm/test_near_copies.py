@@ -72,3 +72,11 @@ def test_large_groups_meet_in_blocks(docs_of, words, monkeypatch):
     monkeypatch.setattr(nc, "GROUP", 2_000)
     monkeypatch.setattr(nc, "ROUNDS", (1, 2, 15))
     assert {r.doc_id for r in nc.keep_one(docs_of(rows)).collect()} == {0} | {i for i, _ in rows[120:]}
+
+
+def test_the_ball_brings_together_what_no_minima_do(docs_of, words, monkeypatch):
+    monkeypatch.setattr(nc, "prints", lambda found: [])
+    a, b = words(400), words(400)
+    rows = [(1, a), (2, a + " tail"), (3, b), (4, ""), (5, None)]
+    assert brute_print(a) != brute_print(a + " tail") and share(a, a + " tail") >= 0.8
+    assert {r.doc_id for r in nc.keep_one(docs_of(rows)).collect()} == {1, 3, 4}
