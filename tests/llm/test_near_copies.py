@@ -2,8 +2,10 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
-from knowloom.llm import near_copies as nc
+from knowloom.llm import near_copies as nc, shared
 from llm_brute import brute_print
 from test_simhash_ball import variants
 
@@ -80,3 +82,18 @@ def test_the_ball_brings_together_what_no_minima_do(docs_of, words, monkeypatch)
     rows = [(1, a), (2, a + " tail"), (3, b), (4, ""), (5, None)]
     assert brute_print(a) != brute_print(a + " tail") and share(a, a + " tail") >= 0.8
     assert {r.doc_id for r in nc.keep_one(docs_of(rows)).collect()} == {1, 3, 4}
+
+
+def test_only_texts_that_meet_move(spark, docs_of, words):
+    """Rows are told apart where they are read: no text is in a shuffle unless its ``doc_id`` may be lost or repeats."""
+    near = words(200).split()
+    rows = [(k, words(60)) for k in range(40)] + [(100 + k, " ".join([*near[:k], "other", *near[k + 1 :]])) for k in range(4)] + [(None, words(60)), (7, "again")]
+    docs = docs_of(rows, ", may_go long")
+    got = nc.keep_one(docs)
+    assert sorted(r.doc_id for r in got.collect() if r.doc_id is not None) == [*range(40), 100] and got.where("doc_id is null").count() == 1 and got.columns == docs.columns
+    at = lambda c: F.xxhash64(c)
+    told = shared.marked(docs, at("doc_id"), spark.createDataFrame([(3,), (101,)], "id long"), at("id"), "hit")
+    assert {r.doc_id for r in told.where("hit").collect()} == {3, 101} and told.columns == [*docs.columns, "hit"] and told.count() == len(rows)
+    assert shared.marked(docs, at("doc_id"), spark.createDataFrame([], "id long"), at("id"), "hit").where("hit").count() == 0
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
