@@ -60,6 +60,38 @@ def _lists(words: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray, np.n
     return sorted(names), pairs // max(1, len(lengths)), pairs % max(1, len(lengths)), often, lengths
 
 
+def _binaries(ends: np.ndarray, values: np.ndarray) -> pa.Array:
+    """The stretches of ``values`` up to each of ``ends``, as bytes of 32-bit integers."""
+    offsets = np.concatenate([[0], 4 * ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(values.astype("<i4"))])
+
+
+def _postings(words: pa.ListArray, ids: pa.Array, block: int) -> list[pa.Array]:
+    """``term``, ``n``, ``total``, ``heads``, ``docs``, ``often``, ``chunk_ids`` of a segment: its chunks first, then a row a term.
+
+    Columns are made whole: where scopes are many, segments are small and nearly every word is a row of its own.
+    """
+    terms, term, doc, often, lengths = _lists(words)
+    begin = np.searchsorted(term, np.arange(len(terms) + 1))
+    sizes = np.diff(begin)
+    blocks = -(-sizes // block)
+    before, own = np.repeat(np.cumsum(blocks) - blocks, blocks), np.repeat(blocks, blocks)
+    step = np.arange(len(own)) - before
+    at = np.repeat(begin[:-1], blocks) + step * block  # blocks tile the postings, so each one ends where the next begins
+    heads = np.empty(3 * len(at), np.int64)
+    if len(at):
+        last = doc[np.append(at[1:], len(doc)) - 1]
+        for k, held in enumerate((last, np.maximum.reduceat(often, at), np.minimum.reduceat(lengths[doc], at))):
+            heads[3 * before + k * own + step] = held
+    none = [None] * len(terms)
+    first = lambda rest: pa.concat_arrays([pa.array([None], pa.binary()), rest])
+    return [
+        pa.array([None, *terms], pa.string()), pa.array(np.concatenate([[len(lengths)], sizes]), pa.int64()), pa.array([int(lengths.sum()), *none], pa.int64()),
+        first(_binaries(3 * np.cumsum(blocks), heads)), _binaries(len(lengths) + begin, np.concatenate([lengths, doc])), first(_binaries(begin[1:], often)),
+        pa.array([ids.to_pylist(), *none], pa.list_(pa.string())),
+    ]
+
+
 def build(chunks: DataFrame, scope: list[str] = ["organization_id"], block: int = BLOCK) -> KeywordIndex:
     """The index of ``chunks`` (scope columns, chunk_id, text), written once to the shared folder.
 
@@ -68,25 +100,17 @@ def build(chunks: DataFrame, scope: list[str] = ["organization_id"], block: int
     read = chunks.select(*scope, F.col("chunk_id").cast("string").alias("chunk_id"), F.coalesce(tokens("text"), F.array().cast("array<string>")).alias("words"))
     n = len(scope)
     schema = T.StructType([read.schema[c] for c in scope] + T._parse_datatype_string("segment long, term string, n long, total long, heads binary, docs binary, often binary, chunk_ids array<string>").fields)
-    kinds = [None] * n + [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for key, rows in _segments(batch, n):
                 own = batch.take(pa.array(rows))
-                terms, term, doc, often, lengths = _lists(own.column(n + 1))
-                begin = np.searchsorted(term, np.arange(len(terms) + 1))
-                out = [(number, None, len(rows), int(lengths.sum()), None, lengths.astype("<i4").tobytes(), None, own.column(n).to_pylist())]
-                for k, name in enumerate(terms):
-                    a, b = begin[k], begin[k + 1]
-                    at = np.arange(a, b, block)
-                    last = doc[np.minimum(at + block, b) - 1]
-                    heads = np.stack([last, np.maximum.reduceat(often[a:b], at - a), np.minimum.reduceat(lengths[doc[a:b]], at - a)]).astype("<i4")
-                    out.append((number, name, int(b - a), None, heads.tobytes(), doc[a:b].astype("<i4").tobytes(), often[a:b].astype("<i4").tobytes(), None))
+                columns = _postings(own.column(n + 1), own.column(n), block)
+                many = len(columns[0])
+                keys = [pa.array([value] * many, batch.schema.field(c).type) for c, value in enumerate(key)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.full(many, number)), *columns], names=schema.names)
                 number += 1
-                keys = [pa.array([value] * len(out), batch.schema.field(c).type) for c, value in enumerate(key)]
-                yield pa.RecordBatch.from_arrays([*keys, *[pa.array(column, kind) for column, kind in zip(zip(*out), kinds[n:])]], names=schema.names)
 
     postings = staged(read.mapInArrow(run, schema))
     counted = postings.groupBy(*scope, "term").agg(F.sum("n").alias("df"), F.sum("total").alias("_total"))

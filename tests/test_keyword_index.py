@@ -74,3 +74,22 @@ def test_no_chunks_no_questions_no_words(spark, many):
     empty = spark.createDataFrame([("o", "c", ""), ("o", "d", None), ("o", "e", "word other")], f"{ORG} string, chunk_id string, text string")
     got = rt.bm25(empty, spark.createDataFrame([("o", 1, "word"), ("o", 2, ""), ("o", 3, None)], f"{ORG} string, query_id int, query_text string")).collect()
     assert [(r["query_id"], r["chunk_id"]) for r in got] == [(1, "e")]
+
+
+@pytest.mark.parametrize("block", [1, 3, 128])
+def test_columns_of_a_segment_equal_plain_loops(block):
+    import pyarrow as pa
+
+    rnd = random.Random(block)
+    texts = [[f"w{min(int(rnd.paretovariate(0.6)), 40)}" for _ in range(rnd.randint(0, 30))] for _ in range(50)] + [[], ["é"]]
+    ints = lambda b: np.frombuffer(b, "<i4").tolist()
+    for own in (texts, [[]], [["a"]], [[], []]):
+        rows = list(zip(*[c.to_pylist() for c in ki._postings(pa.array(own, pa.list_(pa.string())), pa.array([f"c{k}" for k in range(len(own))]), block)]))
+        term, n, total, heads, docs, often, ids = rows[0]
+        assert (term, n, total, heads, often) == (None, len(own), sum(map(len, own)), None, None) and ints(docs) == [len(x) for x in own] and ids == [f"c{k}" for k in range(len(own))]
+        assert [r[0] for r in rows[1:]] == sorted({w for x in own for w in x})
+        for term, n, total, heads, docs, often, ids in rows[1:]:
+            held = [(k, x.count(term), len(x)) for k, x in enumerate(own) if term in x]
+            cut = [held[a : a + block] for a in range(0, len(held), block)]
+            assert (n, total, ids) == (len(held), None, None) and ints(docs) == [k for k, _, _ in held] and ints(often) == [f for _, f, _ in held]
+            assert ints(heads) == [c[-1][0] for c in cut] + [max(f for _, f, _ in c) for c in cut] + [min(z for _, _, z in c) for c in cut]
