@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import paths
+from ..session import staged
 from . import substrings
 from .retrieval import top_k
 
@@ -238,6 +239,7 @@ def search_nodes(nodes: DataFrame, asked: DataFrame, limit: int | None = 50) ->
     its rarest gram; a blank question finds nothing.
     """
     needles = asked.select(ORG, "query_text").distinct().withColumn("needle", F.lower(F.trim("query_text")))
+    nodes = staged(nodes)  # postings, the texts that are looked at and the hits all read them
     named = F.lower(F.concat_ws("\n", "name", "path"))
     found = substrings.find(nodes.select(ORG, "id", named.alias("text")).distinct(), needles, ["id"], [ORG])
     hits = nodes.join(found.join(needles, [ORG, "needle"]).select(ORG, "id", "query_text").distinct(), [ORG, "id"])

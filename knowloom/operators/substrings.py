@@ -7,6 +7,8 @@ postings in its scope, so a common ending or a frequent word pairs nothing; only
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import staged
@@ -19,9 +21,9 @@ def _runs(text: Column, n: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
-def grams(text: Column) -> Column:
-    """The distinct runs of one to GRAM characters of a text."""
-    return F.array_distinct(F.concat(*[_runs(text, n) for n in range(1, GRAM + 1)]))
+def grams(text: Column, lengths: Iterable[int] = range(1, GRAM + 1)) -> Column:
+    """The distinct runs of one to GRAM characters of a text, or of the named ``lengths`` alone."""
+    return F.array_distinct(F.concat(*[_runs(text, n) for n in lengths]))
 
 
 def needle_grams(needle: Column) -> Column:
@@ -36,7 +38,9 @@ def find(texts: DataFrame, needles: DataFrame, ids: list[str], scope: list[str]
     """
     asked = needles.where(F.length("needle") > 0).select(*scope, "needle").distinct()
     wanted = asked.select(*scope, "needle", F.explode(needle_grams(F.col("needle"))).alias("gram"))
-    postings = texts.select(*scope, *ids, F.explode(grams(F.col("text"))).alias("gram"))
+    # Only runs as long as a gram that is asked for are cut out: GRAM numbers at most come to the driver.
+    lengths = sorted(r.n for r in wanted.select(F.length("gram").alias("n")).distinct().collect())
+    postings = texts.select(*scope, *ids, F.explode(grams(F.col("text"), lengths or [GRAM])).alias("gram"))
     postings = staged(postings.join(wanted.select(*scope, "gram").distinct(), [*scope, "gram"], "left_semi"))
     often = postings.groupBy(*scope, "gram").agg(F.count(F.lit(1)).alias("_n"))
     # A gram that no text has rules its needle out, and it is the rarest one.

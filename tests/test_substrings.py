@@ -32,3 +32,27 @@ def test_nodes_of_the_tenant_by_name_or_path(spark):
     assert sorted((r["organization_id"], r["query_text"], r["id"]) for r in found) == [("o", " alpha ", "1"), ("o", " alpha ", "4"), ("o", "m7/__init__.py", "i7"), ("p", "alpha", "3")]
     plan = g.search_nodes(n, asked)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_only_grams_of_asked_lengths_are_cut(spark):
+    from pyspark.sql import functions as F
+
+    t = spark.createDataFrame([("abcab",), ("ab",)], "text string")
+    assert [sorted(r[0]) for r in t.select(ss.grams(F.col("text"), [3])).collect()] == [["abc", "bca", "cab"], []]
+    texts = spark.createDataFrame([(1, "abcab"), (2, "ab"), (3, "xa")], "id int, text string")
+    for needles, want in ((["bca"], [(1, "bca")]), (["a"], [(1, "a"), (2, "a"), (3, "a")]), (["ab", "cab"], [(1, "ab"), (1, "cab"), (2, "ab")]), ([""], [])):
+        assert sorted(map(tuple, ss.find(texts, spark.createDataFrame([(n,) for n in needles], "needle string"), ["id"]).collect())) == want
+
+
+def test_nodes_are_made_once(spark):
+    from pyspark.sql import functions as F
+
+    made = spark.sparkContext.accumulator(0)
+
+    def name(k):
+        made.add(1)
+        return f"alpha{k}"
+
+    nodes = spark.range(40).repartition(2).select(F.lit("o").alias("organization_id"), F.col("id").cast("string").alias("id"), F.udf(name, "string")("id").alias("name"), F.lit(None).cast("string").alias("path"))
+    asked = spark.createDataFrame([("o", "alpha")], "organization_id string, query_text string")
+    assert g.search_nodes(nodes, asked).count() == 40 and made.value == 40
