@@ -103,3 +103,24 @@ def test_lines_are_not_written_again_when_documents_are_replaced(spark):
     assert kept and all("line" not in c for c in kept) and open_.count() == 0
     assert sorted((r.document_id, r.line) for r in current.collect()) == sorted((d, t) for d, _, t in good)
     assert {r.document_id: r.version for r in versions.collect()} == {d: 2 if d == good[0][0] else 1 for d in render.DOCUMENTS}
+
+
+def test_a_run_keeps_facts_without_ids_and_makes_claims_once(spark, monkeypatch):
+    from knowloom.plans import analysis
+
+    files = spark.createDataFrame([("o", "r", "a/m.py", TEXT), ("o", "r", "a/n.py", "import a.m\n")], [*sfx.REPO, "path", "text"])
+    runs = spark.createDataFrame([("o", "r", "n", "c")], [*sfx.REPO, "repository_name", "commit_sha"])
+    made, claimed = [], []
+
+    def staged(df):
+        made.append(df.columns)
+        return spark.createDataFrame(df.collect(), df.schema)
+
+    claims = analysis.render.claims
+    monkeypatch.setattr(analysis, "staged", staged)
+    monkeypatch.setattr(analysis.render, "claims", lambda *a: claimed.append(1) or claims(*a))
+    found = analysis.stored(analysis.analyze(files, runs, "c"))
+    assert len(claimed) == 1 and "kind" in made[0] and "fact_id" not in made[0] and "evidence_id" in found["facts"].columns
+    assert found["shown"].columns == [*sfx.REPO, "evidence_id", "path", "kind", "commit_sha", "line", "end_line"]
+    told = {r.evidence_id for r in found["claims"].collect()}
+    assert told and {r.evidence_id for r in found["shown"].collect()} == told == {r.evidence_id for r in found["evidence"].collect()}
